@@ -47,10 +47,6 @@ def quality_name(code: str) -> str:
     return f"CASE {code} WHEN 0 THEN 'Good' WHEN 2 THEN 'Bad' ELSE 'Uncertain' END"
 
 
-def closed_by(at: str) -> str:
-    return f"{AS_OF_MS} // {W} * {W} - {W}" if at == "as_of" else at
-
-
 SHOWN = f"coalesce({number('value')}, value_text, '')"
 ENDPOINT_RE = r"(?i)^opc\.tcp://([^\s/?#:\[\]]+)(:\d{1,5})?([/?#]\S*)?$"
 POLICIES = "('none', 'basic256sha256', 'basic128rsa15', 'aes128_sha256_rsaoaep', 'aes256_sha256_rsapss')"
@@ -239,27 +235,23 @@ TABLES: dict[str, str] = {
 def _with(text: str) -> str:
     """Prefix ``text`` with the tables it names, in dependency order."""
     needed: list[str] = []
+    adding: list[str] = []
 
     def add(part: str) -> None:
         for name, definition in TABLES.items():
-            if name not in needed and re.search(rf"(FROM|JOIN)\s+{name}\b", part):
-                if name != "walk" or "FROM walk w" not in part:
-                    needed.append(name)
-                    before = len(needed) - 1
-                    add(definition)
-                    needed.append(needed.pop(before))  # after what it depends on
+            if name not in needed and name not in adding and re.search(rf"(FROM|JOIN)\s+{name}\b", part):
+                adding.append(name)
+                add(definition)
+                needed.append(name)  # after what it depends on
 
     add(text)
     parts = []
     for name in needed:
         head = "walk(plc_name, node, depth)" if name == "walk" else name
         parts.append(f"{head} AS ({TABLES[name]})")
-    if text.lstrip().upper().startswith("WITH STEPS"):
-        return text
-    body = text
-    if text.lstrip().startswith("gated AS") or text.lstrip().startswith("source AS"):
-        return f"WITH RECURSIVE {', '.join(parts)}, {body}"
-    return (f"WITH RECURSIVE {', '.join(parts)} " if parts else "") + body
+    if re.match(r"\w+ AS \(", text):  # the text brings tables of its own
+        return f"WITH RECURSIVE {', '.join(parts)}, {text}"
+    return f"WITH RECURSIVE {', '.join(parts)} {text}" if parts else text
 
 
 def _deadband(source: str, flag: str) -> str:
@@ -291,9 +283,9 @@ def _recorded(table: str, stats: str, as_of: str) -> str:
 def _uploaded(manifest: str, as_of: str, keep: bool) -> str:
     """A manifest after an upload cycle with the outcomes of ``window_outcomes``."""
     gone = "outcome = 'missing'" if keep else "outcome IN ('ok', 'missing')"
-    return f"""SELECT m.* REPLACE (
+    return f"""SELECT * EXCLUDE (outcome, tried) REPLACE (
           CASE WHEN tried AND outcome = 'ok' THEN '{as_of}' ELSE uploaded_at END AS uploaded_at,
-          CASE WHEN tried AND {gone} THEN 1 ELSE local_deleted END AS local_deleted) EXCLUDE (outcome, tried)
+          CASE WHEN tried AND {gone} THEN 1 ELSE local_deleted END AS local_deleted)
         FROM (SELECT m.*, outcome, m.uploaded_at IS NULL AND m.local_deleted = 0 AND partition_start <= coalesce(min(
                 CASE WHEN m.uploaded_at IS NULL AND m.local_deleted = 0 AND outcome = 'failed' THEN partition_start END) OVER (),
                 9e18::BIGINT) AS tried

@@ -61,23 +61,23 @@ def deadband(
     banded = lookup_join(readings, effective_deadbands(tags, default), ["tag_id"], "left", salt_on="id")
     passing = banded.filter(~is_gated(exempt)).select(*columns)
     gated = banded.filter(is_gated(exempt))
-    if baseline is None:
-        baseline = readings.sparkSession.createDataFrame([], f"tag_id {_type(readings, 'tag_id')}, last_stored double")
-    baseline = baseline.select("tag_id", "last_stored").filter(F.col("last_stored").isNotNull())
-
     hot = hot_keys(gated.select("tag_id", "id"), "tag_id", "id", target)
     sharded = with_shard(gated, "tag_id", "id", hot)
-    if hot is None:
-        entries = baseline.select("tag_id", F.lit(0).cast("long").alias("shard"), F.col("last_stored").alias("entry"))
-    else:
+    if baseline is not None:
+        baseline = baseline.select("tag_id", "last_stored").filter(F.col("last_stored").isNotNull())
+    entries = None
+    if hot is not None:
         hot_rows = sharded.select("tag_id", "shard", "id", "value", "band")
         hot_rows = lookup_join(hot_rows, hot.select("tag_id"), ["tag_id"], "left_semi", salt_on="id")
-        chained = shard_entries(shard_transfers(hot_rows), baseline)
-        cold = baseline.join(hot.select("tag_id"), "tag_id", "left_anti")
-        entries = chained.unionByName(
-            cold.select("tag_id", F.lit(0).cast("long").alias("shard"), F.col("last_stored").alias("entry"))
-        )
-    started = lookup_join(sharded, entries.withColumn("known", F.lit(True)), ["tag_id", "shard"], "left")
+        entries = shard_entries(shard_transfers(hot_rows), baseline)
+    if baseline is not None:
+        cold = baseline if hot is None else baseline.join(hot.select("tag_id"), "tag_id", "left_anti")
+        cold = cold.select("tag_id", F.lit(0).cast("long").alias("shard"), F.col("last_stored").alias("entry"))
+        entries = cold if entries is None else entries.unionByName(cold)
+    if entries is None:
+        started = sharded.withColumn("entry", F.lit(None).cast("double")).withColumn("known", F.lit(None).cast("boolean"))
+    else:
+        started = lookup_join(sharded, entries.withColumn("known", F.lit(True)), ["tag_id", "shard"], "left")
     kept = (
         started.repartition("tag_id", "shard").sortWithinPartitions("tag_id", "shard", "id")
         .mapInArrow(_gate_sorted, started.schema)
@@ -118,7 +118,7 @@ def shard_transfers(rows: DataFrame) -> DataFrame:
     return cut_lineage(rows.groupBy("tag_id", "shard").applyInPandas(summarise, schema))
 
 
-def shard_entries(transfers: DataFrame, baseline: DataFrame, chain: int = CHAIN) -> DataFrame:
+def shard_entries(transfers: DataFrame, baseline: DataFrame | None, chain: int = CHAIN) -> DataFrame:
     """(tag_id, shard, entry): the value stored before each shard.
 
     A tag with more than ``chain`` shards is chained in two or more levels, each group holding at
@@ -128,9 +128,12 @@ def shard_entries(transfers: DataFrame, baseline: DataFrame, chain: int = CHAIN)
     out = f"tag_id {tag_type}, shard long, entry double"
     grouped = transfers.withColumn("_group", F.floor(F.col("shard") / chain))
     groups = grouped.agg(F.max("_group")).first()[0] or 0
-    if groups == 0:
-        group_entries = baseline.select("tag_id", F.lit(0).cast("long").alias("_group"), F.col("last_stored").alias("entry"))
-    else:
+    group_entries = None
+    if groups == 0 and baseline is not None:
+        group_entries = baseline.select(
+            "tag_id", F.lit(0).cast("long").alias("_group"), F.col("last_stored").alias("entry")
+        )
+    elif groups > 0:
 
         def merge(key, pdf):
             pdf = pdf.sort_values("shard")
@@ -161,8 +164,11 @@ def shard_entries(transfers: DataFrame, baseline: DataFrame, chain: int = CHAIN)
                 last = probes[0][1]  # with nothing stored the first value always is
         return _frame(tag_id=[key[0]] * len(shards), shard=shards, entry=entries)
 
-    entered = lookup_join(grouped, group_entries.withColumn("known", F.lit(True)), ["tag_id", "_group"], "left")
-    entered = entered.withColumn("known", F.coalesce("known", F.lit(False)))
+    if group_entries is None:
+        entered = grouped.withColumn("entry", F.lit(None).cast("double")).withColumn("known", F.lit(False))
+    else:
+        entered = lookup_join(grouped, group_entries.withColumn("known", F.lit(True)), ["tag_id", "_group"], "left")
+        entered = entered.withColumn("known", F.coalesce("known", F.lit(False)))
     return cut_lineage(entered.groupBy("tag_id", "_group").applyInPandas(walk, out))
 
 

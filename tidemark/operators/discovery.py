@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import names
-from tidemark.operators.joins import lookup_join
+from tidemark.operators.joins import lookup_join, measured_bytes
 from tidemark.operators.registry import passes_tag_filter
 from tidemark.session import cut_lineage
 
@@ -29,20 +29,23 @@ def reachable(edges: DataFrame, root: str = OBJECTS_FOLDER, max_depth: int = MAX
     Each level is written to the shared checkpoint folder, so the plan does not grow and a lost
     executor costs one level at most. The Server object is never expanded.
     """
-    links = browsable(edges).filter(F.col("child") != SERVER).select("plc_name", "parent", "child").distinct()
-    links = cut_lineage(links)
+    links = cut_lineage(
+        browsable(edges).filter(F.col("child") != SERVER).select("plc_name", "parent", "child")
+    )
     frontier = cut_lineage(
         links.filter(F.col("parent") == root).select("plc_name", F.lit(root).alias("node")).distinct()
     )
     seen = frontier.withColumn("depth", F.lit(0))
     for depth in range(1, max_depth + 1):
+        size = measured_bytes(frontier)
+        if size == 0:
+            break
         step = lookup_join(
-            links, frontier.withColumnRenamed("node", "parent"), ["plc_name", "parent"], "left_semi", salt_on="child"
+            links, frontier.withColumnRenamed("node", "parent"), ["plc_name", "parent"], "left_semi",
+            salt_on="child", dim_bytes=size,
         )
         found = step.select("plc_name", F.col("child").alias("node")).distinct()
         frontier = cut_lineage(found.join(seen.select("plc_name", "node"), ["plc_name", "node"], "left_anti"))
-        if frontier.isEmpty():
-            break
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth)))
     return seen
 

@@ -16,17 +16,35 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK = 256
+STEPS = 64
 
 
-def gate(values, band: float, last: float | None) -> tuple[list[bool], float | None]:
-    """Which of ``values`` (in order) are stored, and the last stored value afterwards."""
-    keep = []
-    for value in values:
-        if last is not None and abs(value - last) < band:
-            keep.append(False)
-        else:
-            keep.append(True)
-            last = value
+def gate(values: np.ndarray, band: float, last: float | None) -> tuple[np.ndarray, float | None]:
+    """Which of ``values`` (in order) are stored, and the last stored value afterwards.
+
+    Short gaps between stored values are stepped through; longer ones are crossed block by block.
+    """
+    n = len(values)
+    keep = np.zeros(n, dtype=bool)
+    if n and last is None:
+        keep[0], last = True, float(values[0])
+        i = 1
+    else:
+        i = 0
+    listed = values.tolist()
+    while i < n:
+        stop = min(i + STEPS, n)
+        while i < stop and abs(listed[i] - last) < band:
+            i += 1
+        while i == stop and i < n:
+            stop = min(i + BLOCK * 16, n)
+            with np.errstate(invalid="ignore"):
+                out = ~(np.abs(values[i:stop] - last) < band)
+            first = int(out.argmax())
+            i = i + first if out[first] else stop
+        if i < n:
+            keep[i], last = True, listed[i]
+            i += 1
     return keep, last
 
 
@@ -45,8 +63,7 @@ def gate_batch(tags, shards, values, bands, entries, known, carried):
             last = carried[1]
         else:
             last = float(entries[start]) if known[start] else None
-        kept, last = gate(values[start:stop].tolist(), float(bands[start]), last)
-        keep[start:stop] = kept
+        keep[start:stop], last = gate(values[start:stop], float(bands[start]), last)
         carried = (at, last)
     return keep, carried
 

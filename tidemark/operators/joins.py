@@ -32,6 +32,7 @@ def lookup_join(
     on: list[str],
     how: str = "inner",
     salt_on: str | None = None,
+    dim_bytes: int | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join ``facts`` to ``dim``, whose keys are unique, keeping ``facts`` on the left.
@@ -39,8 +40,11 @@ def lookup_join(
     ``dim`` is measured first. Within the bound it is broadcast, so ``facts`` is not shuffled at
     all. Beyond it both sides are shuffled on the key plus a salt taken from ``salt_on`` (a column
     that varies within a key), so that one key holding a third of the facts is spread over many tasks.
+    ``dim_bytes`` is the size when the caller has just measured it.
     """
-    if measured_bytes(dim) <= broadcast_bytes:
+    if dim_bytes is None:
+        dim_bytes = measured_bytes(dim)
+    if dim_bytes <= broadcast_bytes:
         return facts.join(F.broadcast(dim), on, how)
     if salt_on is None:
         return facts.join(dim, on, how)
@@ -50,9 +54,12 @@ def lookup_join(
 
 
 def tag_lookup(tags: DataFrame, plcs: DataFrame) -> DataFrame:
-    """One row per tag with its controller: the dimension side of every export scan."""
+    """One row per tag with its controller: the dimension side of every export scan.
+
+    Both inputs are dimensions, so how to join them is left to Spark.
+    """
     names = plcs.select("plc_id", F.col("name").alias("plc_name"))
-    return lookup_join(tags.select("tag_id", "plc_id", "tag_name"), names, ["plc_id"], salt_on="tag_id")
+    return tags.select("tag_id", "plc_id", "tag_name").join(names, "plc_id")
 
 
 def named_readings(readings: DataFrame, tags: DataFrame, plcs: DataFrame) -> DataFrame:

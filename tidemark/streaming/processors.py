@@ -44,8 +44,7 @@ class DeadbandProcessor(StatefulProcessor):
         keep = np.ones(len(pdf), dtype=bool)
         if gated.any():
             band = float(pdf.loc[gated, "band"].iloc[0])
-            kept, last = gate.gate(pdf.loc[gated, "value"].tolist(), band, last)
-            keep[gated] = kept
+            keep[gated], last = gate.gate(pdf.loc[gated, "value"].to_numpy(), band, last)
             self.last.update((last,))
         yield pdf.loc[keep].drop(columns=["gated", "band"])
 
