@@ -6,6 +6,8 @@ derives the same tables in SQL, independently.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,18 +31,27 @@ def _choose(*pairs, default) -> Column:
     return column.otherwise(default)
 
 
+def _planned_once(method):
+    """Build a table's plan once per folder; the plan is evaluated anew by every query."""
+    return lru_cache(maxsize=64)(method)
+
+
 class Tables:
     """The derived tables over one folder of driver tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = configure(spark), sf_dir
 
+    @staticmethod
+    @lru_cache(maxsize=8)
+    def of(spark: SparkSession, sf_dir: str) -> Tables:
+        return Tables(spark, sf_dir)
+
+    @_planned_once
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def _one_row(self, schema: str, *values) -> DataFrame:
-        return self.spark.createDataFrame([values], schema)
-
+    @_planned_once
     def plcs(self) -> DataFrame:
         rows = self._read("nation").select(
             F.col("n_nationkey").cast("int").alias("plc_id"), F.col("n_name").alias("name"),
@@ -48,12 +59,13 @@ class Tables:
                      F.col("n_nationkey").cast("string"), F.lit(":4840")).alias("endpoint_url"),
             F.when(F.col("n_regionkey") == 0, F.lit("None")).otherwise(F.lit("Basic256Sha256")).alias("security_policy"),
         )
-        spare = self._one_row(
-            "plc_id int, name string, endpoint_url string, security_policy string",
-            25, "SPARE", "opc.tcp://10.0.9.25:4840", "None",
+        spare = self.spark.range(1).select(
+            F.lit(25).alias("plc_id"), F.lit("SPARE").alias("name"),
+            F.lit("opc.tcp://10.0.9.25:4840").alias("endpoint_url"), F.lit("None").alias("security_policy"),
         )
         return rows.unionByName(spare)
 
+    @_planned_once
     def tags(self) -> DataFrame:
         nation = self._read("nation").select("n_nationkey", "n_name")
         key = F.col("c_custkey")
@@ -67,9 +79,9 @@ class Tables:
             ),
         )
         rows = self._read("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        return rows.select(
+        return rows.withColumn("node_id", node).select(
             key.cast("int").alias("tag_id"), F.col("c_nationkey").cast("int").alias("plc_id"),
-            node.alias("node_id"), names.tag_name(node, F.col("c_name")).alias("tag_name"),
+            "node_id", names.tag_name(F.col("node_id"), F.col("c_name")).alias("tag_name"),
             F.lit("Double").alias("data_type"), F.lit(None).cast("string").alias("units"),
             F.when(key % 3 == 0, F.lit(20.0)).when(key % 3 == 1, F.lit(0.0)).alias("deadband_override"),
             F.lit(SEEN_AT).alias("first_seen_at"), F.lit(SEEN_AT).alias("last_seen_at"),
@@ -77,6 +89,7 @@ class Tables:
             F.when(key % 7 == 0, F.lit(0)).otherwise(F.lit(1)).alias("enabled"),
         )
 
+    @_planned_once
     def readings(self) -> DataFrame:
         ts = F.unix_millis(F.col("ts").cast("timestamp"))
         view = F.col("event_type") == "view"
@@ -88,6 +101,7 @@ class Tables:
             .otherwise(F.lit(0)).alias("quality"),
         )
 
+    @_planned_once
     def raw_notifications(self) -> DataFrame:
         tags = self.tags().select("tag_id", "plc_id", "node_id")
         nodes = tags.join(self.plcs().select("plc_id", F.col("name").alias("plc_name")), "plc_id")
@@ -117,6 +131,7 @@ class Tables:
             piece.coalesce(1).write.mode("append").parquet(path)
         return path
 
+    @_planned_once
     def partitions(self) -> DataFrame:
         stats = aggregates.window_stats(self.readings(), self.tags(), self.plcs(), WINDOW_MS)
         number = ((F.col("partition_start") - FIRST_WINDOW_MS) / WINDOW_MS).cast("int")
@@ -128,9 +143,7 @@ class Tables:
             F.when((number % 5 == 0) & uploaded.isNotNull(), F.lit(1)).otherwise(F.lit(0)).alias("local_deleted"),
         )
 
-    def no_partitions(self) -> DataFrame:
-        return self.partitions().limit(0)
-
+    @_planned_once
     def export_state(self) -> DataFrame:
         """The first half of the history as last exported: some files sent, some behind, some failed."""
         half = FIRST_WINDOW_MS + 15 * 86_400_000
@@ -149,6 +162,7 @@ class Tables:
             .otherwise(F.lit("UploadFailed")).alias("status"),
         )
 
+    @_planned_once
     def settings(self) -> DataFrame:
         """Cursor ten days into the history, backup watermark at three tenths of the ids."""
         values = self.readings().agg(
@@ -160,9 +174,11 @@ class Tables:
             " AS (key, value)"
         ))
 
+    @_planned_once
     def no_settings(self) -> DataFrame:
         return self.spark.createDataFrame([], "key string, value string")
 
+    @_planned_once
     def partition_outcomes(self) -> DataFrame:
         """Windows upload in time order; the 90th fails, one before it is missing on disk."""
         manifest = aggregates.window_stats(self.readings(), self.tags(), self.plcs(), WINDOW_MS)
@@ -173,6 +189,7 @@ class Tables:
             .otherwise(F.lit("ok")).alias("outcome"), F.lit(AS_OF).alias("at"),
         )
 
+    @_planned_once
     def export_outcomes(self) -> DataFrame:
         """Controller 20 fails, controller 7's file is missing."""
         key = F.col("plc_id")
@@ -182,6 +199,7 @@ class Tables:
             F.lit(AS_OF).alias("at"),
         )
 
+    @_planned_once
     def discovered(self) -> DataFrame:
         """A later discovery run: nodes whose key ends in 0 moved to a new node id, and nodes whose
         key ends in 1 are reported twice, the second time under another name."""
@@ -195,6 +213,7 @@ class Tables:
         )
         return once.unionByName(again)
 
+    @_planned_once
     def address_edges(self) -> DataFrame:
         """Folders and tags of every controller below 'i=85', with the shapes a walk must survive:
         a Server subtree, a cycle, a node with two parents, and a chain deeper than the limit."""
@@ -244,6 +263,7 @@ class Tables:
             leaves = leaves.unionByName(part)
         return leaves
 
+    @_planned_once
     def fleet_documents(self) -> DataFrame:
         """One configuration document per ten customers, with one controller entry per customer."""
         key = F.col("c_custkey")
@@ -294,6 +314,7 @@ class Tables:
         self.fleet_documents().write.json(path)
         return path
 
+    @_planned_once
     def connection_events(self) -> DataFrame:
         """Clicks and purchases connect, views and sign-ups disconnect (views without a message)."""
         nation = self.plcs().select("plc_id", "name", "endpoint_url")

@@ -35,7 +35,7 @@ FOLDER = "MACHINERY.fb_1"
 
 
 def query(fn: Callable[[Tables], DataFrame]):
-    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Tables.of(spark, sf_dir))
     return fn
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import names
 from tidemark.operators.joins import lookup_join, measured_bytes
 from tidemark.operators.registry import passes_tag_filter
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, shared_dir
 
 # Well-known node ids and the depth limit of a walk.
 OBJECTS_FOLDER = "i=85"
@@ -26,28 +26,30 @@ def reachable(edges: DataFrame, root: str = OBJECTS_FOLDER, max_depth: int = MAX
 
     Breadth first over all controllers together. A level is one join of the frontier with the edge
     list and one anti join with the nodes already seen, which removes cycles and second parents.
-    Each level is written to the shared checkpoint folder, so the plan does not grow and a lost
+    Levels are folders of one table in the shared folder, so the plan stays the same size and a lost
     executor costs one level at most. The Server object is never expanded.
     """
+    spark = edges.sparkSession
     links = cut_lineage(
         browsable(edges).filter(F.col("child") != SERVER).select("plc_name", "parent", "child")
     )
-    frontier = cut_lineage(
-        links.filter(F.col("parent") == root).select("plc_name", F.lit(root).alias("node")).distinct()
-    )
-    seen = frontier.withColumn("depth", F.lit(0))
-    for depth in range(1, max_depth + 1):
-        size = measured_bytes(frontier)
-        if size == 0:
-            break
+    table = shared_dir(spark, "levels")
+    node = "plc_name string, node string"
+    frontier = links.filter(F.col("parent") == root).select("plc_name", F.lit(root).alias("node")).distinct()
+    for depth in range(max_depth + 1):
+        level = f"{table}/depth={depth}"
+        frontier.write.parquet(level)
+        reached = spark.read.schema(node).parquet(level)
+        seen = spark.read.schema(f"{node}, depth int").parquet(table)
+        size = measured_bytes(reached)
+        if size == 0 or depth == max_depth:
+            return seen
         step = lookup_join(
-            links, frontier.withColumnRenamed("node", "parent"), ["plc_name", "parent"], "left_semi",
+            links, reached.withColumnRenamed("node", "parent"), ["plc_name", "parent"], "left_semi",
             salt_on="child", dim_bytes=size,
         )
         found = step.select("plc_name", F.col("child").alias("node")).distinct()
-        frontier = cut_lineage(found.join(seen.select("plc_name", "node"), ["plc_name", "node"], "left_anti"))
-        seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth)))
-    return seen
+        frontier = found.join(seen.select("plc_name", "node"), ["plc_name", "node"], "left_anti")
 
 
 def discover_tags(

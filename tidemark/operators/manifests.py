@@ -1,7 +1,8 @@
 """Export manifests as pure functions: old table and change in, new table out.
 
 A manifest has one row per time window or per controller, far fewer rows than the readings it
-describes. Every change takes the time as an explicit ``as_of`` text.
+describes, and its keys are unique, so joins between manifests are left to Spark. Every change takes
+the time as an explicit ``as_of`` text.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import names
-from tidemark.operators.joins import inserted, lookup_join, touched, upsert
+from tidemark.operators.joins import inserted, touched, upsert
 
 # States of a rolling CSV file.
 PENDING, UPLOADED, UPLOAD_FAILED = "Pending", "Uploaded", "UploadFailed"
@@ -38,9 +39,13 @@ def record_partitions(manifest: DataFrame, records: DataFrame, as_of: str) -> Da
     return upsert(manifest, new, ["partition_start"], {})
 
 
+def _is_pending() -> Column:
+    return F.col("uploaded_at").isNull() & (F.col("local_deleted") == 0)
+
+
 def pending_partitions(manifest: DataFrame) -> DataFrame:
     return (
-        manifest.filter(F.col("uploaded_at").isNull() & (F.col("local_deleted") == 0))
+        manifest.filter(_is_pending())
         .select("partition_start", "file_name", "max_reading_id").orderBy("partition_start")
     )
 
@@ -61,7 +66,7 @@ def mark_partitions_deleted(manifest: DataFrame, starts: DataFrame) -> DataFrame
 
 def _mark(table: DataFrame, keys: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
     hits = keys.select(key).distinct().withColumn("_hit", F.lit(True))
-    marked = lookup_join(table, hits, [key], "left")
+    marked = table.join(hits, key, "left")
     for column, value in values.items():
         kind = table.schema[column].dataType
         marked = marked.withColumn(column, F.when(F.col("_hit"), value.cast(kind)).otherwise(F.col(column)))
@@ -73,11 +78,12 @@ def cleanup_kept(manifest: DataFrame, cutoff_ms: int | None) -> DataFrame:
     return manifest if cutoff_ms is None else mark_partitions_deleted(manifest, kept_partitions(manifest, cutoff_ms))
 
 
-def attempted(pending: DataFrame, outcomes: DataFrame, order: str) -> DataFrame:
-    """Pending files with their upload outcome, up to and including the first failure in order."""
-    tried = lookup_join(pending, outcomes.select("file_name", "outcome"), ["file_name"])
-    first_failure = tried.agg(F.min(F.when(F.col("outcome") == FAILED, F.col(order)))).first()[0]
-    return tried if first_failure is None else tried.filter(F.col(order) <= first_failure)
+def _with_attempts(table: DataFrame, outcomes: DataFrame, pending: Column, order: str) -> DataFrame:
+    """Add ``_outcome``: what happened to each pending file, null for those after the first failure."""
+    joined = table.join(outcomes.select("file_name", F.col("outcome").alias("_outcome")), "file_name", "left")
+    first_failure = joined.filter(pending & (F.col("_outcome") == FAILED)).agg(F.min(order)).first()[0]
+    tried = pending if first_failure is None else pending & (F.col(order) <= first_failure)
+    return joined.withColumn("_outcome", F.when(tried, F.col("_outcome")))
 
 
 def apply_partition_outcomes(manifest: DataFrame, outcomes: DataFrame, as_of: str, keep: bool) -> DataFrame:
@@ -86,10 +92,13 @@ def apply_partition_outcomes(manifest: DataFrame, outcomes: DataFrame, as_of: st
     Windows go in time order and stop at the first failure. A missing file is written off so that
     it is not tried again. Without ``keep`` an uploaded file is deleted.
     """
-    tried = attempted(pending_partitions(manifest), outcomes, "partition_start")
-    sent = tried.filter(F.col("outcome") == OK)
-    gone = tried.filter(F.col("outcome").isin(MISSING) if keep else F.col("outcome").isin(MISSING, OK))
-    return mark_partitions_deleted(mark_partitions_uploaded(manifest, sent, as_of), gone)
+    tried = _with_attempts(manifest, outcomes, _is_pending(), "partition_start")
+    gone = F.col("_outcome").isin([MISSING] if keep else [MISSING, OK])
+    return (
+        tried.withColumn("uploaded_at", F.when(F.col("_outcome") == OK, F.lit(as_of)).otherwise(F.col("uploaded_at")))
+        .withColumn("local_deleted", F.when(gone, F.lit(1)).otherwise(F.col("local_deleted")))
+        .select(*manifest.columns)
+    )
 
 
 # Rolling CSV files
@@ -119,10 +128,13 @@ def record_exports(state: DataFrame, records: DataFrame, as_of: str) -> DataFram
     return upsert(state, new, ["plc_id"], rules)
 
 
+def _is_due() -> Column:
+    return (F.col("last_reading_id") > F.col("uploaded_reading_id")) | (F.col("status") == UPLOAD_FAILED)
+
+
 def pending_uploads(state: DataFrame) -> DataFrame:
-    ahead = F.col("last_reading_id") > F.col("uploaded_reading_id")
     return (
-        state.filter(ahead | (F.col("status") == UPLOAD_FAILED))
+        state.filter(_is_due())
         .select("plc_id", "file_name", "file_path", "last_reading_id").orderBy("plc_id")
     )
 
@@ -130,7 +142,7 @@ def pending_uploads(state: DataFrame) -> DataFrame:
 def mark_uploaded(state: DataFrame, sent: DataFrame, as_of: str) -> DataFrame:
     """``sent``: plc_id and the reading id its uploaded file reached (last_reading_id)."""
     hits = sent.select("plc_id", F.col("last_reading_id").alias("_reached"))
-    marked = lookup_join(state, hits, ["plc_id"], "left")
+    marked = state.join(hits, "plc_id", "left")
     hit = F.col("_reached").isNotNull()
     return (
         marked.withColumn("status", F.when(hit, F.lit(UPLOADED)).otherwise(F.col("status")))
@@ -146,9 +158,14 @@ def mark_upload_failed(state: DataFrame, failed: DataFrame) -> DataFrame:
 
 def apply_export_outcomes(state: DataFrame, outcomes: DataFrame, as_of: str) -> DataFrame:
     """Uploads go in controller order and stop at the first failure; missing files are passed over."""
-    tried = attempted(pending_uploads(state), outcomes, "plc_id")
-    sent = tried.filter(F.col("outcome") == OK)
-    return mark_upload_failed(mark_uploaded(state, sent, as_of), tried.filter(F.col("outcome") == FAILED))
+    tried = _with_attempts(state, outcomes, _is_due(), "plc_id")
+    sent, failed = F.col("_outcome") == OK, F.col("_outcome") == FAILED
+    return (
+        tried.withColumn("status", F.when(sent, F.lit(UPLOADED)).when(failed, F.lit(UPLOAD_FAILED)).otherwise(F.col("status")))
+        .withColumn("uploaded_reading_id", F.when(sent, F.col("last_reading_id")).otherwise(F.col("uploaded_reading_id")))
+        .withColumn("uploaded_at", F.when(sent, F.lit(as_of)).otherwise(F.col("uploaded_at")))
+        .select(*state.columns)
+    )
 
 
 # Settings

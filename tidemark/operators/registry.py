@@ -131,7 +131,7 @@ def set_tags_enabled(tags: DataFrame, saved: DataFrame, chosen: DataFrame) -> Da
     marked = lookup_join(tags, saved.select("plc_id").distinct().withColumn("_saved", F.lit(1)), ["plc_id"], "left",
                          salt_on="tag_id")
     picks = chosen.select("plc_id", "tag_id").distinct().withColumn("_chosen", F.lit(1))
-    marked = lookup_join(marked, picks, ["plc_id", "tag_id"], "left")
+    marked = marked.join(picks, ["plc_id", "tag_id"], "left")
     on = F.col("_saved").isNotNull() & F.col("_chosen").isNotNull()
     off = F.col("_saved").isNotNull() & (F.col("active") == 1)
     enabled = F.when(on, F.lit(1)).when(off, F.lit(0)).otherwise(F.col("enabled"))
@@ -156,7 +156,7 @@ def first_types(typed: DataFrame) -> DataFrame:
 def set_data_types(tags: DataFrame, typed: DataFrame) -> DataFrame:
     types = first_types(typed).withColumnRenamed("data_type", "_type")
     return (
-        lookup_join(tags, types, ["tag_id"], "left")
+        tags.join(types, "tag_id", "left")
         .withColumn("data_type", F.coalesce("_type", "data_type")).select(*tags.columns)
     )
 
@@ -170,7 +170,7 @@ def display_names(bindings: DataFrame, discovered: DataFrame) -> DataFrame:
     """What a subscribed item is called: its discovered name, else its node id."""
     found = first_names(discovered).withColumnRenamed("tag_name", "_name")
     return (
-        lookup_join(bindings, found, ["plc_id", "node_id"], "left")
+        bindings.join(found, ["plc_id", "node_id"], "left")
         .withColumn("display_name", F.coalesce("_name", "node_id")).drop("_name")
     )
 

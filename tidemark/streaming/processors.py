@@ -1,5 +1,7 @@
 """Per-tag state for streams: the last stored value, and the last seen row.
 
+Pandas does not tell NaN from a missing number, so NaN travels as a flag and is put back afterwards.
+
 A tag's rows of one micro-batch arrive in one task, so the trigger size bounds what a hot tag puts
 there (``maxFilesPerTrigger`` or ``maxOffsetsPerTrigger``). They are ordered by id first. Rows that
 arrive in a later micro-batch than a row with a higher id are handled in order of arrival.
@@ -35,10 +37,9 @@ class DeadbandProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = pd.concat(list(rows), ignore_index=True).sort_values("id", ignore_index=True)
-        # a missing number in the state stands for NaN: only numbers are ever stored
         last = None
         if self.last.exists():
-            stored = self.last.get()[0]
+            stored = self.last.get()[0]  # only numbers are ever stored: a missing one is NaN
             last = float("nan") if stored is None else float(stored)
         gated = pdf["gated"].to_numpy(dtype=bool)
         keep = np.ones(len(pdf), dtype=bool)
@@ -57,8 +58,8 @@ class ChangeProcessor(StatefulProcessor):
 
     def init(self, handle):
         fields = [
-            T.StructField("value", T.DoubleType()), T.StructField("value_text", T.StringType()),
-            T.StructField("quality", T.IntegerType()),
+            T.StructField("value", T.DoubleType()), T.StructField("nan", T.BooleanType()),
+            T.StructField("value_text", T.StringType()), T.StructField("quality", T.IntegerType()),
         ]
         self.last = handle.getValueState("last_row", T.StructType(fields))
 
@@ -67,8 +68,8 @@ class ChangeProcessor(StatefulProcessor):
         last = self.last.get() if self.last.exists() else None
         last = None if last is None else tuple(last)
         keep = []
-        for value, text, quality in zip(pdf["value"], pdf["value_text"], pdf["quality"]):
-            row = (None if pd.isna(value) else float(value), text, int(quality))
+        for value, nan, text, quality in zip(pdf["value"], pdf["is_nan"], pdf["value_text"], pdf["quality"]):
+            row = (None if pd.isna(value) else float(value), bool(nan), text, int(quality))
             keep.append(row != last)
             last = row
         self.last.update(last)
@@ -78,25 +79,26 @@ class ChangeProcessor(StatefulProcessor):
         pass
 
 
-def use_rocksdb(df: DataFrame) -> None:
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+def _per_tag(flagged: DataFrame, processor: StatefulProcessor, schema: T.StructType) -> DataFrame:
+    """Run a processor per tag and give NaN values back."""
+    flagged.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    marked = flagged.withColumn("is_nan", F.coalesce(F.isnan("value"), F.lit(False)))
+    out = marked.groupBy("tag_id").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=T.StructType([*schema.fields, T.StructField("is_nan", T.BooleanType())]),
+        outputMode="append", timeMode="None",
+    )
+    value = F.when(F.col("is_nan"), F.lit(float("nan"))).otherwise(F.col("value"))
+    return out.withColumn("value", value).drop("is_nan")
 
 
 def deadband_stream(readings: DataFrame, tags: DataFrame, default: float = 0.0, exempt_boolean: bool = False) -> DataFrame:
     """The deadband over a stream of readings; state survives restarts with the checkpoint."""
-    use_rocksdb(readings)
     exempt = (F.col("data_type") == "Boolean") if exempt_boolean else None
-    banded = lookup_join(readings, effective_deadbands(tags, default), ["tag_id"], "left")
+    banded = lookup_join(readings, effective_deadbands(tags, default), ["tag_id"], "left", salt_on="id")
     gated = banded.withColumn("gated", F.coalesce(is_gated(exempt), F.lit(False)))
-    return gated.groupBy("tag_id").transformWithStateInPandas(
-        statefulProcessor=DeadbandProcessor(), outputStructType=readings.schema, outputMode="append",
-        timeMode="None",
-    )
+    return _per_tag(gated, DeadbandProcessor(), readings.schema)
 
 
 def change_stream(readings: DataFrame) -> DataFrame:
     """Change-only rows of a stream of readings."""
-    use_rocksdb(readings)
-    return readings.groupBy("tag_id").transformWithStateInPandas(
-        statefulProcessor=ChangeProcessor(), outputStructType=readings.schema, outputMode="append", timeMode="None",
-    )
+    return _per_tag(readings, ChangeProcessor(), readings.schema)
