@@ -12,8 +12,11 @@ shards of consecutive ids (see ``shards``) and handled in three steps:
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,9 @@ from tidemark.operators.joins import latest_by_key, lookup_join
 from tidemark.operators.shards import TARGET_ROWS, hot_keys, with_previous, with_running_count, with_shard
 from tidemark.session import cut_lineage
 
+# Tasks get the functions of this module by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CHAIN = 512  # shard summaries chained by one task
 _PROBES = "array<struct<probe:double,final:double>>"
 
