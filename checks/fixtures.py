@@ -59,8 +59,8 @@ class Tables:
                      F.col("n_nationkey").cast("string"), F.lit(":4840")).alias("endpoint_url"),
             F.when(F.col("n_regionkey") == 0, F.lit("None")).otherwise(F.lit("Basic256Sha256")).alias("security_policy"),
         )
-        spare = self.spark.range(1).select(
-            F.lit(25).alias("plc_id"), F.lit("SPARE").alias("name"),
+        spare = self.spark.range(25, 26).select(
+            F.col("id").cast("int").alias("plc_id"), F.lit("SPARE").alias("name"),
             F.lit("opc.tcp://10.0.9.25:4840").alias("endpoint_url"), F.lit("None").alias("security_policy"),
         )
         return rows.unionByName(spare)

@@ -558,7 +558,7 @@ def deadband_batch(t):
 
 @query
 def deadband_sharded(t):
-    """The same result with every tag cut into shards of about twenty rows."""
+    """The same result with every tag of more than twenty rows cut into shards of about five."""
     return deadband.deadband(t.readings(), t.tags(), DEFAULT_DEADBAND, target=20)
 
 

@@ -13,7 +13,7 @@ def edges(spark, *lines):
     return spark.createDataFrame([(plc, a, b, kind, label, None) for plc, a, b, kind, label in lines], schemas.ADDRESS_EDGES)
 
 
-def test_walk(spark, monkeypatch):
+def test_walk(spark):
     space = edges(
         spark, ("P", "i=85", "f", "Object", None), ("P", "f", TAG + "G.x", "Variable", "x"), ("P", TAG + "G.x", TAG + "G.x.sub", "Variable", "sub"),
         ("P", "f", "i=85", "Object", None), ("P", "i=85", "i=2253", "Object", None), ("P", "i=2253", TAG + "diag", "Variable", None),
@@ -24,8 +24,11 @@ def test_walk(spark, monkeypatch):
     assert rows(discovery.discover_tags(space)) == expected
     depths = {(r["plc_name"], r["node"]): r["depth"] for r in discovery.reachable(space).collect()}
     assert depths[("P", "i=85")] == 0 and depths[("P", TAG + "G.x")] == 1 and ("P", "i=2253") not in depths
-    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
-    assert rows(discovery.discover_tags(space)) == expected
+    spark.conf.set(joins.BROADCAST_SETTING, "0")
+    try:
+        assert rows(discovery.discover_tags(space)) == expected
+    finally:
+        spark.conf.unset(joins.BROADCAST_SETTING)
 
 
 def test_any_namespace_and_leaf_names(spark):

@@ -138,6 +138,9 @@ def test_state_versions(spark, folder):
         state.write_version(spark.createDataFrame([("k", value)], schemas.SETTINGS), root, version)
     os.makedirs(f"{root}/version={3:012d}")  # a write that never finished
     assert rows(state.read_latest(spark, root, schemas.SETTINGS)) == [("k", "c")]
+    assert state.write_next(spark.createDataFrame([("k", "d")], schemas.SETTINGS), root) == 3
+    state.drop_old_versions(spark, root, keep=1)
+    assert state.versions(spark, root) == [3] and rows(state.read_latest(spark, root, schemas.SETTINGS)) == [("k", "d")]
 
 
 def test_snapshot_counts_the_copy(spark, store, folder):

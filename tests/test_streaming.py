@@ -56,6 +56,17 @@ def test_ingest_in_pieces_with_a_restart_before_each(spark, dims, folder, cuts):
     assert rows(stored.drop("dt"), *schemas.READINGS.fieldNames()) == rows(batch, *schemas.READINGS.fieldNames())
 
 
+def test_a_repeated_batch_is_not_stored_twice(spark, dims, folder):
+    """A run that died after its write but before its commit leaves rows that the next run meets again."""
+    source, path = folder("feed"), folder("readings")
+    feed(spark, source, FEED)
+    for attempt in range(2):
+        raw = inputs.notification_stream(spark, source)
+        jobs.start_ingest(raw, *dims, path, folder("checkpoint"), once=True).awaitTermination()
+    batch = fleet.ingest(spark.createDataFrame(FEED, schemas.RAW_NOTIFICATIONS), *dims)
+    assert rows(inputs.readings(spark, path), "id") == rows(batch, "id")
+
+
 def test_receive_time_stands_in_for_a_missing_source_time(spark, dims):
     raw = spark.createDataFrame([FEED[8]], schemas.RAW_NOTIFICATIONS)
     row = fleet.normalise(raw).first()

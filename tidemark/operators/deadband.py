@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import values
 from tidemark.operators import gate
-from tidemark.operators.joins import latest_by_key, lookup_join
+from tidemark.operators.joins import lookup_join
 from tidemark.operators.shards import TARGET_ROWS, hot_keys, with_previous, with_running_count, with_shard
 from tidemark.session import cut_lineage
 
@@ -196,8 +196,7 @@ def _type(df: DataFrame, column: str) -> str:
 def last_stored(kept: DataFrame, tags: DataFrame, default: float = 0.0, exempt: Column | None = None) -> DataFrame:
     """The reference value each tag ends with: the ``baseline`` of the next run."""
     banded = lookup_join(kept, effective_deadbands(tags, default), ["tag_id"], "left", salt_on="id")
-    stored = banded.filter(is_gated(exempt)).select("tag_id", "id", F.col("value").alias("last_stored"))
-    return latest_by_key(stored, ["tag_id"], "id").select("tag_id", "last_stored")
+    return banded.filter(is_gated(exempt)).groupBy("tag_id").agg(F.max_by("value", "id").alias("last_stored"))
 
 
 def segments(readings: DataFrame, tags: DataFrame, default: float = 0.0, target: int = TARGET_ROWS) -> DataFrame:

@@ -58,16 +58,15 @@ def connection_state(events: DataFrame) -> DataFrame:
 def health_summary(readings: DataFrame, accepted: DataFrame, export_state: DataFrame, site: str) -> DataFrame:
     """One row: readings written, last write, rows still buffered, last export and upload.
 
-    The three inputs are laid under each other and aggregated once.
+    Each input is aggregated to one row first; the rows are then laid under each other.
     """
     layout = ["w", "t", "a", "e", "u"]
-    zero, none_long, none_text = F.lit(0), F.lit(None).cast("long"), F.lit(None).cast("string")
-    written = readings.select(F.lit(1), F.col("ts_received_utc"), zero, none_text, none_text).toDF(*layout)
-    taken = accepted.select(zero, none_long, F.lit(1), none_text, none_text).toDF(*layout)
-    exports = export_state.select(zero, none_long, zero, F.col("exported_at"), F.col("uploaded_at")).toDF(*layout)
+    zero, none_long, none_text = F.lit(0).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("string")
+    written = readings.agg(F.count("*"), F.max("ts_received_utc"), zero, none_text, none_text).toDF(*layout)
+    taken = accepted.agg(zero, none_long, F.count("*"), none_text, none_text).toDF(*layout)
+    exports = export_state.agg(zero, none_long, zero, F.max("exported_at"), F.max("uploaded_at")).toDF(*layout)
     totals = written.unionByName(taken).unionByName(exports).agg(
-        F.coalesce(F.sum("w"), F.lit(0)).alias("readings_written"), F.max("t").alias("_t"),
-        F.coalesce(F.sum("a"), F.lit(0)).alias("_a"),
+        F.sum("w").alias("readings_written"), F.max("t").alias("_t"), F.sum("a").alias("_a"),
         F.max("e").alias("last_export"), F.max("u").alias("last_upload"),
     )
     depth = F.greatest(F.lit(0).cast("long"), F.col("_a") - F.col("readings_written"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_SETTING = "tidemark.broadcastBytes"  # a session may raise or lower the bound
 SALTS = 32
 
 
@@ -33,7 +34,6 @@ def lookup_join(
     how: str = "inner",
     salt_on: str | None = None,
     dim_bytes: int | None = None,
-    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join ``facts`` to ``dim``, whose keys are unique, keeping ``facts`` on the left.
 
@@ -44,7 +44,7 @@ def lookup_join(
     """
     if dim_bytes is None:
         dim_bytes = measured_bytes(dim)
-    if dim_bytes <= broadcast_bytes:
+    if dim_bytes <= int(facts.sparkSession.conf.get(BROADCAST_SETTING, str(BROADCAST_BYTES))):
         return facts.join(F.broadcast(dim), on, how)
     if salt_on is None:
         return facts.join(dim, on, how)

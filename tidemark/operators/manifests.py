@@ -172,4 +172,4 @@ def apply_export_outcomes(state: DataFrame, outcomes: DataFrame, as_of: str) ->
 
 def put_setting(settings: DataFrame, key: str, value: int) -> DataFrame:
     new = settings.sparkSession.range(1).select(F.lit(key).alias("key"), F.lit(str(value)).alias("value"))
-    return upsert(settings, new, ["key"], {})
+    return settings.filter(F.col("key") != key).unionByName(new)

@@ -148,9 +148,14 @@ def toggle_subtree(tags: DataFrame, folder: str, on: bool, plc_id: int | None =
 
 
 def first_types(typed: DataFrame) -> DataFrame:
-    """The first type other than ``Null`` seen per tag. ``typed``: tag_id, data_type, id."""
+    """The first type other than ``Null`` seen per tag. ``typed``: tag_id, data_type, id.
+
+    The first id per tag and type is found first: that is a hash aggregation with a number as its
+    only state, and leaves a few rows per tag for the choice of the type.
+    """
     seen = typed.filter(F.col("data_type") != NULL_TYPE)
-    return seen.groupBy("tag_id").agg(F.min_by("data_type", "id").alias("data_type"))
+    per_type = seen.groupBy("tag_id", "data_type").agg(F.min("id").alias("_first"))
+    return per_type.groupBy("tag_id").agg(F.min_by("data_type", "_first").alias("data_type"))
 
 
 def set_data_types(tags: DataFrame, typed: DataFrame) -> DataFrame:

@@ -14,22 +14,23 @@ from pyspark.sql import functions as F
 from tidemark.operators.joins import lookup_join
 from tidemark.session import cut_lineage
 
-TARGET_ROWS = 1_000_000
-SPREAD = 8  # a shard never holds more than this many times the target
+TARGET_ROWS = 8_000_000  # no group of ordered work holds more rows than this
+SPREAD = 4  # shards aim at a quarter of it, to leave room for rows that come in bursts
 
 
 def hot_keys(df: DataFrame, key: str, order: str, target: int = TARGET_ROWS) -> DataFrame | None:
     """Keys with more than ``target`` rows and the width of their shards, or None without any.
 
-    ``order`` is a unique integer, so a range of width w holds at most w rows. The width aims at
-    ``target`` rows for an evenly spread key and is capped at ``SPREAD`` times that, which bounds
-    every shard even if the key's rows are bunched. At most rows/target keys can be hot.
+    ``order`` is a unique integer, so a range of width w holds at most w rows. Widths aim at a
+    fraction of ``target`` for an evenly spread key and never exceed ``target``, which bounds every
+    shard even if the key's rows are bunched. At most rows/target keys can be hot, so their table
+    stays small however large the history is.
     """
     stats = df.groupBy(key).agg(
         F.count("*").alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi")
     ).filter(F.col("_n") > target)
-    shards = F.ceil(F.col("_n") / target)
-    width = F.least(F.ceil((F.col("_hi") - F.col("_lo") + 1) / shards), F.lit(SPREAD * target))
+    shards = F.ceil(F.col("_n") * SPREAD / target)
+    width = F.least(F.ceil((F.col("_hi") - F.col("_lo") + 1) / shards), F.lit(target))
     hot = cut_lineage(stats.select(key, F.col("_lo"), F.greatest(width, F.lit(1)).cast("long").alias("_width")))
     return None if hot.isEmpty() else hot
 

@@ -1,11 +1,12 @@
 """The export jobs: closed Parquet windows, rolling CSV, CSV of a time window, full snapshot.
 
-Uploading is done by whatever moves files; its outcome comes back as a table (file_name, outcome,
-at) and drives the manifests.
+Uploading is done by whatever moves files. Its result is a table (file_name, outcome, at) that drives
+the manifests; a job takes that table, or a function that is given the pending files and returns it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -17,6 +18,13 @@ from tidemark.session import cut_lineage
 from tidemark.sinks import exports
 
 
+Outcomes = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def _outcomes_of(outcomes: Outcomes, pending: DataFrame) -> DataFrame:
+    return outcomes if isinstance(outcomes, DataFrame) else outcomes(pending)
+
+
 @dataclass
 class CycleResult:
     manifest: DataFrame
@@ -42,7 +50,7 @@ def elapsed_range(readings: DataFrame, settings: DataFrame, as_of_ms: int, size_
 
 def partition_cycle(
     readings: DataFrame, tags: DataFrame, plcs: DataFrame, manifest: DataFrame, settings: DataFrame,
-    outcomes: DataFrame, path: str, site: str, as_of_ms: int, hours: int = 6, keep: bool = False,
+    outcomes: Outcomes, path: str, site: str, as_of_ms: int, hours: int = 6, keep: bool = False,
     retention_days: int = 90,
 ) -> CycleResult:
     """Export every closed window in one pass, then record what the uploads achieved.
@@ -61,7 +69,8 @@ def partition_cycle(
         records = manifests.partition_records(stats, site, max(1, hours))
         manifest = cut_lineage(manifests.record_partitions(manifest, records, as_of))
         settings = manifests.put_setting(settings, aggregates.EXPORT_CURSOR_KEY, span[1])
-    manifest = manifests.apply_partition_outcomes(manifest, outcomes, as_of, keep)
+    sent = _outcomes_of(outcomes, manifests.pending_partitions(manifest))
+    manifest = manifests.apply_partition_outcomes(manifest, sent, as_of, keep)
     if keep:
         cutoff = times.retention_cutoff(as_of_ms, retention_days) if retention_days > 0 else None
         manifest = manifests.cleanup_kept(manifest, cutoff)
@@ -71,7 +80,7 @@ def partition_cycle(
 
 
 def rolling_csv(
-    readings: DataFrame, tags: DataFrame, plcs: DataFrame, state: DataFrame, outcomes: DataFrame,
+    readings: DataFrame, tags: DataFrame, plcs: DataFrame, state: DataFrame, outcomes: Outcomes,
     path: str, site: str, as_of: str,
 ) -> DataFrame:
     """Rewrite every controller's CSV, record it, and apply the upload outcomes: the new state."""
@@ -79,7 +88,8 @@ def rolling_csv(
     exports.write_rolling_csv(scans.export_rows(readings, tags, logged), path)
     stats = cut_lineage(aggregates.csv_stats(readings, tags, logged))
     recorded = cut_lineage(manifests.record_exports(state, manifests.export_records(stats, site, path), as_of))
-    return manifests.apply_export_outcomes(recorded, outcomes, as_of)
+    sent = _outcomes_of(outcomes, manifests.pending_uploads(recorded))
+    return manifests.apply_export_outcomes(recorded, sent, as_of)
 
 
 def window_csv(

@@ -15,10 +15,13 @@ from tidemark.sources import inputs
 def prune_dataset(spark: SparkSession, path: str, cutoff_ms: int, watermark: int | None = None) -> int:
     """Remove prunable readings from the dataset at ``path``; returns how many were removed.
 
-    Dates after the cutoff are not touched. A date of which nothing remains is dropped as a folder.
+    Dates after the cutoff are not touched, so ingest may go on meanwhile as long as nothing that old
+    still arrives. A date of which nothing remains is dropped as a folder.
     Any other date that loses rows is rewritten: what remains is first staged in the shared folder,
     so nothing is lost if the job dies between the two writes.
     """
+    if not state.exists(spark, path):
+        return 0
     last_day = times.ms_to_date(cutoff_ms)
     rows = inputs.readings(spark, path).filter(F.col("dt") <= F.lit(last_day))
     prunable = retention.is_prunable(cutoff_ms, watermark)

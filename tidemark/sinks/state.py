@@ -20,19 +20,34 @@ def write_version(table: DataFrame, root: str, version: int) -> str:
     return target
 
 
-def latest_version(spark: SparkSession, root: str) -> int | None:
-    """The newest version whose write completed (the committer leaves a marker file)."""
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """The versions whose write completed (the committer leaves a marker file), oldest first."""
     found = _file_system(spark, root).globStatus(_path(spark, f"{root}/version=*/_SUCCESS"))
-    numbers = [int(f.getPath().getParent().getName().split("=")[1]) for f in (found or [])]
-    return max(numbers, default=None)
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in (found or []))
+
+
+def write_next(table: DataFrame, root: str) -> int:
+    """Write the version after the newest one."""
+    version = max(versions(table.sparkSession, root), default=0) + 1
+    write_version(table, root, version)
+    return version
 
 
 def read_latest(spark: SparkSession, root: str, schema) -> DataFrame:
     """The newest version, or an empty table before the first one."""
-    version = latest_version(spark, root)
-    if version is None:
+    found = versions(spark, root)
+    if not found:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/version={version:012d}")
+    return spark.read.schema(schema).parquet(f"{root}/version={found[-1]:012d}")
+
+
+def drop_old_versions(spark: SparkSession, root: str, keep: int = 10) -> None:
+    """Remove all but the newest versions; a reader pinned to an older one loses it."""
+    drop_folders(spark, [f"{root}/version={version:012d}" for version in versions(spark, root)[:-keep]])
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    return _file_system(spark, path).exists(_path(spark, path))
 
 
 def drop_folders(spark: SparkSession, paths: list[str]) -> None:

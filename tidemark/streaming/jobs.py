@@ -9,6 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.functions.times import HOUR_MS, utc_date
 from tidemark.operators.registry import NULL_TYPE, resolve_notifications
 from tidemark.plans.fleet import normalise
+from tidemark.sinks import state
+from tidemark.sources import inputs
 from tidemark.streaming.processors import deadband_stream
 
 
@@ -23,18 +25,45 @@ def resolved_stream(raw: DataFrame, tags: DataFrame, plcs: DataFrame) -> DataFra
 
 def start_ingest(
     raw: DataFrame, tags: DataFrame, plcs: DataFrame, path: str, checkpoint: str,
-    default_deadband: float = 0.0, exempt_boolean: bool = False, once: bool = False,
+    default_deadband: float = 0.0, exempt_boolean: bool = False, once: bool = False, files_per_batch: int = 4,
 ) -> StreamingQuery:
-    """Raw notifications to stored readings: tag lookup, normalising, deadband, Parquet by date."""
+    """Raw notifications to stored readings: tag lookup, normalising, deadband, Parquet by date.
+
+    A micro-batch is appended as a plain batch write, so the dataset stays one that other jobs can
+    prune. Only the first batch after a start can be a repetition of one that was already written;
+    its rows are compared by id with what its dates hold.
+    """
     readings = resolved_stream(raw, tags, plcs).drop("plc_name", "node_id")
     stored = deadband_stream(readings, tags, default_deadband, exempt_boolean)
+    may_repeat = [True]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("dt", utc_date(F.col("ts_utc")))
+        if not may_repeat:
+            append(rows)
+            return
+        rows = rows.persist()
+        append(_not_stored(rows, path))
+        rows.unpersist()
+        may_repeat.clear()
+
+    def append(rows: DataFrame) -> None:
+        rows.repartition(files_per_batch).write.mode("append").partitionBy("dt").parquet(path)
+
     return (
-        stored.withColumn("dt", utc_date(F.col("ts_utc")))
-        .writeStream.format("parquet").partitionBy("dt").option("path", path)
-        .option("checkpointLocation", checkpoint).outputMode("append").trigger(**trigger(once)).start()
+        stored.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .outputMode("append").trigger(**trigger(once)).start()
     )
 
 
+def _not_stored(rows: DataFrame, path: str) -> DataFrame:
+    if not state.exists(rows.sparkSession, path):
+        return rows
+    days = [row[0] for row in rows.select("dt").distinct().collect()]  # the dates of one micro-batch
+    stored = inputs.readings(rows.sparkSession, path).filter(F.col("dt").isin(days)).select("id")
+    return rows.join(stored, "id", "left_anti")
+
+
 def closed_windows(readings: DataFrame, hours: int = 6, lateness: str = "0 seconds") -> DataFrame:
     """Row count and highest id per window, emitted once the watermark has passed its end."""
     return (
