@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import names
 from tidemark.operators import aggregates
-from tidemark.session import configure, shared_dir
+from tidemark.session import shared_dir
 
 AS_OF = "2024-01-31T00:00:00.000Z"
 AS_OF_MS = 1706659200000
@@ -40,7 +40,7 @@ class Tables:
     """The derived tables over one folder of driver tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = configure(spark), sf_dir
+        self.spark, self.sf_dir = spark, sf_dir
 
     @staticmethod
     @lru_cache(maxsize=8)

@@ -516,6 +516,7 @@ _TEXTS: dict[str, str] = {
         "202401060000", "202401130000"
     ),
 }
+_TEXTS["latest_n_sql"] = _TEXTS["latest_n"]
 _TEXTS["stored_range_scan"] = _TEXTS["scan_range_half_open"]
 _TEXTS["deadband_sharded"] = _TEXTS["deadband_resumed"] = _TEXTS["deadband_batch"]
 _TEXTS["stream_ingest"] = _TEXTS["ingest_batch"]

@@ -16,7 +16,7 @@ from tidemark.operators import (
 )
 from tidemark.plans import exports, fleet
 from tidemark.plans import retention as retention_plan
-from tidemark.session import cut_lineage, shared_dir
+from tidemark.session import configure, cut_lineage, shared_dir
 from tidemark.sinks import exports as writers
 from tidemark.sources import inputs
 from tidemark.streaming import jobs, processors
@@ -35,7 +35,7 @@ FOLDER = "MACHINERY.fb_1"
 
 
 def query(fn: Callable[[Tables], DataFrame]):
-    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Tables.of(spark, sf_dir))
+    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Tables.of(configure(spark), sf_dir))
     return fn
 
 
@@ -65,6 +65,17 @@ def latest_n(t):
     return scans.latest_readings(t.readings(), t.tags(), 20)
 
 
+@query
+def latest_n_sql(t):
+    """The same question asked in SQL over the tables as views."""
+    t.readings().createOrReplaceTempView("tidemark_readings")
+    t.tags().createOrReplaceTempView("tidemark_tags")
+    return t.spark.sql(
+        "SELECT r.id, t.tag_name, from_unixtime(r.ts_utc div 1000) AS ts, r.value, r.quality "
+        "FROM tidemark_readings r JOIN tidemark_tags t ON t.tag_id = r.tag_id ORDER BY r.id DESC LIMIT 20"
+    )
+
+
 @query
 def stored_range_scan(t):
     """Store the readings by date, then scan a half-open range of the dataset."""

@@ -37,13 +37,19 @@ def elapsed_range(readings: DataFrame, settings: DataFrame, as_of_ms: int, size_
     """Start of the first and end of the last window to export, or None when there is nothing yet.
 
     Starts at the cursor or the oldest reading, whichever is later, aligned down; ends before the
-    window that is still open.
+    window that is still open. The oldest reading matters only while nothing is older than the
+    cursor, so a store that has been exported before is not scanned for it.
     """
-    oldest = aggregates.reading_bounds(readings.select("id", "ts_utc")).first()["min_ts"]
-    if oldest < 0:
-        return None
     cursor = aggregates.setting_long(settings, aggregates.EXPORT_CURSOR_KEY).first()[0]
-    first = max(oldest, cursor) // size_ms * size_ms
+    before = scans.in_range(readings, 0, cursor, closed=False)
+    if cursor > 0 and not before.select("ts_utc").isEmpty():
+        start = cursor
+    else:
+        oldest = aggregates.reading_bounds(readings.select("id", "ts_utc")).first()["min_ts"]
+        if oldest < 0:
+            return None
+        start = max(oldest, cursor)
+    first = start // size_ms * size_ms
     last = times.last_elapsed_window(as_of_ms, size_ms)
     return (first, last + size_ms) if first <= last else None
 
