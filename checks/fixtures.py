@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import names
 from tidemark.operators import aggregates
-from tidemark.session import shared_dir
+from tidemark.session import cut_lineage, shared_dir
 
 AS_OF = "2024-01-31T00:00:00.000Z"
 AS_OF_MS = 1706659200000
@@ -123,7 +123,7 @@ class Tables:
     def notification_files(self, pieces: int = 4) -> str:
         """The raw notifications as several files of consecutive ids, in a folder a stream can read."""
         path = shared_dir(self.spark, "notifications")
-        raw = self.raw_notifications()
+        raw = cut_lineage(self.raw_notifications())
         top = raw.agg(F.max("seq")).first()[0] or 0
         step = -(-top // pieces) or 1
         for n in range(pieces):

@@ -59,17 +59,22 @@ def test_any_shard_size_gives_the_sequential_result(spark, mixed, target):
     assert sorted(r[0] for r in kept.select("id").collect()) == expected_ids(mixed, OVERRIDES, 4.0)
 
 
-def test_chaining_in_levels(spark, mixed, monkeypatch):
-    monkeypatch.setattr(deadband, "CHAIN", 3)
-    hot = [r for r in mixed if r[1] == 1 and r[3] == 0]
-    frame = spark.createDataFrame([(i, 1, i // 40, v, 4.0) for i, _, v, _ in hot], "id long, tag_id int, shard long, value double, band double")
+@pytest.mark.parametrize(("setting", "value"), [("CHAIN", 3), ("PROBES_PER_TASK", 40)])
+@pytest.mark.parametrize("shape", ["noise", "creep"])
+def test_chaining_in_levels(spark, mixed, monkeypatch, setting, value, shape):
+    monkeypatch.setattr(deadband, setting, value)
+    if shape == "noise":
+        series = {i: v for i, tag, v, quality in mixed if tag == 1 and quality == 0}
+    else:
+        series = {i: i * 0.05 for i in range(1200)}  # every value is a new maximum
+    frame = spark.createDataFrame([(i, 1, i // 40, v, 4.0) for i, v in series.items()], "id long, tag_id int, shard long, value double, band double")
     transfers = deadband.shard_transfers(frame)
-    entries = {r["shard"]: r["entry"] for r in deadband.shard_entries(transfers, None, chain=3).collect()}
+    entries = {r["shard"]: r["entry"] for r in deadband.shard_entries(transfers, None).collect()}
     last, want = None, {}
-    for shard in sorted({i // 40 for i, *_ in hot}):
+    for shard in sorted({i // 40 for i in series}):
         if last is not None:
             want[shard] = last
-        last = loop([v for i, _, v, _ in hot if i // 40 == shard], 4.0, last)[1]
+        last = loop([v for i, v in series.items() if i // 40 == shard], 4.0, last)[1]
     assert entries == want
 
 

@@ -29,7 +29,8 @@ from tidemark.session import cut_lineage
 # Tasks get the functions of this module by value, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CHAIN = 512  # shard summaries chained by one task
+CHAIN = 512  # shard summaries chained by one task, fewer if they are long
+PROBES_PER_TASK = 2_000_000
 _PROBES = "array<struct<probe:double,final:double>>"
 
 
@@ -124,16 +125,19 @@ def shard_transfers(rows: DataFrame) -> DataFrame:
     return cut_lineage(rows.groupBy("tag_id", "shard").applyInPandas(summarise, schema))
 
 
-def shard_entries(transfers: DataFrame, baseline: DataFrame | None, chain: int = CHAIN) -> DataFrame:
+def shard_entries(transfers: DataFrame, baseline: DataFrame | None) -> DataFrame:
     """(tag_id, shard, entry): the value stored before each shard.
 
-    A tag with more than ``chain`` shards is chained in two or more levels, each group holding at
-    most ``chain`` consecutive summaries. A shard that starts with nothing stored has no row.
+    A tag with more than ``CHAIN`` shards is chained in two or more levels, each group holding at
+    most that many consecutive summaries, or fewer where values that creep in tiny steps make the
+    summaries long. A shard that starts with nothing stored has no row.
     """
     tag_type = _type(transfers, "tag_id")
     out = f"tag_id {tag_type}, shard long, entry double"
+    last_shard, longest = transfers.agg(F.max("shard"), F.max(F.size("probes"))).first()
+    chain = max(2, min(CHAIN, PROBES_PER_TASK // max(1, longest or 0)))
+    groups = (last_shard or 0) // chain
     grouped = transfers.withColumn("_group", F.floor(F.col("shard") / chain))
-    groups = grouped.agg(F.max("_group")).first()[0] or 0
     group_entries = None
     if groups == 0 and baseline is not None:
         group_entries = baseline.select(
@@ -153,7 +157,7 @@ def shard_entries(transfers: DataFrame, baseline: DataFrame | None, chain: int =
                 merge, f"tag_id {tag_type}, shard long, band double, probes {_PROBES}"
             )
         )
-        group_entries = shard_entries(merged, baseline, chain).withColumnRenamed("shard", "_group")
+        group_entries = shard_entries(merged, baseline).withColumnRenamed("shard", "_group")
 
     def walk(key, pdf):
         pdf = pdf.sort_values("shard")

@@ -1,6 +1,9 @@
 """Per-tag state for streams: the last stored value, and the last seen row.
 
-Pandas does not tell NaN from a missing number, so NaN travels as a flag and is put back afterwards.
+Tags share a call and a state entry in buckets, because a call per tag costs far more than the work it
+does. The number of buckets is fixed with the checkpoint: a few per core keeps calls large, and the
+state of a bucket (one entry per tag) small. Pandas does not tell NaN from a missing number, so NaN
+travels as a flag and is put back afterwards.
 
 A tag's rows of one micro-batch arrive in one task, so the trigger size bounds what a hot tag puts
 there (``maxFilesPerTrigger`` or ``maxOffsetsPerTrigger``). They are ordered by id first. Rows that
@@ -25,29 +28,48 @@ from tidemark.operators.joins import lookup_join
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+BUCKETS = 128
+
 # Fixed value: the state store that Python processors require.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _arrays(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, T.ArrayType(kind)) for name, kind in kinds.items()])
+
+
+def _in_order(rows) -> pd.DataFrame:
+    """A bucket's rows of a micro-batch, by tag and id."""
+    return pd.concat(list(rows), ignore_index=True).sort_values(["tag_id", "id"], ignore_index=True)
+
+
+def _runs(tags: np.ndarray):
+    """(tag, start, stop) of each tag's rows in sorted order."""
+    starts = np.flatnonzero(np.r_[True, tags[1:] != tags[:-1]]) if len(tags) else np.array([], dtype=int)
+    return zip(tags[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(tags)])
+
+
 class DeadbandProcessor(StatefulProcessor):
     """Keeps the last stored value of each tag; rows outside the gate pass and leave it alone."""
 
     def init(self, handle):
-        self.last = handle.getValueState("last_stored", T.StructType([T.StructField("value", T.DoubleType())]))
+        self.last = handle.getValueState("last_stored", _arrays(tags=T.LongType(), values=T.DoubleType()))
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values("id", ignore_index=True)
-        last = None
-        if self.last.exists():
-            stored = self.last.get()[0]  # only numbers are ever stored: a missing one is NaN
-            last = float("nan") if stored is None else float(stored)
+        pdf = _in_order(rows)
         gated = pdf["gated"].to_numpy(dtype=bool)
         keep = np.ones(len(pdf), dtype=bool)
         if gated.any():
-            band = float(pdf.loc[gated, "band"].iloc[0])
-            keep[gated], last = gate.gate(pdf.loc[gated, "value"].to_numpy(), band, last)
-            self.last.update((last,))
-        yield pdf.loc[keep].drop(columns=["gated", "band"])
+            state = self.last.get()
+            # only numbers are ever stored: a missing one is NaN
+            last = {} if state is None else {t: float("nan") if v is None else v for t, v in zip(*state)}
+            values, bands = pdf["value"].to_numpy()[gated], pdf["band"].to_numpy()[gated]
+            kept = np.ones(len(values), dtype=bool)
+            for tag, start, stop in _runs(pdf["tag_id"].to_numpy()[gated]):
+                kept[start:stop], last[tag] = gate.gate(values[start:stop], float(bands[start]), last.get(tag))
+            keep[gated] = kept
+            self.last.update((list(last), list(last.values())))
+        yield pdf.loc[keep].drop(columns=["gated", "band", "bucket"])
 
     def close(self):
         pass
@@ -57,33 +79,33 @@ class ChangeProcessor(StatefulProcessor):
     """Keeps the last row of each tag and passes rows that differ from it."""
 
     def init(self, handle):
-        fields = [
-            T.StructField("value", T.DoubleType()), T.StructField("nan", T.BooleanType()),
-            T.StructField("value_text", T.StringType()), T.StructField("quality", T.IntegerType()),
-        ]
-        self.last = handle.getValueState("last_row", T.StructType(fields))
+        kinds = {"values": T.DoubleType(), "nans": T.BooleanType(), "texts": T.StringType(), "qualities": T.IntegerType()}
+        self.last = handle.getValueState("last_row", _arrays(tags=T.LongType(), **kinds))
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values("id", ignore_index=True)
-        last = self.last.get() if self.last.exists() else None
-        last = None if last is None else tuple(last)
+        pdf = _in_order(rows)
+        state = self.last.get()
+        last = {} if state is None else {tag: row for tag, *row in zip(*state)}
         keep = []
-        for value, nan, text, quality in zip(pdf["value"], pdf["is_nan"], pdf["value_text"], pdf["quality"]):
-            row = (None if pd.isna(value) else float(value), bool(nan), text, int(quality))
-            keep.append(row != last)
-            last = row
-        self.last.update(last)
-        yield pdf.loc[keep]
+        for tag, value, nan, text, quality in zip(
+            pdf["tag_id"].tolist(), pdf["value"], pdf["is_nan"].tolist(), pdf["value_text"], pdf["quality"].tolist()
+        ):
+            row = [None if pd.isna(value) else float(value), bool(nan), text, quality]
+            keep.append(row != last.get(tag))
+            last[tag] = row
+        self.last.update((list(last), *(list(column) for column in zip(*last.values()))))
+        yield pdf.loc[keep].drop(columns=["bucket"])
 
     def close(self):
         pass
 
 
-def _per_tag(flagged: DataFrame, processor: StatefulProcessor, schema: T.StructType) -> DataFrame:
-    """Run a processor per tag and give NaN values back."""
+def _per_tag(flagged: DataFrame, processor: StatefulProcessor, schema: T.StructType, buckets: int) -> DataFrame:
+    """Run a processor per bucket of tags and give NaN values back."""
     flagged.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     marked = flagged.withColumn("is_nan", F.coalesce(F.isnan("value"), F.lit(False)))
-    out = marked.groupBy("tag_id").transformWithStateInPandas(
+    bucketed = marked.withColumn("bucket", F.pmod(F.hash("tag_id"), F.lit(buckets)))
+    out = bucketed.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=T.StructType([*schema.fields, T.StructField("is_nan", T.BooleanType())]),
         outputMode="append", timeMode="None",
     )
@@ -91,14 +113,16 @@ def _per_tag(flagged: DataFrame, processor: StatefulProcessor, schema: T.StructT
     return out.withColumn("value", value).drop("is_nan")
 
 
-def deadband_stream(readings: DataFrame, tags: DataFrame, default: float = 0.0, exempt_boolean: bool = False) -> DataFrame:
+def deadband_stream(
+    readings: DataFrame, tags: DataFrame, default: float = 0.0, exempt_boolean: bool = False, buckets: int = BUCKETS
+) -> DataFrame:
     """The deadband over a stream of readings; state survives restarts with the checkpoint."""
     exempt = (F.col("data_type") == "Boolean") if exempt_boolean else None
     banded = lookup_join(readings, effective_deadbands(tags, default), ["tag_id"], "left", salt_on="id")
     gated = banded.withColumn("gated", F.coalesce(is_gated(exempt), F.lit(False)))
-    return _per_tag(gated, DeadbandProcessor(), readings.schema)
+    return _per_tag(gated, DeadbandProcessor(), readings.schema, buckets)
 
 
-def change_stream(readings: DataFrame) -> DataFrame:
+def change_stream(readings: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Change-only rows of a stream of readings."""
-    return _per_tag(readings, ChangeProcessor(), readings.schema)
+    return _per_tag(readings, ChangeProcessor(), readings.schema, buckets)
