@@ -228,6 +228,18 @@ TABLES: dict[str, str] = {
         CASE WHEN d.node_id IS NOT NULL THEN 1 WHEN t.plc_id <> 3 THEN 0 ELSE t.active END AS active, coalesce(t.enabled, 1) AS enabled
         FROM tags t FULL JOIN (SELECT plc_id, node_id, arg_max(tag_name, seq) AS tag_name, min(seq) AS arrival FROM discovered
                                WHERE plc_id NOT IN (3, 4) GROUP BY 1, 2) d ON d.plc_id = t.plc_id AND d.node_id = t.node_id""",
+    "connections": f"""SELECT plc_name, arg_max(kind, seq) = 'connected' AS connected,
+        coalesce(arg_max(endpoint_url, seq) FILTER (kind = 'connected'), '') AS endpoint_url,
+        {iso("arg_max(at_ms, seq) FILTER (kind = 'connected')")} AS last_connected,
+        nullif(arg_max(coalesce(error, ''), seq) FILTER (kind = 'connected' OR error IS NOT NULL), '') AS last_error FROM since GROUP BY 1""",
+    "plc_figures": f"""SELECT p.plc_id, p.name, {iso('s.last')} AS last_sample, coalesce(c.found, 0) AS discovered_tags,
+        coalesce(c.logged, 0) AS monitored_tags FROM plcs p
+        LEFT JOIN (SELECT plc_id, max(ts_received_utc) AS last FROM named GROUP BY 1) s ON s.plc_id = p.plc_id
+        LEFT JOIN (SELECT plc_id, count(*) FILTER (active = 1) AS found, count(*) FILTER (active = 1 AND enabled = 1) AS logged FROM tags GROUP BY 1) c
+          ON c.plc_id = p.plc_id""",
+    "small_windows": f"""SELECT ts_utc // 14400000 * 14400000 AS partition_start FROM named WHERE ts_utc >= {DAY_0 + 20 * DAY} GROUP BY 1""",
+    "resized": """SELECT partition_start, 4 AS partition_hours FROM small_windows UNION ALL SELECT partition_start, 6 FROM old_manifest
+        WHERE partition_start NOT IN (SELECT partition_start FROM small_windows)""",
     "old_export": "SELECT * FROM export_state WHERE plc_id <> 11",
 }
 
@@ -438,6 +450,9 @@ _TEXTS: dict[str, str] = {
              WHERE ts_utc >= {DAY_0 + 20 * DAY} AND quality <> 2 GROUP BY 1)""",
         "2024-01-31T06:00:00.000Z",
     ),
+    "overlapping_partitions": f"""SELECT DISTINCT a.partition_start, a.partition_hours FROM resized a JOIN resized b
+        ON a.partition_start < b.partition_start + b.partition_hours * 3600000
+        AND b.partition_start < a.partition_start + a.partition_hours * 3600000 AND a.partition_start <> b.partition_start""",
     "pending_partitions": """SELECT partition_start, file_name, max_reading_id FROM manifest WHERE uploaded_at IS NULL AND local_deleted = 0""",
     "mark_partitions": _uploaded("SELECT * FROM manifest", "2024-01-31T06:00:00.000Z", keep=False),
     "kept_partitions_cleanup": f"""SELECT * REPLACE (CASE WHEN uploaded_at IS NOT NULL AND partition_start < {CUTOFF} THEN 1 ELSE local_deleted END
@@ -481,19 +496,14 @@ _TEXTS: dict[str, str] = {
     "late_readings": f"SELECT * FROM readings WHERE {_HALF}",
     "late_windows": f"SELECT ts_utc // {W} * {W} AS partition_start, count(*) AS late_rows FROM readings WHERE {_HALF} GROUP BY 1",
     "stream_late_report": f"""SELECT id, tag_id, ts_utc, ts_utc // {W} * {W} AS partition_start FROM live WHERE ts_utc < {DAY_0 + 20 * DAY}""",
-    "health_plcs": f"""SELECT p.plc_id, p.name, {iso('s.last')} AS last_sample, coalesce(c.found, 0) AS discovered_tags,
-        coalesce(c.logged, 0) AS monitored_tags FROM plcs p
-        LEFT JOIN (SELECT plc_id, max(ts_received_utc) AS last FROM named GROUP BY 1) s ON s.plc_id = p.plc_id
-        LEFT JOIN (SELECT plc_id, count(*) FILTER (active = 1) AS found, count(*) FILTER (active = 1 AND enabled = 1) AS logged FROM tags GROUP BY 1) c
-          ON c.plc_id = p.plc_id""",
+    "health_plcs": "SELECT * FROM plc_figures",
     "health_summary": f"""SELECT 'a/b:c' AS site, count(*) AS readings_written, {iso('max(ts_received_utc)')} AS last_write,
         greatest(0, (SELECT count(*) FROM raw) - count(*)) AS buffer_depth, (SELECT max(exported_at) FROM export_state) AS last_export,
         (SELECT max(uploaded_at) FROM export_state) AS last_upload FROM readings""",
     "write_totals": "SELECT count(*) AS readings_written, max(ts_received_utc) AS last_write_ms FROM readings",
-    "connection_state": f"""SELECT plc_name, arg_max(kind, seq) = 'connected' AS connected,
-        coalesce(arg_max(endpoint_url, seq) FILTER (kind = 'connected'), '') AS endpoint_url,
-        {iso("arg_max(at_ms, seq) FILTER (kind = 'connected')")} AS last_connected,
-        nullif(arg_max(coalesce(error, ''), seq) FILTER (kind = 'connected' OR error IS NOT NULL), '') AS last_error FROM since GROUP BY 1""",
+    "connection_state": "SELECT * FROM connections",
+    "health_snapshot": """SELECT c.*, f.last_sample, coalesce(f.discovered_tags, 0) AS discovered_tags, coalesce(f.monitored_tags, 0) AS monitored_tags
+        FROM connections c LEFT JOIN plc_figures f ON f.name = c.plc_name""",
     "backlog": f"""SELECT (SELECT count(*) FROM raw) AS accepted, count(*) AS written, greatest(0, (SELECT count(*) FROM raw) - count(*)) AS backlog
         FROM readings WHERE ts_utc < {END}""",
     "discover_tags": "SELECT plc_name, node_id, tag_name FROM found",

@@ -467,6 +467,15 @@ def pending_partitions(t):
     return manifests.pending_partitions(t.partitions())
 
 
+@query
+def overlapping_partitions(t):
+    """Six-hour windows, and four-hour ones exported from day 20 on after the size was changed."""
+    smaller = t.readings().filter(F.col("ts_utc") >= FIRST_WINDOW_MS + 20 * 86_400_000)
+    stats = aggregates.window_stats(smaller, t.tags(), t.plcs(), 4 * times.HOUR_MS)
+    resized = manifests.record_partitions(_old_manifest(t), manifests.partition_records(stats, SITE, 4), AS_OF)
+    return manifests.overlapping_partitions(resized)
+
+
 @query
 def mark_partitions(t):
     return manifests.apply_partition_outcomes(t.partitions(), t.partition_outcomes(), "2024-01-31T06:00:00.000Z", keep=False)
@@ -716,6 +725,11 @@ def health_summary(t):
     return health.health_summary(t.readings(), t.raw_notifications(), t.export_state(), SITE)
 
 
+@query
+def health_snapshot(t):
+    return health.health_snapshot(t.connection_events(), *_three(t))
+
+
 @query
 def write_totals(t):
     return aggregates.write_totals(t.readings())

@@ -55,6 +55,17 @@ def connection_state(events: DataFrame) -> DataFrame:
     )
 
 
+def health_snapshot(events: DataFrame, readings: DataFrame, tags: DataFrame, plcs: DataFrame) -> DataFrame:
+    """Every controller that has connected or failed to since its last removal, with its figures."""
+    figures = plc_health(readings, tags, plcs).drop("plc_id").withColumnRenamed("name", "plc_name")
+    zero = F.lit(0).cast("long")
+    return (
+        connection_state(events).join(figures, "plc_name", "left")
+        .withColumn("discovered_tags", F.coalesce("discovered_tags", zero))
+        .withColumn("monitored_tags", F.coalesce("monitored_tags", zero)).orderBy("plc_name")
+    )
+
+
 def health_summary(readings: DataFrame, accepted: DataFrame, export_state: DataFrame, site: str) -> DataFrame:
     """One row: readings written, last write, rows still buffered, last export and upload.
 

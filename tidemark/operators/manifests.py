@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import names
+from tidemark.functions.times import HOUR_MS
 from tidemark.operators.joins import inserted, touched, upsert
 
 # States of a rolling CSV file.
@@ -56,6 +57,14 @@ def kept_partitions(manifest: DataFrame, cutoff_ms: int) -> DataFrame:
     return manifest.filter(old).select("partition_start", "file_name").orderBy("partition_start")
 
 
+def overlapping_partitions(manifest: DataFrame) -> DataFrame:
+    """Windows that share an hour with another one, as happens after the window size was changed."""
+    hour = F.explode(F.transform(F.sequence(F.lit(0), F.col("partition_hours") - 1), lambda n: F.col("partition_start") + n * HOUR_MS))
+    hours = manifest.select("partition_start", "partition_hours", hour.alias("_hour"))
+    shared = hours.groupBy("_hour").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
+    return hours.join(shared, "_hour", "left_semi").select("partition_start", "partition_hours").distinct()
+
+
 def mark_partitions_uploaded(manifest: DataFrame, starts: DataFrame, as_of: str) -> DataFrame:
     return _mark(manifest, starts, "partition_start", {"uploaded_at": F.lit(as_of)})
 

@@ -36,7 +36,7 @@ def prune_dataset(spark: SparkSession, path: str, cutoff_ms: int, watermark: int
         staged = shared_dir(spark, "retained")
         keep = rows.filter(F.col("dt").isin(rewrite) & ~prunable).drop("dt")
         exports.write_readings(keep, staged, "errorifexists")
-        exports.write_readings(inputs.readings(spark, staged).drop("dt"), path, "overwrite")
+        exports.replace_dates(inputs.readings(spark, staged), path)
     state.drop_folders(spark, [f"{path}/dt={day.isoformat()}" for day in drop])
     return sum(row["pruned"] for row in per_date)
 

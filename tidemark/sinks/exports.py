@@ -21,8 +21,15 @@ def write_readings(readings: DataFrame, path: str, mode: str = "append") -> None
     (
         readings.withColumn("dt", times.utc_date(F.col("ts_utc")))
         .repartitionByRange("dt", "tag_id", "ts_utc").sortWithinPartitions("dt", "tag_id", "ts_utc")
-        .write.partitionBy("dt").option("maxRecordsPerFile", ROWS_PER_FILE)
-        .option("partitionOverwriteMode", "dynamic").mode(mode).parquet(path)
+        .write.partitionBy("dt").option("maxRecordsPerFile", ROWS_PER_FILE).mode(mode).parquet(path)
+    )
+
+
+def replace_dates(readings: DataFrame, path: str) -> None:
+    """Put already arranged readings (with ``dt``) in place of what their dates hold; no shuffle."""
+    (
+        readings.write.partitionBy("dt").option("maxRecordsPerFile", ROWS_PER_FILE)
+        .option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
     )
 
 
