@@ -18,6 +18,7 @@ from tidemark.plans import exports, fleet
 from tidemark.plans import retention as retention_plan
 from tidemark.session import configure, cut_lineage, shared_dir
 from tidemark.sinks import exports as writers
+from tidemark.sinks import state
 from tidemark.sources import inputs
 from tidemark.streaming import jobs, processors
 
@@ -674,16 +675,18 @@ def stream_closed_windows(t):
 
 @query
 def stream_health(t):
-    path, checkpoint = _paths(t, "health")
-    jobs.start_changelog(jobs.running_health(_stream(t)), path, checkpoint, once=True).awaitTermination()
-    return jobs.newest(t.spark.read.parquet(path), "plc_name")
+    root, checkpoint = _paths(t, "health")
+    figures = jobs.running_health(_stream(t))
+    jobs.start_current(figures, root, "plc_name", checkpoint, once=True).awaitTermination()
+    return state.read_latest(t.spark, root, figures.schema)
 
 
 @query
 def stream_first_type(t):
-    path, checkpoint = _paths(t, "types")
-    jobs.start_changelog(jobs.running_first_type(_stream(t)), path, checkpoint, once=True).awaitTermination()
-    return jobs.newest(t.spark.read.parquet(path), "tag_id")
+    root, checkpoint = _paths(t, "types")
+    types = jobs.running_first_type(_stream(t))
+    jobs.start_current(types, root, "tag_id", checkpoint, once=True).awaitTermination()
+    return state.read_latest(t.spark, root, types.schema)
 
 
 def _late(t):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.operators import sampling
 from tidemark.plans import fleet
+from tidemark.sinks import state
 from tidemark.sources import inputs
 from tidemark.streaming import jobs, processors
 
@@ -98,23 +99,23 @@ def test_only_closed_windows_are_emitted(spark, dims, folder):
     assert rows(spark.read.parquet(path)) == [(start, 1, 1)]
 
 
-def test_change_log_of_running_health(spark, dims, folder):
-    source, path, checkpoint = folder("feed"), folder("health"), folder("checkpoint")
-    for part in (FEED[:4], FEED[4:]):
+def test_running_health_is_kept_current(spark, dims, folder):
+    source, root, checkpoint = folder("feed"), folder("health"), folder("checkpoint")
+    for part, total in ((FEED[:4], 4), (FEED[4:], 15)):
         feed(spark, source, part)
         health = jobs.running_health(readings_stream(spark, dims, source))
-        jobs.start_changelog(health, path, checkpoint, once=True).awaitTermination()
-    log = spark.read.parquet(path)
-    assert log.count() == 2
-    assert rows(jobs.newest(log, "plc_name"), "plc_name", "samples") == [("P", 15)]
+        jobs.start_current(health, root, "plc_name", checkpoint, once=True).awaitTermination()
+        assert rows(state.read_latest(spark, root, health.schema), "plc_name", "samples") == [("P", total)]
+    assert len(state.versions(spark, root)) == 2
 
 
 def test_first_type_is_the_lowest_id_with_a_value(spark, dims, folder):
-    source, path, checkpoint = folder("feed"), folder("types"), folder("checkpoint")
+    source, root, checkpoint = folder("feed"), folder("types"), folder("checkpoint")
     feed(spark, source, [FEED[7], FEED[10], notification(20, value=1.0)])
-    types = jobs.running_first_type(readings_stream(spark, dims, source))
-    jobs.start_changelog(types, path, checkpoint, once=True).awaitTermination()
-    assert rows(jobs.newest(spark.read.parquet(path), "tag_id")) == [(1, "Boolean")]
+    feed(spark, source, [FEED[4], notification(21, text="x")])
+    types = jobs.running_first_type(readings_stream(spark, dims, source, files=1))
+    jobs.start_current(types, root, "tag_id", checkpoint, once=True).awaitTermination()
+    assert rows(state.read_latest(spark, root, types.schema)) == [(1, "Boolean"), (2, "String")]
 
 
 def test_late_report(spark, dims, folder):

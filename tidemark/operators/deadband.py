@@ -46,7 +46,8 @@ def deadbanded_tags(tags: DataFrame, default: float) -> DataFrame:
 
 def is_gated(exempt: Column | None = None) -> Column:
     """Numeric, Good readings of a tag with a deadband; everything else passes untouched."""
-    gated = F.col("value").isNotNull() & (F.col("quality") == values.GOOD_CODE) & F.col("band").isNotNull()
+    good = F.col("quality").eqNullSafe(F.lit(values.GOOD_CODE))
+    gated = F.col("value").isNotNull() & good & F.col("band").isNotNull()
     return gated if exempt is None else gated & ~F.coalesce(exempt, F.lit(False))
 
 
@@ -62,7 +63,7 @@ def deadband(
 
     ``exempt`` marks readings that always pass (booleans, for sites that never want a transition
     dropped). ``baseline`` (tag_id, last_stored) continues an earlier run, so a history can be
-    thinned day by day. ``target`` is the shard size for hot tags.
+    thinned day by day. Tags with more than ``target`` rows are hot.
     """
     columns = readings.columns
     banded = lookup_join(readings, effective_deadbands(tags, default), ["tag_id"], "left", salt_on="id")

@@ -2,7 +2,8 @@
 
 Layout: ``readings`` by date, ``tables/<name>/version=N`` for the state tables, ``partitions`` for
 exported windows, ``csv`` for rolling CSV files, ``windows-csv`` and ``snapshots`` for one-off copies.
-Every job reads the newest complete version of what it needs and writes the next one.
+Every job reads the newest complete version of what it needs and writes the next one; the last fifty
+versions of a table are kept.
 """
 
 from __future__ import annotations
@@ -35,7 +36,10 @@ class Historian:
         return state.read_latest(self.spark, f"{self.root}/tables/{name}", TABLES[name])
 
     def save(self, name: str, table: DataFrame) -> int:
-        return state.write_next(table.select(*TABLES[name].fieldNames()), f"{self.root}/tables/{name}")
+        folder = f"{self.root}/tables/{name}"
+        version = state.write_next(table.select(*TABLES[name].fieldNames()), folder)
+        state.drop_old_versions(self.spark, folder, keep=50)
+        return version
 
     def readings(self) -> DataFrame:
         path = f"{self.root}/readings"

@@ -33,12 +33,14 @@ def write_next(table: DataFrame, root: str) -> int:
     return version
 
 
+def read_version(spark: SparkSession, root: str, version: int, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{root}/version={version:012d}")
+
+
 def read_latest(spark: SparkSession, root: str, schema) -> DataFrame:
     """The newest version, or an empty table before the first one."""
     found = versions(spark, root)
-    if not found:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/version={found[-1]:012d}")
+    return read_version(spark, root, found[-1], schema) if found else spark.createDataFrame([], schema)
 
 
 def drop_old_versions(spark: SparkSession, root: str, keep: int = 10) -> None:

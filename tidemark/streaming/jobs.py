@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.functions.times import HOUR_MS, utc_date
+from tidemark.functions.times import HOUR_MS, utc_date, window_start
 from tidemark.operators.registry import NULL_TYPE, resolve_notifications
 from tidemark.plans.fleet import normalise
 from tidemark.sinks import state
@@ -81,13 +81,23 @@ def start_append(df: DataFrame, path: str, checkpoint: str, once: bool = False)
     )
 
 
-def start_changelog(df: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Write each micro-batch of an updating aggregate under its batch number.
+def start_current(df: DataFrame, root: str, key: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Keep a table with the current row per key of an updating aggregate.
 
-    A repeated batch replaces its own folder. ``newest`` reads the current value per key.
+    Each micro-batch writes the version that carries its number: the version before it with the
+    changed keys replaced, so a repeated batch writes the same again. The table has one row per key
+    and a few versions are kept; ``state.read_latest`` reads it. ``root`` belongs to the checkpoint.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        before = [version for version in state.versions(spark, root) if version <= batch_id]
+        merged = batch = batch.persist()
+        if before:
+            old = state.read_version(spark, root, before[-1], batch.schema)
+            merged = old.join(batch.select(key), key, "left_anti").unionByName(batch)
+        state.write_version(merged, root, batch_id + 1)
+        batch.unpersist()
+        state.drop_old_versions(spark, root)
 
     return (
         df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -95,14 +105,6 @@ def start_changelog(df: DataFrame, path: str, checkpoint: str, once: bool = Fals
     )
 
 
-def newest(changelog: DataFrame, key: str) -> DataFrame:
-    """The latest row per key of a change log read back with its ``batch`` column."""
-    rest = [c for c in changelog.columns if c not in (key, "batch")]
-    return (
-        changelog.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("_row")).select(key, "_row.*")
-    )
-
-
 def running_health(readings: DataFrame) -> DataFrame:
     """Rows and last receive time per controller so far."""
     return readings.groupBy("plc_name").agg(
@@ -127,10 +129,11 @@ def start_late_report(
     size = hours * HOUR_MS
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        late = batch.filter(F.col("ts_utc") < cursor())
-        late.withColumn("partition_start", F.col("ts_utc") - F.pmod("ts_utc", F.lit(size))).write.mode(
-            "overwrite"
-        ).parquet(f"{path}/batch={batch_id}")
+        late = batch.filter(F.col("ts_utc") < cursor()).persist()
+        if not late.isEmpty():
+            named = late.withColumn("partition_start", window_start(F.col("ts_utc"), size))
+            named.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        late.unpersist()
 
     return (
         readings.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
