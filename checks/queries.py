@@ -636,6 +636,17 @@ def _stream(t):
     return jobs.resolved_stream(raw, t.tags(), t.plcs())
 
 
+def _run(t, start):
+    """Start a stream with one state partition per core of the session, and wait for its end."""
+    setting = "spark.sql.shuffle.partitions"
+    before = t.spark.conf.get(setting)
+    t.spark.conf.set(setting, str(t.spark.sparkContext.defaultParallelism))
+    try:
+        start().awaitTermination()
+    finally:
+        t.spark.conf.set(setting, before)
+
+
 def _paths(t, name):
     return shared_dir(t.spark, name), shared_dir(t.spark, f"{name}-checkpoint")
 
@@ -644,7 +655,7 @@ def _paths(t, name):
 def stream_ingest(t):
     path, checkpoint = _paths(t, "ingested")
     raw = inputs.notification_stream(t.spark, t.notification_files(), files_per_trigger=1)
-    jobs.start_ingest(raw, t.tags(), t.plcs(), path, checkpoint, DEFAULT_DEADBAND, once=True).awaitTermination()
+    _run(t, lambda: jobs.start_ingest(raw, t.tags(), t.plcs(), path, checkpoint, DEFAULT_DEADBAND, once=True))
     return t.spark.read.parquet(path).drop("dt")
 
 
@@ -652,9 +663,8 @@ def stream_ingest(t):
 def deadband_stream(t):
     path, checkpoint = _paths(t, "thinned")
     stream = _stream(t).drop("plc_name", "node_id")
-    jobs.start_append(
-        processors.deadband_stream(stream, t.tags(), DEFAULT_DEADBAND, exempt_boolean=True), path, checkpoint, once=True
-    ).awaitTermination()
+    thinned = processors.deadband_stream(stream, t.tags(), DEFAULT_DEADBAND, exempt_boolean=True)
+    _run(t, lambda: jobs.start_append(thinned, path, checkpoint, once=True))
     return t.spark.read.parquet(path)
 
 
@@ -662,14 +672,14 @@ def deadband_stream(t):
 def change_stream(t):
     path, checkpoint = _paths(t, "changed")
     coarse = _stream(t).drop("plc_name", "node_id").withColumn("value", F.floor(F.col("value") / 20).cast("double") * 20)
-    jobs.start_append(processors.change_stream(coarse), path, checkpoint, once=True).awaitTermination()
+    _run(t, lambda: jobs.start_append(processors.change_stream(coarse), path, checkpoint, once=True))
     return t.spark.read.parquet(path)
 
 
 @query
 def stream_closed_windows(t):
     path, checkpoint = _paths(t, "closed")
-    jobs.start_append(jobs.closed_windows(_stream(t), WINDOW_HOURS), path, checkpoint, once=True).awaitTermination()
+    _run(t, lambda: jobs.start_append(jobs.closed_windows(_stream(t), WINDOW_HOURS), path, checkpoint, once=True))
     return t.spark.read.parquet(path)
 
 
@@ -677,7 +687,7 @@ def stream_closed_windows(t):
 def stream_health(t):
     root, checkpoint = _paths(t, "health")
     figures = jobs.running_health(_stream(t))
-    jobs.start_current(figures, root, "plc_name", checkpoint, once=True).awaitTermination()
+    _run(t, lambda: jobs.start_current(figures, root, "plc_name", checkpoint, once=True))
     return state.read_latest(t.spark, root, figures.schema)
 
 
@@ -685,7 +695,7 @@ def stream_health(t):
 def stream_first_type(t):
     root, checkpoint = _paths(t, "types")
     types = jobs.running_first_type(_stream(t))
-    jobs.start_current(types, root, "tag_id", checkpoint, once=True).awaitTermination()
+    _run(t, lambda: jobs.start_current(types, root, "tag_id", checkpoint, once=True))
     return state.read_latest(t.spark, root, types.schema)
 
 
@@ -712,7 +722,7 @@ def stream_late_report(t):
     path, checkpoint = _paths(t, "late")
     stream = _stream(t).select("id", "tag_id", "ts_utc")
     cursor = FIRST_WINDOW_MS + 20 * 86_400_000
-    jobs.start_late_report(stream, path, checkpoint, lambda: cursor, WINDOW_HOURS, once=True).awaitTermination()
+    _run(t, lambda: jobs.start_late_report(stream, path, checkpoint, lambda: cursor, WINDOW_HOURS, once=True))
     return t.spark.read.parquet(path).drop("batch")
 
 
