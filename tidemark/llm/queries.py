@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.mixing import mix
+from tidemark.llm.secret_scan import secret_spans, span_digest
 from tidemark.llm.topk_search import topk_search
+from tidemark.llm.warc import archive_round_trip
+from tidemark.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +65,46 @@ def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of every hundredth vector among all vectors."""
     vectors = table(spark, sf_dir, "embeddings")
     return topk_search(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10, scale=1024)
+
+
+@query(r"""
+WITH whole AS (
+    SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hexadecimal FROM pages
+), digits AS (
+    SELECT page_id, html, list_transform(range(8), lambda i: CAST(('0x' || substr(hexadecimal, CAST(5 * i + 1 AS BIGINT), 5)) AS BIGINT)) AS fives
+    FROM whole
+), hashed AS (
+    SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+           array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               CAST(((fives[i // 4 + 1] >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest
+    FROM digits
+), first AS (
+    SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM hashed
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM first
+""")
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it comes back from the archives it was written to."""
+    captures = archive_round_trip(table(spark, sf_dir, "pages"), shared_dir(spark, "warc"), with_payload=False)
+    field = lambda name: F.col("metadata.fields")[name].cast("long")
+    revisit = F.col("response.type") == "revisit"
+    return captures.select(
+        field("pageId").alias("page_id"),
+        F.when(revisit, field("payloadLength")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"),
+        field("revisitOf").alias("refers_to"),
+    )
+
+
+@query()
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    return span_digest(secret_spans(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document the mix takes."""
+    return mix(table(spark, sf_dir, "documents")).drop("text_sha256")
