@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -45,7 +46,7 @@ def map_texts(df: DataFrame, column: str, function: Callable[[pa.StringArray], l
 
 def _split(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Slices of about BATCH_BYTES of text, at least one row each."""
-    lengths = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0))
+    lengths = np.asarray(pc.binary_length(batch.column(column)).fill_null(0))
     total, start = 0, 0
     for i, n in enumerate(lengths):
         if total and total + n > BATCH_BYTES:
@@ -58,7 +59,7 @@ def _split(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of an array of texts, and where each text begins (one more entry than texts)."""
-    wide = isinstance(texts.type, pa.LargeStringType) or texts.type == pa.large_string()
+    wide = texts.type == pa.large_string()
     offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = texts.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
@@ -79,6 +80,11 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+def step(i: int) -> np.uint64:
+    """The i-th of a sequence of well spread 64-bit numbers."""
+    return np.uint64(i * int(GOLDEN) & 0xFFFFFFFFFFFFFFFF)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spreads every bit of 64-bit numbers over all 64 (two xor-shift-multiply rounds)."""
     x = x ^ (x >> np.uint64(30))
@@ -119,5 +125,5 @@ def joined_hashes(parts: np.ndarray, first: np.ndarray, count: int) -> np.ndarra
     """Order-dependent hashes of ``count`` neighbouring entries of ``parts`` that start at ``first``."""
     out = np.zeros(len(first), dtype=np.uint64)
     for i in range(count):
-        out = mixed(out * np.uint64(3) + parts[first + i] + np.uint64(i + 1) * GOLDEN)
+        out = mixed(out * np.uint64(3) + parts[first + i] + step(i + 1))
     return out

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.bag_minhash import near_duplicates
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.mixing import mix
 from tidemark.llm.secret_scan import secret_spans, span_digest
@@ -108,3 +109,9 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of every document the mix takes."""
     return mix(table(spark, sf_dir, "documents")).drop("text_sha256")
+
+
+@query()
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its group of near duplicates."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
