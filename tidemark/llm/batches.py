@@ -80,7 +80,7 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def step(i: int) -> np.uint64:
+def spread(i: int) -> np.uint64:
     """The i-th of a sequence of well spread 64-bit numbers."""
     return np.uint64(i * int(GOLDEN) & 0xFFFFFFFFFFFFFFFF)
 
@@ -125,5 +125,5 @@ def joined_hashes(parts: np.ndarray, first: np.ndarray, count: int) -> np.ndarra
     """Order-dependent hashes of ``count`` neighbouring entries of ``parts`` that start at ``first``."""
     out = np.zeros(len(first), dtype=np.uint64)
     for i in range(count):
-        out = mixed(out * np.uint64(3) + parts[first + i] + step(i + 1))
+        out = mixed(out * np.uint64(3) + parts[first + i] + spread(i + 1))
     return out
