@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from tidemark.llm.bag_minhash import near_duplicates
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.mixing import mix
+from tidemark.llm.quality import score_documents
 from tidemark.llm.secret_scan import secret_spans, span_digest
 from tidemark.llm.topk_search import topk_search
+from tidemark.llm.url_filter import judge_urls
 from tidemark.llm.warc import archive_round_trip
 from tidemark.session import shared_dir
 
+# The rules of the url query: host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -115,3 +120,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its group of near duplicates."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(table(spark, sf_dir, "pages"), rules)
