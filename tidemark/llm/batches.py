@@ -38,7 +38,7 @@ def map_texts(df: DataFrame, column: str, function: Callable[[pa.StringArray], l
                 texts = part.column(column)
                 if texts.null_count:
                     texts = texts.fill_null("")
-                made = [pa.array(v, type=k) for v, k in zip(function(texts), kinds, strict=True)]
+                made = [v.cast(k) if isinstance(v, pa.Array) else pa.array(v, type=k) for v, k in zip(function(texts), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in others] + made, names=names)
 
     return df.mapInArrow(run, T.StructType([*others, *fields]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bag_minhash import near_duplicates
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.license_scan import license_matches
 from tidemark.llm.mixing import mix
+from tidemark.llm.pieces import Vocabulary, encode
 from tidemark.llm.quality import score_documents
 from tidemark.llm.secret_scan import secret_spans, span_digest
 from tidemark.llm.topk_search import topk_search
@@ -17,6 +20,7 @@ from tidemark.llm.url_filter import judge_urls
 from tidemark.llm.warc import archive_round_trip
 from tidemark.session import shared_dir
 
+PIECES = os.environ.get("TIDEMARK_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 # The rules of the url query: host, path, verdict.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -133,3 +137,17 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's url."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+@query()
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document, and whether they decode to it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode(docs, Vocabulary(PIECES)).select("doc_id", F.size("ids").alias("n_ids"), "ids", "round_trip")
+
+
+@query()
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices found in the documents."""
+    found = license_matches(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
