@@ -2,18 +2,48 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.bag_minhash import drop_near_duplicates
 from tidemark.llm.exact_dedup import drop_duplicates
+from tidemark.llm.mixing import mixed_documents
+from tidemark.llm.pieces import Vocabulary, encode
+from tidemark.llm.quality import keep_good
 from tidemark.session import cut_lineage
 
+PIECES = os.environ.get("TIDEMARK_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches 0.7 stay."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of equal texts stays."""
     return drop_duplicates(docs)
 
 
-STAGES = [("exact dedup", exact_copies)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near duplicates stays."""
+    return drop_near_duplicates(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources brought to their target weights: documents leave as often as the mix draws them."""
+    return mixed_documents(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_chars, ids and round_trip of every document of the mix."""
+    return encode(docs, Vocabulary(PIECES))
+
+
+STAGES = [
+    ("quality classifier", quality), ("exact dedup", exact_copies), ("near dedup", near_copies), ("mixing", mixture), ("sentencepiece", token_ids),
+]
 ORACLE_SQL = None
 
 
