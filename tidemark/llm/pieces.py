@@ -371,11 +371,13 @@ def encode(
     irregular pieces (such as long runs of spaces), are merged step by step. No text is shuffled.
 
     Null and empty texts have no ids. A text's own space marks come back as spaces, otherwise decoding gives
-    the text. Repeated rows give repeated rows, an empty table none; other columns pass through.
+    the text. Repeated rows give repeated rows, an empty table none; other columns pass through, but columns
+    that have the names of the new ones are replaced.
     """
     found = encode_words(frequent_words(docs, text_col, vocabulary.prefix, dictionary_words), vocabulary).toPandas()
     encoder = Encoder(vocabulary, found["word"].tolist(), [np.asarray(i, dtype=np.int32) for i in found["ids"]])
     shared = docs.sparkSession.sparkContext.broadcast(encoder)
+    docs = docs.drop(ids, round_trip)
 
     def run(texts: pa.StringArray) -> list:
         flat, bounds, same = shared.value.encode(texts)
