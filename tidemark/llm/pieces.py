@@ -20,7 +20,7 @@ from tidemark.session import cut_lineage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SPACE_MARK = "▁"
-FOLD_CHARS = 62  # the cuts of a word are the bits of a long
+FOLD_CHARS = 61  # the cuts of a word are the bits of a long, below its sign
 DICTIONARY_WORDS = 100_000
 CACHED_WORDS = 1_000_000
 FILTER_BITS = 20
