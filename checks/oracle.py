@@ -113,7 +113,7 @@ TABLES: dict[str, str] = {
         FROM normal n JOIN tags t ON t.tag_id = n.raw_tag WHERE t.active = 1 AND t.enabled = 1""",
     "bands": f"""SELECT tag_id, coalesce(deadband_override, {BAND}) AS band FROM tags
         WHERE coalesce(deadband_override, {BAND}) > 0""",
-    "windows": f"""SELECT ts_utc // {W} * {W} AS partition_start, count(*)::INT AS row_count, max(id) AS max_reading_id
+    "windows": f"""SELECT ts_utc // {W} * {W} AS partition_start, count(*) AS row_count, max(id) AS max_reading_id
         FROM named GROUP BY 1""",
     "manifest": f"""SELECT partition_start, 6 AS partition_hours, {window_file('partition_start')} AS file_name,
         row_count, max_reading_id, '{AS_OF}' AS exported_at,
@@ -121,10 +121,10 @@ TABLES: dict[str, str] = {
         CASE WHEN (partition_start - {DAY_0}) // {W} % 5 = 0 AND (partition_start - {DAY_0}) // {W} % 4 <> 3
              THEN 1 ELSE 0 END AS local_deleted FROM windows""",
     "old_manifest": f"SELECT * FROM manifest WHERE partition_start < {DAY_0 + 25 * DAY}",
-    "plc_stats": f"""SELECT plc_id, plc_name, count(*)::INT AS row_count, max(id) AS max_reading_id,
+    "plc_stats": f"""SELECT plc_id, plc_name, count(*) AS row_count, max(id) AS max_reading_id,
         {iso('arg_min(ts_utc, id)')} AS period_start, {iso('arg_max(ts_utc, id)')} AS period_end
         FROM named GROUP BY 1, 2""",
-    "half_stats": f"""SELECT plc_id, plc_name, count(*)::INT AS row_count, max(id) AS max_reading_id
+    "half_stats": f"""SELECT plc_id, plc_name, count(*) AS row_count, max(id) AS max_reading_id
         FROM named WHERE ts_utc < {DAY_0 + 15 * DAY} GROUP BY 1, 2""",
     "export_state": f"""SELECT plc_id, '{SITE}-' || plc_name || '.csv' AS file_name,
         'exports/{SITE}-' || plc_name || '.csv' AS file_path, max_reading_id AS last_reading_id, row_count,
@@ -192,7 +192,7 @@ TABLES: dict[str, str] = {
     "doubles": """SELECT site, lower(name) AS name_key, arg_min(name, position) AS name, count(*) AS copies
         FROM entries GROUP BY 1, 2 HAVING count(*) > 1""",
     "issues": f"""
-        SELECT site, 'Warning' AS severity, 'Site name is empty — exports and the dashboard will be unlabeled. Set it on the Settings page.' AS message
+        SELECT site, 'Warning' AS severity, 'Site name is empty: export files will carry the default name.' AS message
           FROM sites WHERE site_name = ''
         UNION ALL SELECT site, 'Warning', 'No PLCs are configured — nothing will be logged until one is added.' FROM sites WHERE site % 8 = 5
         UNION ALL SELECT site, 'Error', 'PLC ''' || name || ''': ' || error FROM
@@ -305,7 +305,7 @@ def _uploaded(manifest: str, as_of: str, keep: bool) -> str:
 
 
 def _recorded_exports(old: str) -> str:
-    return f"""SELECT s.plc_id, '{SITE}-' || s.plc_name || '.csv' AS file_name, 'exports/{SITE}-' || s.plc_name || '.csv' AS file_path,
+    return f"""SELECT s.plc_id, '{SITE}-' || s.plc_name || '.csv' AS file_name, 'exports/plc=' || s.plc_name AS file_path,
           s.max_reading_id AS last_reading_id, s.row_count, '{AS_OF}' AS exported_at,
           coalesce(o.uploaded_reading_id, 0) AS uploaded_reading_id, o.uploaded_at,
           CASE WHEN o.plc_id IS NULL OR s.max_reading_id > o.uploaded_reading_id THEN 'Pending' ELSE o.status END AS status
@@ -446,7 +446,7 @@ _TEXTS: dict[str, str] = {
         FROM settings""",
     "record_partition": _recorded(
         "old_manifest",
-        f"""(SELECT ts_utc // {W} * {W} AS partition_start, count(*)::INT AS row_count, max(id) AS max_reading_id FROM named
+        f"""(SELECT ts_utc // {W} * {W} AS partition_start, count(*) AS row_count, max(id) AS max_reading_id FROM named
              WHERE ts_utc >= {DAY_0 + 20 * DAY} AND quality <> 2 GROUP BY 1)""",
         "2024-01-31T06:00:00.000Z",
     ),
@@ -488,7 +488,7 @@ _TEXTS: dict[str, str] = {
         WHERE n = 1""",
     "queue_last_n": f"""SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY tag_id, ts_utc // {DAY} ORDER BY id DESC) AS n FROM readings)
         WHERE n <= 2""",
-    "stream_closed_windows": f"""SELECT ts_utc // {W} * {W} AS partition_start, count(*)::INT AS row_count, max(id) AS max_reading_id FROM live
+    "stream_closed_windows": f"""SELECT ts_utc // {W} * {W} AS partition_start, count(*) AS row_count, max(id) AS max_reading_id FROM live
         GROUP BY 1 HAVING ts_utc // {W} * {W} + {W} <= (SELECT max(ts_utc) FROM live)""",
     "change_stream": _changed("(SELECT * EXCLUDE (plc_name) FROM live)"),
     "stream_health": "SELECT plc_name, count(*) AS samples, max(ts_received_utc) AS last_sample_ms FROM live GROUP BY 1",
@@ -520,7 +520,7 @@ _TEXTS: dict[str, str] = {
         AS_OF, keep=False,
     ),
     "csv_run": _sent(_recorded_exports("export_state")),
-    "window_csv_run": f"""SELECT plc_id, plc_name, count(*)::INT AS row_count, max(id) AS max_reading_id, {iso('arg_min(ts_utc, id)')} AS period_start,
+    "window_csv_run": f"""SELECT plc_id, plc_name, count(*) AS row_count, max(id) AS max_reading_id, {iso('arg_min(ts_utc, id)')} AS period_start,
         {iso('arg_max(ts_utc, id)')} AS period_end,
         '{SITE}-' || plc_name || '-{{}}_{{}}.csv' AS file_name FROM named WHERE ts_utc BETWEEN {START} AND {END} GROUP BY 1, 2""".format(
         "202401060000", "202401130000"

@@ -72,8 +72,9 @@ def latest_n_sql(t):
     t.readings().createOrReplaceTempView("tidemark_readings")
     t.tags().createOrReplaceTempView("tidemark_tags")
     return t.spark.sql(
-        "SELECT r.id, t.tag_name, from_unixtime(r.ts_utc div 1000) AS ts, r.value, r.quality "
-        "FROM tidemark_readings r JOIN tidemark_tags t ON t.tag_id = r.tag_id ORDER BY r.id DESC LIMIT 20"
+        "WITH named AS (SELECT * FROM tidemark_tags JOIN tidemark_readings USING (tag_id)) "
+        "SELECT id, tag_name, date_format(timestamp_millis(ts_utc), 'yyyy-MM-dd HH:mm:ss') AS ts, value, quality "
+        "FROM named ORDER BY id DESC LIMIT 20"
     )
 
 
@@ -679,7 +680,7 @@ def change_stream(t):
 @query
 def stream_closed_windows(t):
     path, checkpoint = _paths(t, "closed")
-    _run(t, lambda: jobs.start_append(jobs.closed_windows(_stream(t), WINDOW_HOURS), path, checkpoint, once=True))
+    _run(t, lambda: jobs.start_append(jobs.closed_windows(_stream(t), WINDOW_HOURS, "1 hour"), path, checkpoint, once=True))
     return t.spark.read.parquet(path)
 
 

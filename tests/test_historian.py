@@ -1,7 +1,9 @@
 """The whole life of a history in one folder: register, discover, ingest, export, prune, archive."""
 
 import datetime as dt
+import glob
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -39,12 +41,16 @@ def test_life_cycle(spark, folder):
 
     site.register_views()
     newest = spark.sql(
-        "SELECT t.tag_name, from_unixtime(r.ts_utc div 1000) AS ts, r.value, r.quality FROM readings r "
-        "JOIN tags t ON t.tag_id = r.tag_id ORDER BY r.id DESC LIMIT 2"
+        "SELECT tag_name, timestamp_millis(ts_utc) AS at, value, quality "
+        "FROM tags INNER JOIN readings USING (tag_id) ORDER BY id DESC LIMIT 2"
     )
     assert [r["value"] for r in newest.collect()] == [57.0, 55.0] == [r["value"] for r in site.latest(2).collect()]
 
+    sent = []
+
     def upload(pending):
+        for line in pending.collect():
+            sent.append(spark.read.parquet(line["folder"]).count() if "folder" in pending.columns else spark.read.csv(line["file_path"], header=True).count())
         return pending.select("file_name", F.lit("ok").alias("outcome"), F.lit(None).cast("string").alias("at"))
 
     first = site.run_partition_cycle(upload, T0 + 5 * DAY, hours=24)
@@ -52,9 +58,19 @@ def test_life_cycle(spark, folder):
     manifest = site.table("parquet_partitions")
     assert manifest.count() == 5 and manifest.filter("uploaded_at IS NULL OR local_deleted = 0").count() == 0
     assert manifest.orderBy("partition_start").first()["file_name"] == "Plant-20240101T0000Z.parquet"
+    assert not glob.glob(f"{site.root}/partitions/partition_start=*")
+
+    def broken(pending):
+        raise OSError("no route")
+
+    with pytest.raises(OSError):
+        site.run_partition_cycle(broken, T0 + 8 * DAY, hours=24)
+    waiting = site.table("parquet_partitions").filter("uploaded_at IS NULL")
+    assert waiting.count() == 3 and len(glob.glob(f"{site.root}/partitions/partition_start=*")) == 3
     second = site.run_partition_cycle(upload, T0 + 8 * DAY, hours=24)
-    exported = inputs.exported_windows(spark, f"{site.root}/partitions")
-    assert second.exported.count() == 3 and exported.count() == len(ids)
+    assert second.exported.count() == 0 and sum(sent) == len(ids)
+    assert site.table("parquet_partitions").filter("uploaded_at IS NULL OR local_deleted = 0").count() == 0
+    assert rows(site.table("tags"), "tag_name", "data_type") == [("G.a", "Double"), ("G.b", "Double"), ("G.c", "Unknown")]
 
     site.run_rolling_csv(upload, T0 + 8 * DAY)
     assert rows(site.table("export_state"), "file_name", "row_count", "last_reading_id", "status") == [("Plant-P.csv", len(ids), 57, "Uploaded")]

@@ -93,7 +93,7 @@ def test_only_closed_windows_are_emitted(spark, dims, folder):
     source, path, checkpoint = folder("feed"), folder("closed"), folder("checkpoint")
     feed(spark, source, [notification(1, value=1.0, at=T0), notification(2, value=1.0, at=T0 + 2 * HOUR)])
     feed(spark, source, [notification(3, value=1.0, at=T0 + 4 * HOUR - HOUR / 60)])
-    windows = jobs.closed_windows(readings_stream(spark, dims, source), hours=2)
+    windows = jobs.closed_windows(readings_stream(spark, dims, source), hours=2, lateness="0 seconds")
     jobs.start_append(windows, path, checkpoint, once=True).awaitTermination()
     start = int(T0.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
     assert rows(spark.read.parquet(path)) == [(start, 1, 1)]

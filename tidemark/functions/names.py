@@ -9,12 +9,13 @@ APPLICATION_MARKER = ".Application."
 NODE_ID_PATTERN = r"(?s)^(?:ns=(\d+);)?[isgb]=(.*)$"
 INVALID_FILE_CHARS = r'[\x00-\x1f<>:"/\\|?*]'
 BLANK_SITE = "Site"
+FOLDER_ESCAPES = r"""[\x01-\x1F\x7F"#%'*/:=?\\{\[\]^]"""
 
 
 def namespace_index(node_id: Column) -> Column:
-    """The namespace of a node id; ids without one are in namespace 0."""
+    """The namespace of a node id; ids without one are in namespace 0, numbers too large to be one give null."""
     found = F.regexp_extract(node_id, NODE_ID_PATTERN, 1)
-    return F.when(found == "", F.lit(0)).otherwise(found.cast("int"))
+    return F.when(found == "", F.lit(0)).otherwise(found.try_cast("int"))
 
 
 def identifier(node_id: Column) -> Column:
@@ -55,7 +56,8 @@ def file_name_part(name: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | text.rlike(r"^\s*$")
+    """Null, empty or nothing but Unicode white space."""
+    return text.isNull() | text.rlike(r"(?U)^\s*$")
 
 
 def partition_file(site: Column, start_ms: Column) -> Column:
@@ -67,6 +69,13 @@ def rolling_csv_file(site: Column, plc_name: Column) -> Column:
     return F.concat(file_name_part(site), F.lit("-"), file_name_part(plc_name), F.lit(".csv"))
 
 
+def folder_name(value: Column) -> Column:
+    """A value as it stands in the name of a partition folder, signs that folders cannot hold as %XX."""
+    escaped = F.transform(F.split(value, ""), lambda c: F.when(
+        c.rlike(FOLDER_ESCAPES), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c))
+    return F.array_join(escaped, "")
+
+
 def window_csv_file(site: Column, plc_name: Column, start_ms: Column, end_ms: Column) -> Column:
     start, end = (F.date_format(F.timestamp_millis(ms), "yyyyMMddHHmm") for ms in (start_ms, end_ms))
     return F.concat(

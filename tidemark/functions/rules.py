@@ -19,13 +19,15 @@ PARTITION_TOO_LARGE = "Partition size (%s h) must be ≤ the upload period (%s h
 INTERVAL_TOO_SMALL = "Interval must be at least 1 minute."
 DAY_OF_WEEK_RANGE = "Day of week must be 0 (Sunday) to 6 (Saturday)."
 DAY_OF_MONTH_RANGE = "Day of month must be 1 to 28."
-SITE_NAME_EMPTY = "Site name is empty — exports and the dashboard will be unlabeled. Set it on the Settings page."
+SITE_NAME_EMPTY = "Site name is empty: export files will carry the default name."
 NO_PLCS = "No PLCs are configured — nothing will be logged until one is added."
 PLC_ERROR = "PLC '%s': %s"
 DUPLICATE_NAME = "Duplicate PLC name '%s' — names must be unique."
 PROVIDER_UNKNOWN = "Unknown upload provider '%s' (expected None or GoogleDrive)."
 CREDENTIALS_REQUIRED = "Upload.GoogleDrive.CredentialsPath is required when the provider is GoogleDrive."
-ENDPOINT_PATTERN = r"(?i)^opc\.tcp://(\[[0-9a-f:.]+\]|[^\s/?#:\[\]]+)(:\d{1,5})?([/?#]\S*)?$"
+ENDPOINT_PATTERN = r"(?i)^opc\.tcp://([^\s/?#@]*@)?(\[[0-9a-f:.]+\]|[^\s/?#:@\[\]]+)(:\d{1,5})?([/?#]\S*)?$"
+PORT_PATTERN = r"(?i)^opc\.tcp://(?:[^\s/?#@]*@)?(?:\[[^\]]*\]|[^\s/?#:]*):(\d{1,5})"
+HIGHEST_PORT = 65535
 
 
 def _any_of(column: Column, accepted: list[str]) -> Column:
@@ -34,10 +36,11 @@ def _any_of(column: Column, accepted: list[str]) -> Column:
 
 def plc_error(name: Column, endpoint: Column, policy: Column) -> Column:
     """The first rule a controller entry breaks."""
+    port = F.coalesce(F.regexp_extract(endpoint, PORT_PATTERN, 1).try_cast("int"), F.lit(0))
     return (
         F.when(is_blank(name), F.lit(NAME_REQUIRED))
         .when(is_blank(endpoint), F.lit(ENDPOINT_REQUIRED))
-        .when(~endpoint.rlike(ENDPOINT_PATTERN), F.format_string(ENDPOINT_INVALID, endpoint))
+        .when(~endpoint.rlike(ENDPOINT_PATTERN) | (port > HIGHEST_PORT), F.format_string(ENDPOINT_INVALID, endpoint))
         .when(
             ~F.coalesce(_any_of(policy, SECURITY_POLICIES), F.lit(False)),
             F.format_string(POLICY_UNKNOWN, F.coalesce(policy, F.lit(""))),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import times
-from tidemark.operators.joins import named_readings
+from tidemark.operators.joins import lookup_join, tag_lookup
 
 # The settings keys.
 EXPORT_CURSOR_KEY = "parquet_export_cursor"
@@ -22,23 +22,30 @@ def reading_bounds(readings: DataFrame) -> DataFrame:
 
 
 def csv_stats(readings: DataFrame, tags: DataFrame, plcs: DataFrame) -> DataFrame:
-    """Per controller: rows, highest id, first and last time in id order."""
-    rows = named_readings(readings.select("id", "tag_id", "ts_utc"), tags, plcs)
-    return rows.groupBy("plc_id", "plc_name").agg(
-        F.count("*").cast("int").alias("row_count"),
-        F.max("id").alias("max_reading_id"),
-        times.iso_utc(F.min_by("ts_utc", "id")).alias("period_start"),
-        times.iso_utc(F.max_by("ts_utc", "id")).alias("period_end"),
+    """Per controller: rows, highest id, first and last time in id order.
+
+    Readings are reduced to one row per tag before they meet the tags, so the history is not shuffled.
+    """
+    per_tag = readings.groupBy("tag_id").agg(
+        F.count("*").alias("_n"), F.min("id").alias("_low"), F.max("id").alias("_high"),
+        F.min_by("ts_utc", "id").alias("_first"), F.max_by("ts_utc", "id").alias("_last"),
+    )
+    return lookup_join(per_tag, tag_lookup(tags, plcs), ["tag_id"]).groupBy("plc_id", "plc_name").agg(
+        F.sum("_n").alias("row_count"), F.max("_high").alias("max_reading_id"),
+        times.iso_utc(F.min_by("_first", "_low")).alias("period_start"),
+        times.iso_utc(F.max_by("_last", "_high")).alias("period_end"),
     )
 
 
 def window_stats(readings: DataFrame, tags: DataFrame, plcs: DataFrame, size_ms: int) -> DataFrame:
-    """Per time window: rows and highest id of what an export of that window holds."""
-    rows = named_readings(readings.select("id", "tag_id", "ts_utc"), tags, plcs)
-    return (
-        rows.groupBy(times.window_start(F.col("ts_utc"), size_ms).alias("partition_start"))
-        .agg(F.count("*").cast("int").alias("row_count"), F.max("id").alias("max_reading_id"))
-    )
+    """Per time window: rows and highest id of what an export of that window holds.
+
+    Readings are reduced to one row per tag and window before they meet the tags.
+    """
+    window = times.window_start(F.col("ts_utc"), size_ms).alias("partition_start")
+    per_tag = readings.groupBy("tag_id", window).agg(F.count("*").alias("_n"), F.max("id").alias("_high"))
+    known = lookup_join(per_tag, tag_lookup(tags, plcs).select("tag_id"), ["tag_id"], salt_on="partition_start")
+    return known.groupBy("partition_start").agg(F.sum("_n").alias("row_count"), F.max("_high").alias("max_reading_id"))
 
 
 def run_totals(stats: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import times
-from tidemark.operators.joins import named_readings
+from tidemark.operators.joins import lookup_join, tag_lookup
 from tidemark.operators.registry import is_live
 
 
 def plc_health(readings: DataFrame, tags: DataFrame, plcs: DataFrame) -> DataFrame:
-    """Per controller: last sample, tags found by the last discovery, tags being logged."""
-    samples = (
-        named_readings(readings.select("id", "tag_id", "ts_received_utc"), tags, plcs)
-        .groupBy("plc_id").agg(F.max("ts_received_utc").alias("_last"))
-    )
+    """Per controller: last sample, tags found by the last discovery, tags being logged.
+
+    ``readings`` are the samples as they came in (tag_id, ts_received_utc). Stored readings will do for a
+    store without a deadband; with one, a steady tag stores nothing although it is sampled, so pass the
+    resolved notifications instead.
+    """
+    per_tag = readings.groupBy("tag_id").agg(F.max("ts_received_utc").alias("_last"))
+    samples = lookup_join(per_tag, tag_lookup(tags, plcs), ["tag_id"]).groupBy("plc_id").agg(F.max("_last").alias("_last"))
     counts = tags.groupBy("plc_id").agg(
         F.sum((F.col("active") == 1).cast("long")).alias("_found"),
         F.sum(is_live().cast("long")).alias("_live"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import names
 from tidemark.functions.times import HOUR_MS
-from tidemark.operators.joins import inserted, touched, upsert
+from tidemark.operators.joins import inserted, latest_by_key, touched, upsert
 
 # States of a rolling CSV file.
 PENDING, UPLOADED, UPLOAD_FAILED = "Pending", "Uploaded", "UploadFailed"
@@ -88,8 +88,14 @@ def cleanup_kept(manifest: DataFrame, cutoff_ms: int | None) -> DataFrame:
 
 
 def _with_attempts(table: DataFrame, outcomes: DataFrame, pending: Column, order: str) -> DataFrame:
-    """Add ``_outcome``: what happened to each pending file, null for those after the first failure."""
-    joined = table.join(outcomes.select("file_name", F.col("outcome").alias("_outcome")), "file_name", "left")
+    """Add ``_outcome``: what happened to each pending file, null for those after the first failure.
+
+    Of several outcomes for one file the newest by ``at`` counts; an outcome without a time is the oldest,
+    and of equal times a failure counts before anything else.
+    """
+    rank = F.struct(F.col("at").isNotNull().alias("dated"), "at", (F.col("outcome") == FAILED).alias("bad"), "outcome")
+    newest = latest_by_key(outcomes.select("file_name", "outcome", rank.alias("_rank")), ["file_name"], "_rank")
+    joined = table.join(newest.select("file_name", F.col("outcome").alias("_outcome")), "file_name", "left")
     first_failure = joined.filter(pending & (F.col("_outcome") == FAILED)).agg(F.min(order)).first()[0]
     tried = pending if first_failure is None else pending & (F.col(order) <= first_failure)
     return joined.withColumn("_outcome", F.when(tried, F.col("_outcome")))
@@ -113,9 +119,11 @@ def apply_partition_outcomes(manifest: DataFrame, outcomes: DataFrame, as_of: st
 # Rolling CSV files
 
 def export_records(stats: DataFrame, site: str, directory: str) -> DataFrame:
+    """``file_path`` is the folder that holds the controller's files."""
     file_name = names.rolling_csv_file(F.lit(site), F.col("plc_name"))
+    folder = F.concat(F.lit(f"{directory}/plc="), names.folder_name(F.col("plc_name")))
     return stats.select(
-        "plc_id", file_name.alias("file_name"), F.concat(F.lit(directory + "/"), file_name).alias("file_path"),
+        "plc_id", file_name.alias("file_name"), folder.alias("file_path"),
         F.col("max_reading_id").alias("last_reading_id"), "row_count",
     )
 

@@ -166,6 +166,10 @@ def set_data_types(tags: DataFrame, typed: DataFrame) -> DataFrame:
     )
 
 
+def of_unknown_type(tags: DataFrame) -> DataFrame:
+    return tags.filter(F.col("data_type") == UNKNOWN_TYPE)
+
+
 def first_names(discovered: DataFrame) -> DataFrame:
     """The first name a node was reported under."""
     return discovered.groupBy("plc_id", "node_id").agg(F.min_by("tag_name", "seq").alias("tag_name"))

@@ -57,12 +57,14 @@ def elapsed_range(readings: DataFrame, settings: DataFrame, as_of_ms: int, size_
 def partition_cycle(
     readings: DataFrame, tags: DataFrame, plcs: DataFrame, manifest: DataFrame, settings: DataFrame,
     outcomes: Outcomes, path: str, site: str, as_of_ms: int, hours: int = 6, keep: bool = False,
-    retention_days: int = 90,
+    retention_days: int = 90, recorded: Callable[[DataFrame, int], None] | None = None,
 ) -> CycleResult:
     """Export every closed window in one pass, then record what the uploads achieved.
 
     The manifest changes only after the files are written, and the cursor with it, so a failed run
-    is simply run again. Empty windows write nothing but the cursor passes them.
+    is simply run again. Empty windows write nothing but the cursor passes them. ``recorded`` is handed
+    the manifest and the cursor before anything is uploaded, so that an upload that fails loses neither.
+    Pending windows go to the uploader with the ``folder`` that holds their files.
     """
     size_ms, as_of = max(1, hours) * times.HOUR_MS, times.ms_to_iso(as_of_ms)
     span = elapsed_range(readings, settings, as_of_ms, size_ms)
@@ -75,7 +77,10 @@ def partition_cycle(
         records = manifests.partition_records(stats, site, max(1, hours))
         manifest = cut_lineage(manifests.record_partitions(manifest, records, as_of))
         settings = manifests.put_setting(settings, aggregates.EXPORT_CURSOR_KEY, span[1])
-    sent = _outcomes_of(outcomes, manifests.pending_partitions(manifest))
+        if recorded is not None:
+            recorded(manifest, span[1])
+    folder = F.concat(F.lit(f"{path}/partition_start="), F.col("partition_start").cast("string"))
+    sent = _outcomes_of(outcomes, manifests.pending_partitions(manifest).withColumn("folder", folder))
     manifest = manifests.apply_partition_outcomes(manifest, sent, as_of, keep)
     if keep:
         cutoff = times.retention_cutoff(as_of_ms, retention_days) if retention_days > 0 else None
@@ -87,13 +92,18 @@ def partition_cycle(
 
 def rolling_csv(
     readings: DataFrame, tags: DataFrame, plcs: DataFrame, state: DataFrame, outcomes: Outcomes,
-    path: str, site: str, as_of: str,
+    path: str, site: str, as_of: str, saved: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
-    """Rewrite every controller's CSV, record it, and apply the upload outcomes: the new state."""
+    """Rewrite every controller's CSV, record it, and apply the upload outcomes: the new state.
+
+    ``saved`` is handed the recorded state before anything is uploaded.
+    """
     logged = joins.plcs_with_tags(plcs, tags)
     exports.write_rolling_csv(scans.export_rows(readings, tags, logged), path)
     stats = cut_lineage(aggregates.csv_stats(readings, tags, logged))
     recorded = cut_lineage(manifests.record_exports(state, manifests.export_records(stats, site, path), as_of))
+    if saved is not None:
+        saved(recorded)
     sent = _outcomes_of(outcomes, manifests.pending_uploads(recorded))
     return manifests.apply_export_outcomes(recorded, sent, as_of)
 
@@ -107,7 +117,7 @@ def window_csv(
     refused.
     """
     if end_ms <= start_ms:
-        raise ValueError("End time must be after start time.")
+        raise ValueError(f"the window must end after {start_ms}, not at {end_ms}")
     logged = joins.plcs_with_tags(plcs, tags)
     rows = scans.export_rows_in_range(readings, tags, logged, start_ms, end_ms)
     exports.write_window_csv(rows, path)
@@ -134,16 +144,20 @@ def snapshot(tables: dict[str, DataFrame], path: str) -> DataFrame:
     return summary
 
 
-def snapshot_watermark(
-    tables: dict[str, DataFrame], path: str, delivered: bool
-) -> tuple[DataFrame, DataFrame]:
-    """Snapshot the store and, once it is delivered, move the backup watermark.
+def snapshot_highest(tables: dict[str, DataFrame], path: str) -> tuple[DataFrame, int]:
+    """Snapshot the store: the summary of the copy, and the highest id it surely holds.
 
     The highest id is read before the copy starts, so rows that arrive meanwhile stay above it.
-    Returns the summary of the copy and the new settings.
     """
     highest = aggregates.reading_bounds(tables["readings"].select("id", "ts_utc")).first()["max_id"]
-    summary = snapshot(tables, path)
+    return snapshot(tables, path), highest
+
+
+def snapshot_watermark(
+    tables: dict[str, DataFrame], path: str, delivered: bool
+) -> tuple[DataFrame, DataFrame]:
+    """Snapshot the store and, once it is delivered, move the backup watermark: the summary and the new settings."""
+    summary, highest = snapshot_highest(tables, path)
     settings = tables["settings"]
     if delivered:
         settings = manifests.put_setting(settings, aggregates.BACKUP_WATERMARK_KEY, highest)

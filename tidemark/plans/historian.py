@@ -8,12 +8,15 @@ versions of a table are kept.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark import schemas
 from tidemark.functions import times
-from tidemark.operators import health, registry, scans
+from tidemark.operators import aggregates, health, manifests, registry, scans
 from tidemark.plans import exports, fleet, retention
 from tidemark.session import configure
 from tidemark.sinks import state
@@ -35,12 +38,20 @@ class Historian:
     def table(self, name: str) -> DataFrame:
         return state.read_latest(self.spark, f"{self.root}/tables/{name}", TABLES[name])
 
-    def save(self, name: str, table: DataFrame) -> int:
+    def change(self, name: str, change: Callable[[DataFrame], DataFrame]) -> int:
+        """Replace a table by a change of its newest version; no other writer's change is lost."""
         folder = f"{self.root}/tables/{name}"
-        version = state.write_next(table.select(*TABLES[name].fieldNames()), folder)
+        version = state.update(self.spark, folder, TABLES[name], change)
         state.drop_old_versions(self.spark, folder, keep=50)
         return version
 
+    def save(self, name: str, table: DataFrame) -> int:
+        return self.change(name, lambda _: table)
+
+    def put_setting(self, key: str, value: int) -> None:
+        """Set one key and leave the others as they are now."""
+        self.change("settings", lambda settings: manifests.put_setting(settings, key, value))
+
     def readings(self) -> DataFrame:
         path = f"{self.root}/readings"
         if not state.exists(self.spark, path):
@@ -59,46 +70,76 @@ class Historian:
     # Registry
 
     def upsert_plcs(self, incoming: DataFrame) -> None:
-        self.save("plcs", registry.upsert_plcs(self.table("plcs"), incoming))
+        self.change("plcs", lambda plcs: registry.upsert_plcs(plcs, incoming))
 
     def sync_discovery(self, edges: DataFrame, as_of_ms: int, namespaces=None, tokens=None) -> None:
-        tags = fleet.discovery_sync(edges, *self._dims(), times.ms_to_iso(as_of_ms), namespaces, tokens)
-        self.save("tags", tags)
+        plcs, as_of = self.table("plcs"), times.ms_to_iso(as_of_ms)
+        self.change("tags", lambda tags: fleet.discovery_sync(edges, tags, plcs, as_of, namespaces, tokens))
 
     def set_tags_enabled(self, saved: DataFrame, chosen: DataFrame) -> None:
-        self.save("tags", registry.set_tags_enabled(self.table("tags"), saved, chosen))
+        self.change("tags", lambda tags: registry.set_tags_enabled(tags, saved, chosen))
 
     def toggle_subtree(self, folder: str, on: bool, plc_id: int | None = None) -> None:
-        self.save("tags", registry.toggle_subtree(self.table("tags"), folder, on, plc_id))
+        self.change("tags", lambda tags: registry.toggle_subtree(tags, folder, on, plc_id))
 
     # Ingest
 
     def start_ingest(
-        self, raw: DataFrame, checkpoint: str, default_deadband: float = 0.0, exempt_boolean: bool = False, once: bool = False
+        self, raw: DataFrame, checkpoint: str, default_deadband: float = 0.0, exempt_boolean: bool = False, once: bool = False,
+        **options: object,
     ) -> StreamingQuery:
-        """Store a stream of notifications, with the tags as they are selected now."""
+        """Store a stream of notifications, with the tags as they are selected now, and record the tags' types.
+
+        ``options`` are those of ``jobs.start_ingest``: rows_per_task, buckets, seconds.
+        """
         return jobs.start_ingest(
-            raw, *self._dims(), f"{self.root}/readings", checkpoint, default_deadband, exempt_boolean, once
+            raw, *self._dims(), f"{self.root}/readings", checkpoint, default_deadband, exempt_boolean, once,
+            on_types=self._record_types, **options,
         )
 
+    def _record_types(self, typed: DataFrame) -> None:
+        """Tags of unknown type get the type of their first reading that has one; if none is new, nothing is written."""
+        unknown = registry.of_unknown_type(self.table("tags")).select("tag_id")
+        fresh = typed.filter(F.col("data_type") != registry.NULL_TYPE).join(unknown, "tag_id", "left_semi").persist()
+        if not fresh.isEmpty():
+            self.change("tags", lambda tags: registry.set_data_types(tags, fresh))
+        fresh.unpersist()
+
     # Jobs
 
     def run_partition_cycle(
         self, outcomes: exports.Outcomes, as_of_ms: int, hours: int = 6, keep: bool = False, retention_days: int = 90
     ) -> exports.CycleResult:
-        """Export closed windows, have them uploaded, record both. The cursor moves last."""
+        """Export closed windows, have them uploaded, record both, and remove the files that are done with.
+
+        Manifest and cursor are saved before the uploader is called. Afterwards the uploads are saved, then
+        folders go, then they are marked as gone; a run that stops in between leaves nothing unrecorded.
+        """
+        path = f"{self.root}/partitions"
+
+        def recorded(manifest: DataFrame, cursor: int) -> None:
+            self.save("parquet_partitions", manifest)
+            self.put_setting(aggregates.EXPORT_CURSOR_KEY, cursor)
+
         run = exports.partition_cycle(
             self.readings(), *self._dims(), self.table("parquet_partitions"), self.table("settings"), outcomes,
-            f"{self.root}/partitions", self.site, as_of_ms, hours, keep, retention_days,
+            path, self.site, as_of_ms, hours, keep, retention_days, recorded,
         )
-        self.save("parquet_partitions", run.manifest)
-        self.save("settings", run.settings)
+        here = self.table("parquet_partitions").filter("local_deleted = 0").select("partition_start")
+        gone = run.manifest.filter("local_deleted = 1").join(here, "partition_start", "left_semi")
+        starts = sorted(row[0] for row in gone.select("partition_start").collect())  # the windows of one cycle
+        still = F.when(F.col("partition_start").isin(starts), F.lit(0)).otherwise(F.col("local_deleted"))
+        self.save("parquet_partitions", run.manifest.withColumn("local_deleted", still))
+        if starts:
+            state.drop_folders(self.spark, [f"{path}/partition_start={start}" for start in starts])
+            marked = F.when(F.col("partition_start").isin(starts), F.lit(1)).otherwise(F.col("local_deleted"))
+            self.change("parquet_partitions", lambda manifest: manifest.withColumn("local_deleted", marked))
         return run
 
     def run_rolling_csv(self, outcomes: exports.Outcomes, as_of_ms: int) -> None:
         new = exports.rolling_csv(
             self.readings(), *self._dims(), self.table("export_state"), outcomes, f"{self.root}/csv", self.site,
-            times.ms_to_iso(as_of_ms),
+            times.ms_to_iso(as_of_ms), lambda recorded: self.save("export_state", recorded),
         )
         self.save("export_state", new)
 
@@ -108,9 +149,9 @@ class Historian:
 
     def run_snapshot(self, as_of_ms: int, delivered: bool) -> DataFrame:
         tables = {"readings": self.readings(), **{name: self.table(name) for name in TABLES}}
-        summary, settings = exports.snapshot_watermark(tables, f"{self.root}/snapshots/{as_of_ms}", delivered)
+        summary, highest = exports.snapshot_highest(tables, f"{self.root}/snapshots/{as_of_ms}")
         if delivered:
-            self.save("settings", settings)
+            self.put_setting(aggregates.BACKUP_WATERMARK_KEY, highest)
         return summary
 
     def run_retention(self, as_of_ms: int, days: int, upload_enabled: bool) -> int:

@@ -32,12 +32,12 @@ PLCS = _table(
 )
 PARTITIONS = _table(
     ("partition_start", _L, False), ("partition_hours", _I, False), ("file_name", _S, False),
-    ("row_count", _I, False), ("max_reading_id", _L, False), ("exported_at", _S, False),
+    ("row_count", _L, False), ("max_reading_id", _L, False), ("exported_at", _S, False),
     ("uploaded_at", _S, True), ("local_deleted", _I, False),
 )
 EXPORT_STATE = _table(
     ("plc_id", _I, False), ("file_name", _S, False), ("file_path", _S, False),
-    ("last_reading_id", _L, False), ("row_count", _I, False), ("exported_at", _S, True),
+    ("last_reading_id", _L, False), ("row_count", _L, False), ("exported_at", _S, True),
     ("uploaded_reading_id", _L, False), ("uploaded_at", _S, True), ("status", _S, False),
 )
 SETTINGS = _table(("key", _S, False), ("value", _S, False))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,11 +30,45 @@ def versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in (found or []))
 
 
+def _claim(spark: SparkSession, root: str, version: int) -> bool:
+    """Take a version number; False if another writer has it. The file is created exclusively."""
+    path = _path(spark, f"{root}/claims/{version:012d}")
+    try:
+        _file_system(spark, root).create(path, False).close()
+    except Py4JJavaError as taken:
+        if _file_system(spark, root).exists(path):
+            return False
+        raise taken
+    return True
+
+
+def update(
+    spark: SparkSession, root: str, schema, change: Callable[[DataFrame], DataFrame], patience: float = 600.0
+) -> int:
+    """Write the version after the newest one as ``change`` of the newest one; returns its number.
+
+    Two writers never get the same number, and none builds on a version that another one is replacing:
+    who finds the next number taken waits for that version and starts again from it. A number whose
+    version does not appear within ``patience`` seconds belongs to a writer that died and is passed over.
+    """
+    while True:
+        version = max(versions(spark, root), default=0)
+        number = version + 1
+        while not _claim(spark, root, number):
+            give_up = time.monotonic() + patience
+            while time.monotonic() < give_up and max(versions(spark, root), default=0) < number:
+                time.sleep(0.2)
+            if max(versions(spark, root), default=0) >= number:
+                break
+            number += 1
+        else:
+            write_version(change(read_latest(spark, root, schema)).select(*schema.fieldNames()), root, number)
+            return number
+
+
 def write_next(table: DataFrame, root: str) -> int:
-    """Write the version after the newest one."""
-    version = max(versions(table.sparkSession, root), default=0) + 1
-    write_version(table, root, version)
-    return version
+    """Write ``table`` as the version after the newest one."""
+    return update(table.sparkSession, root, table.schema, lambda _: table)
 
 
 def read_version(spark: SparkSession, root: str, version: int, schema) -> DataFrame:
@@ -45,7 +83,8 @@ def read_latest(spark: SparkSession, root: str, schema) -> DataFrame:
 
 def drop_old_versions(spark: SparkSession, root: str, keep: int = 10) -> None:
     """Remove all but the newest versions; a reader pinned to an older one loses it."""
-    drop_folders(spark, [f"{root}/version={version:012d}" for version in versions(spark, root)[:-keep]])
+    old = versions(spark, root)[:-keep]
+    drop_folders(spark, [f"{root}/{name}{version:012d}" for version in old for name in ("version=", "claims/")])
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,7 +13,9 @@ from tidemark.operators.registry import NULL_TYPE, resolve_notifications
 from tidemark.plans.fleet import normalise
 from tidemark.sinks import state
 from tidemark.sources import inputs
-from tidemark.streaming.processors import deadband_stream
+from tidemark.streaming.processors import BUCKETS, deadband_stream
+
+ROWS_PER_TASK = 500_000
 
 
 def trigger(once: bool, seconds: float = 1.0) -> dict:
@@ -25,37 +29,52 @@ def resolved_stream(raw: DataFrame, tags: DataFrame, plcs: DataFrame) -> DataFra
 
 def start_ingest(
     raw: DataFrame, tags: DataFrame, plcs: DataFrame, path: str, checkpoint: str,
-    default_deadband: float = 0.0, exempt_boolean: bool = False, once: bool = False, files_per_batch: int = 4,
+    default_deadband: float = 0.0, exempt_boolean: bool = False, once: bool = False,
+    rows_per_task: int = ROWS_PER_TASK, buckets: int = BUCKETS, seconds: float = 1.0,
+    on_types: Callable[[DataFrame], None] | None = None,
 ) -> StreamingQuery:
     """Raw notifications to stored readings: tag lookup, normalising, deadband, Parquet by date.
 
     A micro-batch is appended as a plain batch write, so the dataset stays one that other jobs can
     prune. Only the first batch after a start can be a repetition of one that was already written;
-    its rows are compared by id with what its dates hold.
+    its rows are compared by id with what its dates hold. A batch is written by as many tasks as its rows
+    ask for, each file sorted by tag and time. ``on_types`` is handed
+    tag_id, data_type and id of each batch that stored something.
+
+    The tags and controllers are copied below the checkpoint, so that the stream does not depend on
+    table versions that are removed while it runs.
     """
+    tags, plcs = (_pinned(table, f"{checkpoint}-tables/{name}") for table, name in ((tags, "tags"), (plcs, "plcs")))
     readings = resolved_stream(raw, tags, plcs).drop("plc_name", "node_id")
-    stored = deadband_stream(readings, tags, default_deadband, exempt_boolean)
+    stored = deadband_stream(readings, tags, default_deadband, exempt_boolean, buckets)
     may_repeat = [True]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("dt", utc_date(F.col("ts_utc")))
-        if not may_repeat:
-            append(rows)
-            return
-        rows = rows.persist()
-        append(_not_stored(rows, path))
+        rows = batch.withColumn("dt", utc_date(F.col("ts_utc"))).persist()
+        fresh = _not_stored(rows, path) if may_repeat else rows
+        tasks = -(-rows.count() // rows_per_task)
+        if tasks:
+            if tasks > 1:
+                fresh = fresh.repartitionByRange(tasks, "dt", "tag_id", "ts_utc")
+            else:
+                fresh = fresh.coalesce(1)
+            fresh.sortWithinPartitions("dt", "tag_id", "ts_utc").write.mode("append").partitionBy("dt").parquet(path)
+            if on_types is not None:
+                on_types(rows.select("tag_id", "data_type", "id"))
         rows.unpersist()
         may_repeat.clear()
 
-    def append(rows: DataFrame) -> None:
-        rows.repartition(files_per_batch).write.mode("append").partitionBy("dt").parquet(path)
-
     return (
         stored.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(**trigger(once)).start()
+        .outputMode("append").trigger(**trigger(once, seconds)).start()
     )
 
 
+def _pinned(table: DataFrame, path: str) -> DataFrame:
+    table.write.mode("overwrite").parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 def _not_stored(rows: DataFrame, path: str) -> DataFrame:
     if not state.exists(rows.sparkSession, path):
         return rows
@@ -64,12 +83,16 @@ def _not_stored(rows: DataFrame, path: str) -> DataFrame:
     return rows.join(stored, "id", "left_anti")
 
 
-def closed_windows(readings: DataFrame, hours: int = 6, lateness: str = "0 seconds") -> DataFrame:
-    """Row count and highest id per window, emitted once the watermark has passed its end."""
+def closed_windows(readings: DataFrame, hours: int, lateness: str) -> DataFrame:
+    """Row count and highest id per window, emitted once the watermark has passed its end.
+
+    Rows that come later than ``lateness`` behind the newest one are not counted; run ``start_late_report``
+    beside this with a cursor no later than the watermark, and it names them and their windows.
+    """
     return (
         readings.withColumn("ts", F.timestamp_millis("ts_utc")).withWatermark("ts", lateness)
         .groupBy(F.window("ts", f"{hours} hours"))
-        .agg(F.count("*").cast("int").alias("row_count"), F.max("id").alias("max_reading_id"))
+        .agg(F.count("*").alias("row_count"), F.max("id").alias("max_reading_id"))
         .select(F.unix_millis("window.start").alias("partition_start"), "row_count", "max_reading_id")
     )
 
