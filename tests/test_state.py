@@ -63,3 +63,49 @@ def test_old_versions_and_their_numbers_go(spark, folder):
         state.write_next(table, root)
     state.drop_old_versions(spark, root, keep=2)
     assert state.versions(spark, root) == [3, 4] and state.write_next(table.withColumn("value", F.lit("w")), root) == 5
+
+
+def _store(spark, ids, path):
+    from tidemark.sinks import exports
+
+    data = [(i, 1, i * 3_600_000, None, float(i), None, 0) for i in ids]
+    exports.write_readings(spark.createDataFrame(data, schemas.READINGS), path)
+
+
+def test_prune_goes_on_where_it_stopped(spark, folder, monkeypatch):
+    """Stop before the removals, let a late reading arrive, and run again: nothing is lost, nothing is twice."""
+    from tidemark.plans import retention
+    from tidemark.sources import inputs
+
+    path = folder("readings")
+    _store(spark, range(1, 60), path)
+    drop = state.drop_files
+    monkeypatch.setattr(state, "drop_files", lambda *_: (_ for _ in ()).throw(OSError("stopped")))
+    try:
+        retention.prune_dataset(spark, path, 30 * 3_600_000)
+        raise AssertionError("it did not stop")
+    except OSError:
+        pass
+    _store(spark, [25], path + "-late")
+    late = inputs.readings(spark, path + "-late").withColumn("id", F.lit(100).cast("long"))
+    late.write.partitionBy("dt").mode("append").parquet(path)
+    monkeypatch.setattr(state, "drop_files", drop)
+    retention.finish_prune(spark, path)
+    assert [r[0] for r in rows(inputs.readings(spark, path), "id")] == [*range(30, 60), 100]
+    retention.finish_prune(spark, path)
+    assert retention.prune_dataset(spark, path, 30 * 3_600_000) == 1
+    assert [r[0] for r in rows(inputs.readings(spark, path), "id")] == list(range(30, 60))
+
+
+def test_prune_drops_whole_dates_and_unfinished_stages(spark, folder):
+    import glob
+
+    from tidemark.plans import retention
+    from tidemark.sources import inputs
+
+    path = folder("readings")
+    _store(spark, range(1, 60), path)
+    _store(spark, [1], f"{path}-prune/kept")  # a stage without a journal
+    assert retention.prune_dataset(spark, path, 48 * 3_600_000) == 47
+    assert [r[0] for r in rows(inputs.readings(spark, path), "id")] == list(range(48, 60))
+    assert [f.rpartition("/")[2] for f in sorted(glob.glob(f"{path}/dt=*"))] == ["dt=1970-01-03"] and not glob.glob(f"{path}-prune")

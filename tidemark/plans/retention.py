@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import times
 from tidemark.operators import retention
-from tidemark.session import shared_dir
+from tidemark.session import cut_lineage
 from tidemark.sinks import exports, state
 from tidemark.sources import inputs
 
@@ -15,13 +15,14 @@ from tidemark.sources import inputs
 def prune_dataset(spark: SparkSession, path: str, cutoff_ms: int, watermark: int | None = None) -> int:
     """Remove prunable readings from the dataset at ``path``; returns how many were removed.
 
-    Dates after the cutoff are not touched, so ingest may go on meanwhile as long as nothing that old
-    still arrives. A date of which nothing remains is dropped as a folder.
-    Any other date that loses rows is rewritten: what remains is first staged in the shared folder,
-    so nothing is lost if the job dies between the two writes.
+    Ingest may go on meanwhile, also for old dates: only files that this run has read are replaced. What
+    remains of the dates that lose rows is staged beside the dataset, then a journal of the files to remove
+    is written; from there on the run is bound to happen, and ``finish_prune`` can be repeated until it has.
+    Between its append and its removals a reader can meet a kept row twice.
     """
     if not state.exists(spark, path):
         return 0
+    finish_prune(spark, path)
     last_day = times.ms_to_date(cutoff_ms)
     rows = inputs.readings(spark, path).filter(F.col("dt") <= F.lit(last_day))
     prunable = retention.is_prunable(cutoff_ms, watermark)
@@ -30,17 +31,39 @@ def prune_dataset(spark: SparkSession, path: str, cutoff_ms: int, watermark: int
         .agg(F.count_if(prunable).alias("pruned"), F.count_if(~prunable).alias("kept"))
         .filter(F.col("pruned") > 0).collect()  # one row per date
     )
-    rewrite = [row["dt"] for row in per_date if row["kept"] > 0]
-    drop = [row["dt"] for row in per_date if row["kept"] == 0]
-    if rewrite:
-        staged = shared_dir(spark, "retained")
-        keep = rows.filter(F.col("dt").isin(rewrite) & ~prunable).drop("dt")
-        exports.write_readings(keep, staged, "errorifexists")
-        exports.replace_dates(inputs.readings(spark, staged), path)
-    state.drop_folders(spark, [f"{path}/dt={day.isoformat()}" for day in drop])
+    if per_date:
+        touched = rows.filter(F.col("dt").isin([row["dt"] for row in per_date]))
+        files = cut_lineage(touched.select("dt", F.input_file_name().alias("file")).distinct())
+        exports.write_readings(_of_files(touched, files).filter(~prunable).drop("dt"), f"{path}-prune/kept", "overwrite")
+        files.write.parquet(f"{path}-prune/journal")
+        finish_prune(spark, path)
     return sum(row["pruned"] for row in per_date)
 
 
+def _of_files(rows: DataFrame, files: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows that stand in the listed files, or with ``left_anti`` those that do not."""
+    return rows.withColumn("file", F.input_file_name()).join(files.select("file"), "file", how).drop("file")
+
+
+def finish_prune(spark: SparkSession, path: str) -> None:
+    """Carry out the prune that a journal beside the dataset describes; without a complete one, clear what was staged.
+
+    Kept rows that the dataset already holds in other files are not appended again, so a repetition changes nothing.
+    """
+    if not state.exists(spark, f"{path}-prune/journal/_SUCCESS"):
+        state.drop_folders(spark, [f"{path}-prune"])
+        return
+    files = spark.read.schema("dt date, file string").parquet(f"{path}-prune/journal")
+    days = [row[0] for row in files.select("dt").distinct().collect()]  # the dates of one prune
+    stored = _of_files(inputs.readings(spark, path).filter(F.col("dt").isin(days)), files, "left_anti").select("id")
+    kept = inputs.readings(spark, f"{path}-prune/kept") if state.exists(spark, f"{path}-prune/kept") else None
+    if kept is not None and not kept.isEmpty():
+        exports.append_arranged(kept.join(stored, "id", "left_anti"), path)
+    state.drop_files(spark, [row[0] for row in files.select("file").collect()])  # as many as the driver lists for the scan
+    state.drop_empty_folders(spark, [f"{path}/dt={day.isoformat()}" for day in days])
+    state.drop_folders(spark, [f"{path}-prune"])
+
+
 def sweep_dataset(
     spark: SparkSession, path: str, partitions: DataFrame, settings: DataFrame, as_of_ms: int, days: int,
     upload_enabled: bool,

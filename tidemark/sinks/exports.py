@@ -25,12 +25,9 @@ def write_readings(readings: DataFrame, path: str, mode: str = "append") -> None
     )
 
 
-def replace_dates(readings: DataFrame, path: str) -> None:
-    """Put already arranged readings (with ``dt``) in place of what their dates hold; no shuffle."""
-    (
-        readings.write.partitionBy("dt").option("maxRecordsPerFile", ROWS_PER_FILE)
-        .option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
-    )
+def append_arranged(readings: DataFrame, path: str) -> None:
+    """Add readings that already lie in order (with ``dt``) to what their dates hold."""
+    readings.write.partitionBy("dt").option("maxRecordsPerFile", ROWS_PER_FILE).mode("append").parquet(path)
 
 
 def write_windows(rows: DataFrame, path: str, size_ms: int) -> None:

@@ -91,6 +91,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return _file_system(spark, path).exists(_path(spark, path))
 
 
+def drop_files(spark: SparkSession, uris: list[str]) -> None:
+    """Remove files named by their URIs; those that are gone already are passed over."""
+    for uri in uris:
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+
+
+def drop_empty_folders(spark: SparkSession, paths: list[str]) -> None:
+    """Remove folders in which no data files are left; a folder that gets one meanwhile is not removed."""
+    for path in paths:
+        files, folder = _file_system(spark, path), _path(spark, path)
+        if files.exists(folder) and not [f for f in files.listStatus(folder) if not f.getPath().getName().startswith((".", "_"))]:
+            files.delete(folder, True)
+
+
 def drop_folders(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         _file_system(spark, path).delete(_path(spark, path), True)
