@@ -84,3 +84,11 @@ def test_dense_numbers_across_blocks(spark):
     frame = spark.range(0, 1000).select((F.col("id") * 977 % 100_003).alias("seq"))
     got = [r["n"] for r in shards.with_dense_number(frame, "seq", "n", block=1000).orderBy("seq").collect()]
     assert got == list(range(1, 1001))
+
+
+def test_shards_follow_rows_however_far_apart_their_order_lies(spark):
+    rows_, target = 900, 80
+    frame = spark.range(rows_).select((F.col("id") * 100_000 + F.when(F.col("id") < 300, 0).otherwise(10**12)).alias("id"), F.lit(1).alias("k"))
+    hot = shards.hot_keys(frame, "k", "id", target=target)
+    sizes = [r["count"] for r in shards.with_shard(frame, "k", "id", hot).groupBy("k", "shard").count().collect()]
+    assert sum(sizes) == rows_ and max(sizes) <= target and len(sizes) <= shards.SPREAD * rows_ / target + 1

@@ -76,10 +76,10 @@ def deadband(
     entries = None
     if hot is not None:
         hot_rows = sharded.select("tag_id", "shard", "id", "value", "band")
-        hot_rows = lookup_join(hot_rows, hot.select("tag_id"), ["tag_id"], "left_semi", salt_on="id")
+        hot_rows = lookup_join(hot_rows, hot.select("tag_id").distinct(), ["tag_id"], "left_semi", salt_on="id")
         entries = shard_entries(shard_transfers(hot_rows), baseline)
     if baseline is not None:
-        cold = baseline if hot is None else baseline.join(hot.select("tag_id"), "tag_id", "left_anti")
+        cold = baseline if hot is None else baseline.join(hot.select("tag_id").distinct(), "tag_id", "left_anti")
         cold = cold.select("tag_id", F.lit(0).cast("long").alias("shard"), F.col("last_stored").alias("entry"))
         entries = cold if entries is None else entries.unionByName(cold)
     if entries is None:

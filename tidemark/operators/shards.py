@@ -1,7 +1,7 @@
 """Ordered work per key when one key may hold a third of all rows.
 
 A window over ``partitionBy(key)`` puts a whole key into one task. Here a hot key is first cut into
-*shards*: consecutive ranges of its order column. Work runs per ``(key, shard)``; what must flow
+*shards*: consecutive ranges of its order column that hold a bounded number of rows. Work runs per ``(key, shard)``; what must flow
 from one shard to the next (a previous row, a running count) flows through a table with one row per
 shard. Keys below the target keep a single shard, and if no key is above it nothing is added.
 """
@@ -15,33 +15,45 @@ from tidemark.operators.joins import lookup_join
 from tidemark.session import cut_lineage
 
 TARGET_ROWS = 8_000_000  # no group of ordered work holds more rows than this
-SPREAD = 4  # shards aim at a quarter of it, to leave room for rows that come in bursts
+SPREAD = 4  # shards close at a quarter of it, to leave room for rows that come in bursts
 
 
 def hot_keys(df: DataFrame, key: str, order: str, target: int = TARGET_ROWS) -> DataFrame | None:
-    """Keys with more than ``target`` rows and the width of their shards, or None without any.
+    """Shards of the keys with more than ``target`` rows as cells of their order column, or None without any.
 
-    ``order`` is a unique integer, so a range of width w holds at most w rows. Widths aim at a
-    fraction of ``target`` for an evenly spread key and never exceed ``target``, which bounds every
-    shard even if the key's rows are bunched. At most rows/target keys can be hot, so their table
-    stays small however large the history is.
+    ``order`` is a unique integer, so a cell of width w holds at most w rows. Cells are counted first and then
+    joined into shards by the rows they hold, not by the range they cover: a shard closes once it has a fraction
+    of ``target``. However far apart a key's rows lie, it gets at most SPREAD * rows / target + 1 shards, and
+    none holds more than ``target`` rows even if they are bunched.
     """
     stats = df.groupBy(key).agg(
         F.count("*").alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi")
     ).filter(F.col("_n") > target)
-    shards = F.ceil(F.col("_n") * SPREAD / target)
-    width = F.least(F.ceil((F.col("_hi") - F.col("_lo") + 1) / shards), F.lit(target))
-    hot = cut_lineage(stats.select(key, F.col("_lo"), F.greatest(width, F.lit(1)).cast("long").alias("_width")))
-    return None if hot.isEmpty() else hot
+    cells = F.ceil(F.col("_n") * SPREAD * SPREAD / target)
+    width = F.least(F.ceil((F.col("_hi") - F.col("_lo") + 1) / cells), F.lit(target // 2))
+    wide = cut_lineage(stats.select(key, F.col("_lo"), F.greatest(width, F.lit(1)).cast("long").alias("_width")))
+    if wide.isEmpty():
+        return None
+    placed = lookup_join(df.select(key, order), wide, [key], salt_on=order).withColumn("_cell", _cell(order))
+    counted = placed.groupBy(key, "_lo", "_width", "_cell").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    full = max(1, target // SPREAD)
+    shard = F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / full).cast("long").alias("shard")
+    return cut_lineage(counted.select(key, "_lo", "_width", "_cell", shard))
+
+
+def _cell(order: str) -> Column:
+    return F.floor((F.col(order) - F.col("_lo")) / F.col("_width")).cast("long")
 
 
 def with_shard(df: DataFrame, key: str, order: str, hot: DataFrame | None) -> DataFrame:
-    """Add ``shard``: 0 for ordinary keys, the position of the row's range for hot ones."""
+    """Add ``shard``: 0 for ordinary keys, the shard of the row's cell for hot ones."""
     if hot is None:
         return df.withColumn("shard", F.lit(0).cast("long"))
-    joined = lookup_join(df, hot, [key], "left", salt_on=order)
-    shard = F.coalesce(F.floor((F.col(order) - F.col("_lo")) / F.col("_width")), F.lit(0)).cast("long")
-    return joined.withColumn("shard", shard).drop("_lo", "_width")
+    wide = hot.select(key, "_lo", "_width").distinct()
+    celled = lookup_join(df, wide, [key], "left", salt_on=order).withColumn("_cell", F.coalesce(_cell(order), F.lit(-1)))
+    joined = lookup_join(celled.drop("_lo", "_width"), hot.select(key, "_cell", "shard"), [key, "_cell"], "left", salt_on=order)
+    return joined.withColumn("shard", F.coalesce("shard", F.lit(0))).drop("_cell")
 
 
 def with_previous(
@@ -56,7 +68,7 @@ def with_previous(
     if hot is None:
         return with_local.drop("shard")
     ends = (
-        with_shard(lookup_join(df, hot.select(key), [key], "left_semi", salt_on=order), key, order, hot)
+        with_shard(lookup_join(df, hot.select(key).distinct(), [key], "left_semi", salt_on=order), key, order, hot)
         .groupBy(key, "shard").agg(F.max_by(row, order).alias("_end"))
     )
     carried = ends.select(
@@ -81,7 +93,7 @@ def with_running_count(
     if hot is None:
         return counted.drop("_flag", "shard")
     sums = (
-        with_shard(lookup_join(flagged, hot.select(key), [key], "left_semi", salt_on=order), key, order, hot)
+        with_shard(lookup_join(flagged, hot.select(key).distinct(), [key], "left_semi", salt_on=order), key, order, hot)
         .groupBy(key, "shard").agg(F.sum("_flag").alias("_sum"))
     )
     before = Window.partitionBy(key).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
