@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ OBJECTS_FOLDER = "i=85"
 SERVER = "i=2253"
 MAX_DEPTH = 30
 
+LEVELS_PER_JOB = 4
+
 
 def browsable(edges: DataFrame) -> DataFrame:
     """References to objects and variables; methods and the rest are never followed."""
@@ -22,34 +26,43 @@ def browsable(edges: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, root: str = OBJECTS_FOLDER, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(plc_name, node, depth): nodes whose children are read, each at its shortest depth.
+    """(plc_name, node, depth): nodes with children that are read, each at its shortest depth.
 
-    Breadth first over all controllers together. A level is one join of the frontier with the edge
-    list and one anti join with the nodes already seen, which removes cycles and second parents.
-    Levels are folders of one table in the shared folder, so the plan stays the same size and a lost
-    executor costs one level at most. The Server object is never expanded.
+    Breadth first over all controllers together, a few levels per job. Within a job a level is one join of the
+    level before with the references to nodes that have children; what was reached is reduced to the
+    smallest depth and anti-joined with the nodes already seen, which removes cycles and second parents.
+    Jobs write folders of one table in the shared folder, so the plan stays the same size and a lost
+    executor costs one job at most. The Server object is never expanded.
     """
     spark = edges.sparkSession
     links = cut_lineage(
         browsable(edges).filter(F.col("child") != SERVER).select("plc_name", "parent", "child")
     )
+    parents = links.select("plc_name", F.col("parent").alias("child")).distinct()
+    inner = cut_lineage(lookup_join(links, parents, ["plc_name", "child"], "left_semi", salt_on="parent"))
     table = shared_dir(spark, "levels")
-    node = "plc_name string, node string"
-    frontier = links.filter(F.col("parent") == root).select("plc_name", F.lit(root).alias("node")).distinct()
-    for depth in range(max_depth + 1):
-        level = f"{table}/depth={depth}"
-        frontier.write.parquet(level)
-        reached = spark.read.schema(node).parquet(level)
-        seen = spark.read.schema(f"{node}, depth int").parquet(table)
-        size = measured_bytes(reached)
-        if size == 0 or depth == max_depth:
+    layout = "plc_name string, node string, depth int"
+    found = links.filter(F.col("parent") == root).select("plc_name", F.lit(root).alias("node"), F.lit(0).alias("depth")).distinct()
+    depth = 0
+    while True:
+        found.write.parquet(f"{table}/to={depth}")
+        level = spark.read.schema(layout).parquet(f"{table}/to={depth}").filter(F.col("depth") == depth).drop("depth")
+        seen = spark.read.schema(layout).parquet(table).select("plc_name", "node", "depth")
+        size = measured_bytes(level)
+        if size == 0 or depth >= max_depth:
             return seen
-        step = lookup_join(
-            links, reached.withColumnRenamed("node", "parent"), ["plc_name", "parent"], "left_semi",
-            salt_on="child", dim_bytes=size,
-        )
-        found = step.select("plc_name", F.col("child").alias("node")).distinct()
-        frontier = found.join(seen.select("plc_name", "node"), ["plc_name", "node"], "left_anti")
+        levels = []
+        for n in range(depth + 1, min(depth + LEVELS_PER_JOB, max_depth) + 1):
+            level = level.withColumnRenamed("node", "parent")
+            if levels:
+                step = inner.join(level, ["plc_name", "parent"], "left_semi")
+            else:
+                step = lookup_join(inner, level, ["plc_name", "parent"], "left_semi", salt_on="child", dim_bytes=size)
+            level = step.select("plc_name", F.col("child").alias("node")).distinct()
+            levels.append(level.withColumn("depth", F.lit(n)))
+        reached = reduce(DataFrame.unionByName, levels).groupBy("plc_name", "node").agg(F.min("depth").alias("depth"))
+        found = reached.join(seen.select("plc_name", "node"), ["plc_name", "node"], "left_anti")
+        depth += len(levels)
 
 
 def discover_tags(
@@ -59,7 +72,8 @@ def discover_tags(
     """Every variable below the objects folder that passes the tag filter, once per controller.
 
     A variable counts as soon as its parent is read, so it may lie one level below the last node
-    that is expanded. If it is reached under several names the first in code-point order is taken.
+    that is expanded. If it is reached under several names the first in code-point order is taken: edges carry
+    no order in which they were met.
     """
     expanded = reachable(edges, max_depth=max_depth).select("plc_name", F.col("node").alias("parent"))
     variables = edges.filter(
