@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BATCH_BYTES = 8 * 1024 * 1024
+BATCH_BYTES = 2 * 1024 * 1024
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -114,7 +114,9 @@ class SpanHashes:
     def __init__(self, raw: np.ndarray):
         n = len(raw)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(BYTE_CODES[raw] * _powers(BASE, n)[:n], out=self.sums[1:])
+        codes = _powers(BASE, n)[:n]
+        codes *= BYTE_CODES[raw]
+        np.cumsum(codes, out=self.sums[1:])
         self.back = _powers(BASE_INVERSE, n + 1)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

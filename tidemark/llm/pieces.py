@@ -22,7 +22,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SPACE_MARK = "▁"
 FOLD_CHARS = 61  # the cuts of a word are the bits of a long, below its sign
 DICTIONARY_WORDS = 100_000
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 200_000
 FILTER_BITS = 20
 # Fixed values of the model format: the kinds of pieces and of models.
 NORMAL, USER_DEFINED, BYTE, BPE = 1, 4, 6, 2
