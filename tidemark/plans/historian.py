@@ -168,3 +168,13 @@ class Historian:
 
     def plc_health(self) -> DataFrame:
         return health.plc_health(self.readings(), *self._dims())
+
+    def health(self, events: DataFrame, samples: DataFrame | None = None, accepted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """The fleet's health: a row per controller that has connected, and one row for the whole store.
+
+        ``samples`` (tag_id, ts_received_utc) are the notifications before the deadband, ``accepted`` those
+        that passed it, whether written yet or not; without them the stored readings stand for both.
+        """
+        stored = self.readings()
+        fleet_rows = health.health_snapshot(events, stored if samples is None else samples, *self._dims())
+        return fleet_rows, health.health_summary(stored, stored if accepted is None else accepted, self.table("export_state"), self.site)

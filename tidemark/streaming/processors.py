@@ -86,15 +86,22 @@ class ChangeProcessor(StatefulProcessor):
         pdf = _in_order(rows)
         state = self.last.get()
         last = {} if state is None else {tag: row for tag, *row in zip(*state)}
-        keep = []
-        for tag, value, nan, text, quality in zip(
-            pdf["tag_id"].tolist(), pdf["value"], pdf["is_nan"].tolist(), pdf["value_text"], pdf["quality"].tolist()
-        ):
-            row = [None if pd.isna(value) else float(value), bool(nan), text, quality]
-            keep.append(row != last.get(tag))
-            last[tag] = row
+        tags, value, nan = pdf["tag_id"].to_numpy(), pdf["value"].to_numpy(dtype=float), pdf["is_nan"].to_numpy(dtype=bool)
+        text, quality = pdf["value_text"].astype(object).where(pdf["value_text"].notna(), None).to_numpy(), pdf["quality"].to_numpy()
+        begins = np.r_[True, tags[1:] != tags[:-1]]
+        same = np.zeros(len(pdf), dtype=bool)
+        equal = (value[1:] == value[:-1]) | (np.isnan(value[1:]) & np.isnan(value[:-1]))  # missing, or not a number
+        same[1:] = ~begins[1:] & equal & (nan[1:] == nan[:-1]) & (text[1:] == text[:-1]) & (quality[1:] == quality[:-1])
+
+        def row(i):
+            return [None if np.isnan(value[i]) else float(value[i]), bool(nan[i]), text[i], int(quality[i])]
+
+        for i in np.flatnonzero(begins):  # only a tag's first row of the batch is compared with its state
+            same[i] = row(i) == last.get(int(tags[i]))
+        for i in np.flatnonzero(np.r_[begins[1:], True]):
+            last[int(tags[i])] = row(i)
         self.last.update((list(last), *(list(column) for column in zip(*last.values()))))
-        yield pdf.loc[keep].drop(columns=["bucket"])
+        yield pdf.loc[~same].drop(columns=["bucket"])
 
     def close(self):
         pass
