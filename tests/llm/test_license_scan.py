@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from tidemark.llm.license_scan import NOTICES, TemplateIndex, align, license_matches, winnowed

@@ -85,7 +85,7 @@ def statistics(texts: pa.StringArray) -> np.ndarray:
     line_row = np.searchsorted(offsets, begins, side="right") - 1
     lines = np.bincount(line_row, minlength=n)
     columns = [
-        np.log1p(total), shares[:, 4] * 0 + np.bincount(row, weights=length, minlength=n) / many, np.log1p(longest),
+        np.log1p(total), np.bincount(row, weights=length, minlength=n) / many, np.log1p(longest),
         shares[:, 0], shares[:, 1], shares[:, 2], shares[:, 3], shares[:, 4], shares[:, 5], shares[:, 6],
         of((inside(upper) > 1) & (inside(lower) == 0)), of(kinds[last, 2] > 0), of(np.isin(last, [33, 46, 63])), of(inside(digit) > 0),
         _distinct(row, word, n) / many, _distinct(row[triple], joined_hashes(word, triple, 3), n) / np.maximum(triples, 1),
