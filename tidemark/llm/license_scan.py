@@ -1,9 +1,11 @@
-"""License notices in texts: winnowed fingerprints pick templates, banded alignment measures them."""
+"""License notices in texts: fingerprints pick templates and stretches, longest common subsequences measure them."""
 
 from __future__ import annotations
 
 import bisect
+import math
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from tidemark.llm.batches import SpanHashes, joined_hashes, map_texts, spread, t
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-GRAM, WINDOW, BAND = 3, 2, 8
+GRAM, WINDOW, BAND = 3, 1, 8  # a window of 1 indexes every gram; wider ones lose edited notices
 TEMPLATE_BYTES = 16 * 1024 * 1024
 # Short notices as projects write them. The words, not their case or punctuation, are compared.
 NOTICES = [
@@ -111,20 +113,128 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND)
     return pairs[::-1]
 
 
+def _reach(masks: list[int], n: int, row: list[int]) -> tuple[int, int]:
+    """Length of a longest common subsequence of a template of ``n`` tokens and ``row``, and how much of ``row`` it takes.
+
+    Bit-parallel: bit i is 0 where template tokens up to i hold one match more than those before. Entries of
+    -1 are tokens that the template does not have.
+    """
+    full = (1 << n) - 1
+    v, best, end = full, 0, 0
+    for j, x in enumerate(row, 1):
+        if x >= 0 and (u := v & masks[x]):
+            v = ((v + u) | (v - u)) & full
+            count = n - v.bit_count()
+            if count > best:
+                best, end = count, j
+    return best, end
+
+
+class Pattern:
+    """One template: how many of its tokens a match needs (``need``), over how many tokens of a text at most (``most``)."""
+
+    def __init__(self, hashes: np.ndarray, gram: int, least: float):
+        self.n = n = len(hashes)
+        self.need = max(1, math.ceil(least * n))
+        self.most = n + max(2 * BAND, math.ceil(n / 4))
+        # with no more than n - need tokens changed or left out, a run of this many is whole somewhere
+        self.run = min(gram, -(-self.need // (n - self.need + 1))) if n else gram
+        self.hashes = hashes
+        self.vocabulary, local, self.counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        self.local = local.tolist()
+        self.masks: tuple[list[int], list[int]] | None = None
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of every token in the template's vocabulary, or -1."""
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == hashes, at, -1)
+
+    def reach(self, row: list[int], backward: bool = False) -> tuple[int, int]:
+        if self.masks is None:
+            there, back = [0] * len(self.vocabulary), [0] * len(self.vocabulary)
+            for i, x in enumerate(self.local):
+                there[x] |= 1 << i
+                back[x] |= 1 << self.n - 1 - i
+            self.masks = there, back
+        return _reach(self.masks[backward], self.n, row)
+
+    def could(self, row: np.ndarray) -> bool:
+        """Whether ``row`` has enough of the template's tokens in any order."""
+        if len(row) < self.need:
+            return False
+        return int(np.minimum(np.bincount(row[row >= 0], minlength=len(self.counts)), self.counts).sum()) >= self.need
+
+    def spans(self, row: np.ndarray, marks: list[int], lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
+        """Non-overlapping spans (start, end, tokens matched) of ``row[lo:hi]`` such that no other fits between them.
+
+        A span has at most ``most`` tokens, holds at least ``need`` of the template's tokens in order, and a
+        run of ``run`` of them that begins at one of ``marks``.
+        """
+        while hi - lo >= self.need:
+            top = min(hi, lo + 2 * self.most)
+            span = self._fullest(row, marks, lo, top) if self.could(row[lo:top]) else None
+            if span is None:
+                if top == hi:
+                    return
+                lo += self.most
+                continue
+            start, end, _ = span
+            yield from self.spans(row, marks, lo, start)
+            if start >= lo + self.most and top < hi:
+                lo = start  # the window may end within this one
+            else:
+                yield span
+                lo = end
+
+    def _fullest(self, row: np.ndarray, marks: list[int], lo: int, top: int) -> tuple[int, int, int] | None:
+        whole = row[lo:top].tolist()
+
+        def tight(a: int, b: int) -> tuple[int, int, int]:
+            count, end = self.reach(whole[a:b])
+            return a + end - (self.reach(whole[a : a + end][::-1], True)[1] if count >= self.need else 0), a + end, count
+
+        def marked(a: int, b: int) -> bool:
+            i = bisect.bisect_left(marks, lo + a)
+            return i < len(marks) and marks[i] + self.run <= lo + b
+
+        a, b, count = tight(0, len(whole))
+        if count < self.need:
+            return None
+        if b - a <= self.most and marked(a, b):
+            return lo + a, lo + b, count
+        # matched tokens lie too far apart: every start on its own, past those that cannot hold more
+        best, at = None, 0
+        while at < min(self.most, len(whole)):
+            a, b, count = tight(at, at + self.most)
+            wanted = max(self.need, best[2] + 1 if best else 0)
+            if count >= wanted and marked(a, b):
+                best = (lo + a, lo + b, count)
+            at += max(1, wanted - count)
+        return best
+
+
 class TemplateIndex:
     """Fingerprints of the templates in order of their hash, with the template and token each stands at."""
 
-    def __init__(self, names: list[str], texts: list[str], gram: int = GRAM, window: int = WINDOW):
-        self.names, self.gram, self.window = names, gram, window
+    def __init__(self, names: list[str], texts: list[str], gram: int = GRAM, window: int = WINDOW, least: float = 0.8):
+        self.names = names
         hashes, _, _, row = tokens(pa.array(texts, pa.string()))
-        self.templates = [hashes[row == i] for i in range(len(texts))]
-        first, grams = gram_hashes(hashes, row, gram)
-        places = winnowed(grams, row[first], window)
-        order = np.argsort(grams[places], kind="stable")
-        places = places[order]
+        self.patterns = [Pattern(hashes[row == i], gram, least) for i in range(len(texts))]
+        self.need = np.array([p.need for p in self.patterns], dtype=np.int64)
+        self.sizes = sorted({p.run for p in self.patterns})
         begin = np.searchsorted(row, np.arange(len(texts)))
-        self.keys, self.template = grams[places], row[first[places]]
-        self.token = first[places] - begin[self.template]
+        run = np.array([p.run for p in self.patterns], dtype=np.int64)
+        keys, template, token = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for size in self.sizes:
+            first, grams = gram_hashes(hashes, row, size)
+            mine = run[row[first]] == size
+            first, grams = first[mine], grams[mine]
+            places = winnowed(grams, row[first], window)
+            keys.append(grams[places])
+            template.append(row[first[places]])
+            token.append(first[places] - begin[template[-1]])
+        order = np.argsort(np.concatenate(keys), kind="stable")
+        self.keys, self.template, self.token = (np.concatenate(v)[order] for v in (keys, template, token))
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For every gram found in the index one entry per place: position in ``grams`` and index entry."""
@@ -135,39 +245,65 @@ class TemplateIndex:
         return np.repeat(found, many), entry
 
 
-def scan(texts: pa.StringArray, index: TemplateIndex, least: float) -> list[list[dict]]:
+def _stretches(index: TemplateIndex, hashes: np.ndarray, row: np.ndarray, bounds: np.ndarray) -> dict[int, list[tuple]]:
+    """Per text (template, first token, places in the template's vocabulary, marks) of every stretch that a match can lie in."""
+    token, template = [], []
+    for size in index.sizes:
+        # a text is fingerprinted at every place, so that it cannot miss a template's fingerprint by its own window
+        first, grams = gram_hashes(hashes, row, size)
+        at, entry = index.hits(grams)
+        token.append(first[at])
+        template.append(index.template[entry])
+    token, template = np.concatenate(token), np.concatenate(template)
+    long_enough = np.diff(bounds)[row[token]] >= index.need[template]
+    pairs = np.unique(np.stack([row[token], template, token], 1)[long_enough], axis=0)
+    edges = np.flatnonzero((pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)) + 1
+    found: dict[int, list[tuple]] = {}
+    for group in np.split(pairs, edges) if len(pairs) else []:
+        text, name = int(group[0, 0]), int(group[0, 1])
+        pattern = index.patterns[name]
+        marks = group[:, 2]
+        cuts = np.flatnonzero(np.diff(marks) > 2 * pattern.most) + 1
+        for part in np.split(marks, cuts):
+            lo = max(int(bounds[text]), int(part[0]) + pattern.run - pattern.most)
+            hi = min(int(bounds[text + 1]), int(part[-1]) + pattern.most)
+            places = pattern.places(hashes[lo:hi])
+            if pattern.could(places):
+                found.setdefault(text, []).append((name, lo, places, (part - lo).tolist()))
+    return found
+
+
+def scan(texts: pa.StringArray, index: TemplateIndex) -> list[list[dict]]:
     """Matches per text: license, coverage, start and end (code points), best coverage first where spans overlap."""
     found: list[list[dict]] = [[] for _ in range(len(texts))]
     hashes, starts, ends, row = tokens(texts)
-    first, grams = gram_hashes(hashes, row, index.gram)
-    # a text is fingerprinted at every place, so that it cannot miss a template's fingerprint by its own window
-    at, entry = index.hits(grams)
-    if not len(at):
+    if not len(row) or not index.sizes:
         return found
-    token = first[at]
-    begin = np.searchsorted(row, np.arange(len(texts)))
-    shift = token - begin[row[token]] - index.token[entry]
-    candidates = sorted({(int(row[t]), int(index.template[e]), int(round(s / BAND))) for t, e, s in zip(token, entry, shift, strict=True)})
-    bounds = np.append(begin, len(row))
-    place, starts_of = -1, np.zeros(0, np.int64)
-    for text, template, cell in candidates:
-        pattern = index.templates[template]
-        lo, hi = bounds[text], bounds[text + 1]
-        # the stretch of the text that the band can reach
-        a = max(0, cell * BAND - 2 * BAND)
-        b = min(hi - lo, cell * BAND + len(pattern) + 2 * BAND)
-        pairs = align(pattern, hashes[lo + a : lo + b], cell * BAND - a)
-        if not pairs or len(pairs) < least * len(pattern):
-            continue
-        if place != text:  # code points before every byte of this text
+    bounds = np.searchsorted(row, np.arange(len(texts) + 1))
+    for text, stretches in _stretches(index, hashes, row, bounds).items():
+        kept: list[dict] = []
+        while stretches:
+            # a stretch that lost a match to a fuller one is looked through again beside what stayed
+            tried = []
+            for stretch in stretches:
+                name, first, places, marks = stretch
+                pattern, lo = index.patterns[name], 0
+                taken = [(m["start"] - first, m["end"] - first) for m in kept]
+                mine = []
+                for a, b in [*((a, b) for a, b in taken if b > 0 and a < len(places)), (len(places), len(places))]:
+                    mine += pattern.spans(places, marks, lo, min(a, len(places)))
+                    lo = max(lo, b)
+                tried.append((stretch, [{
+                    "license": index.names[name], "coverage": count / pattern.n, "tokens": pattern.n, "start": first + s, "end": first + e,
+                } for s, e, count in mine]))
+            kept = _apart(kept + [m for _, ms in tried for m in ms])
+            stays = {id(m) for m in kept}
+            stretches = [stretch for stretch, ms in tried if any(id(m) not in stays for m in ms)]
+        if kept:  # code points before every byte of this text
             value = np.frombuffer(texts[text].as_py().encode(), np.uint8)
-            place, starts_of = text, np.concatenate([[0], np.cumsum((value & 0xC0) != 0x80)])
-        s, e = starts[lo + a + pairs[0][1]], ends[lo + a + pairs[-1][1]]
-        found[text].append({
-            "license": index.names[template], "coverage": len(pairs) / len(pattern),
-            "start": int(starts_of[s]), "end": int(starts_of[e]), "tokens": len(pattern),
-        })
-    return [_apart(matches) for matches in found]
+            before = np.concatenate([[0], np.cumsum((value & 0xC0) != 0x80)])
+            found[text] = [m | {"start": int(before[starts[m["start"]]]), "end": int(before[ends[m["end"] - 1]])} for m in kept]
+    return found
 
 
 def _apart(matches: list[dict]) -> list[dict]:
@@ -189,14 +325,16 @@ def license_matches(
 ) -> DataFrame:
     """id and matches (license, coverage, start, end in code points) per row of ``docs``, whole texts.
 
-    Texts and templates are compared as runs of letters and digits in lower case. The templates' winnowed
-    ``gram``-token fingerprints form an inverted index; a text's hits name templates and diagonals, and an
-    alignment within a band around each diagonal tells which share of the template's tokens the text holds, in
-    order. Matches of at least ``least`` are reported; of overlapping ones the fullest, then the longest.
+    Texts and templates are compared as runs of letters and digits in lower case. The templates' ``gram``-token
+    fingerprints form an inverted index (of short templates smaller grams, so that as many changed or missing
+    tokens as ``least`` allows leave one whole); a text's hits name templates and stretches. A match is a span of
+    at most a quarter more tokens than the template (16 more for templates of fewer than 64) that holds a
+    fingerprint and at least ``least`` of the template's tokens, in order. Of overlapping matches the fullest,
+    then the longest, stays, and no further match lies between those reported.
 
     Templates (name, text) travel with the tasks and are refused beyond ``TEMPLATE_BYTES``; null templates
-    are left out, so are those of fewer than ``gram`` tokens. Null and empty texts have no matches, repeated
-    rows give repeated rows, an empty table none.
+    are left out, so are those without tokens. ``window`` thins the index and loses edited notices beyond 1. Null
+    and empty texts have no matches, repeated rows give repeated rows, an empty table none.
     """
     if templates is None:
         templates = NOTICES
@@ -206,14 +344,14 @@ def license_matches(
         if size > TEMPLATE_BYTES:
             raise ValueError(f"{size} bytes of templates; at most {TEMPLATE_BYTES} can travel with the tasks")
         templates = [(r[0], r[1]) for r in templates.filter(F.col(text).isNotNull()).select(name, text).collect()]
-    index = TemplateIndex([n for n, _ in templates], [t for _, t in templates], gram, window)
+    index = TemplateIndex([n for n, _ in templates], [t for _, t in templates], gram, window, least)
     match = T.StructType([
         T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()),
         T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
     ])
 
     def run(texts: pa.StringArray) -> list:
-        return [[[{k: m[k] for k in ("license", "coverage", "start", "end")} for m in ms] for ms in scan(texts, index, least)]]
+        return [[[{k: m[k] for k in ("license", "coverage", "start", "end")} for m in ms] for ms in scan(texts, index)]]
 
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     return map_texts(rows, "_text", run, [T.StructField("matches", T.ArrayType(match))])
