@@ -1,9 +1,11 @@
 import random
+import re
 
 import numpy as np
 from test_license_scan import found
 
-from tidemark.llm.license_scan import NOTICES, Pattern
+from tidemark.llm.license_scan import NOTICES, Pattern, default_templates
+from tidemark.llm.queries import op3_license_scan
 
 
 def test_copies_in_a_row_small_edits_and_long_insertions(spark):
@@ -52,3 +54,39 @@ def test_spans_against_every_span_by_brute_force():
                     assert not any(s <= m and m + pattern.run <= e for m in marks)
         some += len(got)
     assert some > 100
+
+
+def test_every_default_template_is_found_whole_and_edited(spark):
+    templates = default_templates()
+    names = [n for n, _ in templates]
+    random.seed(18)
+    edited = []
+    for _, text in templates:
+        parts = text.split()
+        plain = [i for i, w in enumerate(parts) if w.isalpha() and w.islower()]  # not what tells licenses apart
+        for i in random.sample(plain, len(plain) // 20):
+            parts[i] = "zzz"
+        edited.append(f"é before, {' '.join(parts)} after")
+    got = found(spark, [f"é before, {t} after" for _, t in templates] + edited)
+    for i, name in enumerate(names):
+        assert [m[:2] for m in got[i]] == [(name, 1.0)]
+        best = max(got[len(names) + i], key=lambda m: m[3] - m[2])
+        assert best[0] == name and best[1] >= 0.9
+
+
+def test_query_against_a_search_of_every_template(spark):
+    def folded(text):
+        return "".join(f" {w} " for w in re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower()))
+
+    path = "/root/testdata/sf0.01"
+    rows = op3_license_scan(spark, path).collect()
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()}
+    templates = [(name, folded(text)) for name, text in default_templates()]
+    count = {name: 0 for name, _ in templates}
+    for doc, text in docs.items():
+        found_here = [folded(text[r.start : r.end]) for r in rows if r.doc_id == doc]
+        for name, template in templates:
+            n = folded(text).count(template)
+            count[name] += n
+            assert sum(span.count(template) for span in found_here) == n
+    assert count["all-rights-reserved"] > 0

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.batches import SpanHashes, joined_hashes, map_texts, spread, text_bytes
+from tidemark.llm.license_texts import HEADERS, bodies
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -33,6 +34,7 @@ NOTICES = [
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("proprietary", "All rights reserved. No part of this publication may be reproduced without permission"),
+    ("all-rights-reserved", "All rights reserved"),
 ]
 
 FOLD = np.zeros(256, dtype=np.uint8)  # 0 for separators, lower case for letters, bytes beyond ASCII as they are
@@ -274,7 +276,7 @@ def _stretches(index: TemplateIndex, hashes: np.ndarray, row: np.ndarray, bounds
 
 
 def scan(texts: pa.StringArray, index: TemplateIndex) -> list[list[dict]]:
-    """Matches per text: license, coverage, start and end (code points), best coverage first where spans overlap."""
+    """Matches per text: license, coverage, start and end (code points), none overlapping."""
     found: list[list[dict]] = [[] for _ in range(len(texts))]
     hashes, starts, ends, row = tokens(texts)
     if not len(row) or not index.sizes:
@@ -294,7 +296,7 @@ def scan(texts: pa.StringArray, index: TemplateIndex) -> list[list[dict]]:
                     mine += pattern.spans(places, marks, lo, min(a, len(places)))
                     lo = max(lo, b)
                 tried.append((stretch, [{
-                    "license": index.names[name], "coverage": count / pattern.n, "tokens": pattern.n, "start": first + s, "end": first + e,
+                    "license": index.names[name], "coverage": count / pattern.n, "count": count, "start": first + s, "end": first + e,
                 } for s, e, count in mine]))
             kept = _apart(kept + [m for _, ms in tried for m in ms])
             stays = {id(m) for m in kept}
@@ -307,10 +309,10 @@ def scan(texts: pa.StringArray, index: TemplateIndex) -> list[list[dict]]:
 
 
 def _apart(matches: list[dict]) -> list[dict]:
-    """Of matches that overlap, the one with the higher coverage, then the longer template, stays."""
+    """Of matches that overlap, the one that holds most of a template's tokens, then the higher coverage, stays."""
     kept: list[dict] = []
     begins: list[int] = []
-    for m in sorted(matches, key=lambda m: (-m["coverage"], -m["tokens"], m["start"], m["license"], m["end"])):
+    for m in sorted(matches, key=lambda m: (-m["count"], -m["coverage"], m["start"], m["license"], m["end"])):
         i = bisect.bisect_left(begins, m["start"])
         before, after = kept[i - 1] if i else None, kept[i] if i < len(kept) else None
         if (before is None or before["end"] <= m["start"]) and (after is None or m["end"] <= after["start"]):
@@ -319,6 +321,11 @@ def _apart(matches: list[dict]) -> list[dict]:
     return kept
 
 
+def default_templates() -> list[tuple[str, str]]:
+    """Notices, headers, identifier lines and whole texts of common licenses."""
+    return [*NOTICES, *HEADERS, *bodies()]
+
+
 def license_matches(
     docs: DataFrame, templates: list[tuple[str, str]] | DataFrame | None = None, least: float = 0.8, gram: int = GRAM, window: int = WINDOW,
     id_col: str = "doc_id", text_col: str = "text",
@@ -329,15 +336,17 @@ def license_matches(
     fingerprints form an inverted index (of short templates smaller grams, so that as many changed or missing
     tokens as ``least`` allows leave one whole); a text's hits name templates and stretches. A match is a span of
     at most a quarter more tokens than the template (16 more for templates of fewer than 64) that holds a
-    fingerprint and at least ``least`` of the template's tokens, in order. Of overlapping matches the fullest,
-    then the longest, stays, and no further match lies between those reported.
+    fingerprint and at least ``least`` of the template's tokens, in order. Of overlapping matches the one with most
+    of these tokens, then the fullest, stays (a license text, not the notice inside it), and no further match lies
+    between those reported. Without ``templates`` the notices, headers, identifier lines and whole texts of common
+    licenses are searched.
 
     Templates (name, text) travel with the tasks and are refused beyond ``TEMPLATE_BYTES``; null templates
     are left out, so are those without tokens. ``window`` thins the index and loses edited notices beyond 1. Null
     and empty texts have no matches, repeated rows give repeated rows, an empty table none.
     """
     if templates is None:
-        templates = NOTICES
+        templates = default_templates()
     elif isinstance(templates, DataFrame):
         name, text = templates.columns[:2]
         size = templates.agg(F.sum(F.octet_length(text))).first()[0] or 0
