@@ -20,10 +20,10 @@ KINDS = ["assign", "access", "hex", "guess"]
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CONTEXT = re.compile(
-    r"""(?ai:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|(?:api|access|private|secret)[_-]?key)"""
-    r"""["']?\x20*[:=]\x20*["']?([^\x20\x09-\x0D"']+)"""
-)
+NAME = r"""(?ai:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|(?:api|access|private|secret)[_-]?key)["']?\x20*[:=]"""
+# the word of an authorization scheme stands before the value, unless another name and sign follow it
+SCHEME = r"""(?:(?ai:bearer|basic|digest|negotiate|token|api_?key)\x20+["']?(?![^\x20\x09-\x0D"']*""" + NAME + "))?"
+CONTEXT = re.compile(NAME + r"""\x20*["']?""" + SCHEME + r"""([^\x20\x09-\x0D"']+)""")
 # Common words of chosen passwords, most common first; the place is the number of guesses a word costs.
 WORDS = (
     "password pass admin root user test guest login welcome letmein master secret token key hello love monkey dragon"
@@ -135,7 +135,9 @@ def secret_spans(
 
     Kinds: ``assign`` (a credential's name, a sign, a value of eight or more), ``access`` (key ids),
     ``hex`` (32 or more), ``guess``: the value after a credential's name if it has ``shortest`` or more
-    characters and its cheapest segmentation costs at least 10 ** ``least`` guesses.
+    characters and its cheapest segmentation costs at least 10 ** ``least`` guesses; the word of a scheme
+    (Bearer, Basic, ...) before it is skipped. A character costs ten guesses at most, so values of fewer than
+    ``least`` characters never count: eight is the true bound unless ``least`` is lowered.
 
     Null and empty texts have no spans. Repeated rows give repeated rows, null ids stay null.
     """
