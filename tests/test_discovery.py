@@ -1,6 +1,6 @@
 """Address-space walks: cycles, second parents, the Server subtree, the depth limit."""
 
-from conftest import rows
+from helpers import rows
 
 from tidemark import schemas
 from tidemark.operators import discovery, joins

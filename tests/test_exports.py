@@ -5,7 +5,7 @@ import os
 
 import pyarrow.parquet as pq
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from tidemark import schemas

@@ -1,7 +1,7 @@
 """Joins and ordered work with a hot key, on every path they can take."""
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from tidemark.operators import joins, shards

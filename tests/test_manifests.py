@@ -1,7 +1,7 @@
 """Manifest rules, the partition cycle and retention."""
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from tidemark import schemas
