@@ -13,6 +13,7 @@ from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.license_scan import license_matches
 from tidemark.llm.mixing import mix
 from tidemark.llm.pieces import Vocabulary, encode
+from tidemark.llm.pii_scan import pii_digest, pii_spans
 from tidemark.llm.quality import score_documents
 from tidemark.llm.secret_scan import secret_spans, span_digest
 from tidemark.llm.topk_search import topk_search
@@ -151,3 +152,9 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices found in the documents."""
     found = license_matches(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
+@query()
+def op13_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii_digest(pii_spans(table(spark, sf_dir, "documents")))
