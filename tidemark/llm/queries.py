@@ -14,6 +14,7 @@ from tidemark.llm.hard_negatives import hard_negatives
 from tidemark.llm.license_scan import license_matches
 from tidemark.llm.mixing import mix
 from tidemark.llm.pieces import Vocabulary, encode
+from tidemark.llm.phrases import mine_phrases
 from tidemark.llm.pii_scan import pii_digest, pii_spans
 from tidemark.llm.quality import score_documents
 from tidemark.llm.secret_scan import secret_spans, span_digest
@@ -155,6 +156,47 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
 
 
+@query(r"""
+WITH piece AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), word AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM piece
+), total AS (
+    SELECT lang, CAST(sum(len(words)) AS HUGEINT) AS n FROM word GROUP BY lang
+), place AS (
+    SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM word
+), gram AS (
+    SELECT lang, list_slice(words, i, i + m - 1) AS phrase, CAST(count(*) AS HUGEINT) AS f
+    FROM place, range(1, 6) AS size(m) WHERE i + m - 1 <= len(words) GROUP BY ALL HAVING count(*) >= 100
+), cut AS (
+    SELECT lang, phrase, f, unnest(range(1, len(phrase))) AS k FROM gram WHERE len(phrase) > 1
+), scored AS (
+    SELECT c.lang, c.phrase, c.f AS a, l.f AS l, r.f AS r, n, (1000 * c.f * n) // (l.f * r.f) AS score
+    FROM cut c JOIN gram l ON l.lang = c.lang AND l.phrase = list_slice(c.phrase, 1, k)
+    JOIN gram r ON r.lang = c.lang AND r.phrase = list_slice(c.phrase, k + 1, len(c.phrase)) JOIN total t ON t.lang = c.lang
+    QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY (1000 * c.f * n) // (l.f * r.f), k) = 1
+), part AS (
+    SELECT DISTINCT lang, f, list_slice(phrase, i, i + m - 1) AS phrase
+    FROM (SELECT lang, f, phrase, unnest(range(1, len(phrase))) AS i FROM gram), range(2, 5) AS size(m)
+    WHERE m < len(phrase) AND i + m - 1 <= len(phrase)
+    UNION ALL
+    SELECT DISTINCT lang, f, list_slice(phrase, len(phrase) - m + 1, len(phrase)) AS phrase FROM gram, range(2, 5) AS size(m) WHERE m < len(phrase)
+), kept AS (
+    SELECT s.*, array_to_string(s.phrase, ' ') AS text FROM scored s
+    WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.lang = s.lang AND p.phrase = s.phrase AND 100 * p.f >= 100 * s.a)
+)
+SELECT lang, row_number() OVER best AS rank, text AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, text)
+QUALIFY row_number() OVER best <= 2000
+""")
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language."""
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
 @query("""
 WITH whole AS (
     SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
