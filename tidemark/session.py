@@ -67,3 +67,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table that ``cut_lineage`` wrote for ``df``, once all that was made from it is written itself."""
+    spark = df.sparkSession
+    folders = {file.rpartition("/")[0] for file in df.inputFiles()}
+    for folder in folders:
+        if folder.rpartition("/")[2].startswith("table-"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
