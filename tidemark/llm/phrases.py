@@ -18,13 +18,13 @@ from tidemark.llm import phrase_index
 from tidemark.llm.batches import BATCH_BYTES, SpanHashes, _split, text_bytes
 from tidemark.llm.phrase_index import extensions, packed, thinned, unpacked
 from tidemark.operators.joins import lookup_join
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, release
 
 for module in (sys.modules[__name__], phrase_index, texts):
     cloudpickle.register_pickle_by_value(module)
 
-SHARD_WORDS = 2_000_000  # an index of so many words takes some 200 MB while it is used
-BUCKET_BYTES = 16 * 1024 * 1024  # of text, per task that sums
+SHARD_WORDS = 1_200_000  # an index of so many words takes some 150 MB while it is used
+BUCKET_BYTES = 8 * 1024 * 1024  # of text, per task that sums
 UNKNOWN = "und"
 TEXT, LIST, RUN, TOTAL, PHRASE = range(5)  # kinds of rows
 ROW = pa.schema([
@@ -224,7 +224,7 @@ def phrase_counts(
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
     made = cut_lineage(rows.mapInArrow(lambda b: _tokenise(b, n_buckets, shard_words), FIELDS))
-    totals = made.filter(F.col("kind") == TOTAL).groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = cut_lineage(made.filter(F.col("kind") == TOTAL).groupBy("lang").agg(F.sum("n").alias("n")))
     tables: list[DataFrame] = []
     for length in range(1, longest + 1):
         add = _sum_words if length == 1 else _sum_phrases
@@ -242,7 +242,12 @@ def phrase_counts(
             lists = summed.filter(F.col("kind") == LIST)
             both = made.filter(F.col("kind") == TEXT).unionByName(lists)
             dealt = both.repartition("shard").sortWithinPartitions("shard", "kind")
-            made = cut_lineage(dealt.mapInArrow(lambda b, n=length: _extend(b, n, n_buckets), FIELDS))
+            longer = cut_lineage(dealt.mapInArrow(lambda b, n=length: _extend(b, n, n_buckets), FIELDS))
+            release(made)
+            made = longer
+        if length > 1:
+            release(summed)  # the words are still read from the first sum
+    release(made)
     return tables, totals
 
 
@@ -263,6 +268,8 @@ def mine_phrases(
     """
     tables, totals = phrase_counts(docs, longest, least, text_col, lang_col, shard_words, bucket_bytes)
     known = cut_lineage(_union(tables))
+    for one in tables:
+        release(one)
     found = known.filter(F.instr("phrase", " ") > 0).withColumn("words", F.split("phrase", " "))
     part = lambda start, length: F.array_join(F.slice("words", start, length), " ")
     cuts = found.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("words") - 1))).select(
