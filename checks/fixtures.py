@@ -11,7 +11,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import names
+from tidemark.functions import names, times
 from tidemark.operators import aggregates
 from tidemark.session import cut_lineage, shared_dir
 
@@ -131,6 +131,16 @@ class Tables:
             piece.coalesce(1).write.mode("append").parquet(path)
         return path
 
+    def disordered_files(self) -> str:
+        """The raw notifications as four files by time, of which the second and the third have changed places."""
+        path = shared_dir(self.spark, "disordered")
+        raw = cut_lineage(self.raw_notifications())
+        day = (times.epoch_ms(times.event_time(F.col("source_ts"), F.col("received_ts"))) - FIRST_WINDOW_MS) / 86_400_000
+        for first, last in ((0, 10), (16, 21), (10, 16), (21, 1000)):
+            piece = raw.filter((day >= first) & (day < last))
+            piece.coalesce(1).write.mode("append").parquet(path)
+        return path
+
     @_planned_once
     def partitions(self) -> DataFrame:
         stats = aggregates.window_stats(self.readings(), self.tags(), self.plcs(), WINDOW_MS)

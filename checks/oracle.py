@@ -492,6 +492,17 @@ _TEXTS: dict[str, str] = {
         GROUP BY 1 HAVING ts_utc // {W} * {W} + {W} <= (SELECT max(ts_utc) FROM live)""",
     "change_stream": _changed("(SELECT * EXCLUDE (plc_name) FROM live)"),
     "stream_health": "SELECT plc_name, count(*) AS samples, max(ts_received_utc) AS last_sample_ms FROM live GROUP BY 1",
+    "stream_silent_plcs": f"""SELECT * FROM (WITH fed AS (SELECT * FROM live WHERE ts_utc < {DAY_0 + 20 * DAY} OR NOT starts_with(plc_name, 'I'))
+      SELECT plc_name, count(*) AS samples, max(ts_utc) + {DAY} <= (SELECT max(ts_utc) FROM fed) - 3600000 AS silent FROM fed GROUP BY 1)""",
+    "stream_window_report": f"""SELECT * FROM (WITH filed AS (
+        SELECT id, ts_utc, ts_utc // {W} * {W} AS w, CASE WHEN d < 10 THEN 0 WHEN d < 16 THEN 2 WHEN d < 21 THEN 1 ELSE 3 END AS k
+        FROM (SELECT *, (ts_utc - {DAY_0}) // {DAY} AS d FROM live)
+      ), marks AS (
+        SELECT k, coalesce((SELECT max(ts_utc) FROM filed f WHERE f.k < m.k) - 3600000, 0) AS mark FROM range(5) AS m(k)
+      ), seen AS (SELECT filed.*, w + {W} <= mark AS late FROM filed JOIN marks USING (k))
+      SELECT w AS partition_start, count(*) FILTER (NOT late) AS row_count, max(id) FILTER (NOT late) AS max_reading_id,
+             count(*) FILTER (late) AS late_rows
+      FROM seen WHERE w + {W} <= (SELECT mark FROM marks WHERE k = 4) GROUP BY 1)""",
     "stream_first_type": "SELECT tag_id, arg_min(data_type, id) AS data_type FROM live WHERE data_type <> 'Null' GROUP BY 1",
     "late_readings": f"SELECT * FROM readings WHERE {_HALF}",
     "late_windows": f"SELECT ts_utc // {W} * {W} AS partition_start, count(*) AS late_rows FROM readings WHERE {_HALF} GROUP BY 1",

@@ -20,7 +20,7 @@ from tidemark.session import configure, cut_lineage, shared_dir
 from tidemark.sinks import exports as writers
 from tidemark.sinks import state
 from tidemark.sources import inputs
-from tidemark.streaming import jobs, processors
+from tidemark.streaming import figures, jobs, processors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -687,17 +687,40 @@ def stream_closed_windows(t):
 @query
 def stream_health(t):
     root, checkpoint = _paths(t, "health")
-    figures = jobs.running_health(_stream(t))
-    _run(t, lambda: jobs.start_current(figures, root, "plc_name", checkpoint, once=True))
-    return state.read_latest(t.spark, root, figures.schema)
+    figures_of = figures.health_changes(_stream(t))
+    _run(t, lambda: figures.start_changes(figures_of, root, figures.merge_health, checkpoint, jobs.trigger(True), fold_every=3))
+    return figures.current_health(t.spark, root).drop("silent")
+
+
+@query
+def stream_silent_plcs(t):
+    """Controllers whose newest row lies a day or more behind the watermark of the whole stream."""
+    root, checkpoint = _paths(t, "silent")
+    stream = _stream(t).filter((F.col("ts_utc") < FIRST_WINDOW_MS + 20 * 86_400_000) | ~F.startswith("plc_name", F.lit("I")))
+    figures_of = figures.health_changes(stream, silence_ms=86_400_000, lateness="1 hour")
+    _run(t, lambda: figures.start_changes(figures_of, root, figures.merge_health, checkpoint, jobs.trigger(True)))
+    return figures.current_health(t.spark, root).select("plc_name", "samples", "silent")
 
 
 @query
 def stream_first_type(t):
     root, checkpoint = _paths(t, "types")
-    types = jobs.running_first_type(_stream(t))
-    _run(t, lambda: jobs.start_current(types, root, "tag_id", checkpoint, once=True))
-    return state.read_latest(t.spark, root, types.schema)
+    types = figures.type_changes(_stream(t))
+    _run(t, lambda: figures.start_changes(types, root, figures.merge_types, checkpoint, jobs.trigger(True)))
+    return figures.current_types(t.spark, root)
+
+
+@query
+def stream_window_report(t):
+    """Files out of time order: how many rows of each window were counted when it closed, and how many came too late."""
+    root, checkpoint = _paths(t, "windows")
+    raw = inputs.notification_stream(t.spark, t.disordered_files(), files_per_trigger=1)
+    stream = jobs.resolved_stream(raw, t.tags(), t.plcs())
+    _run(t, lambda: figures.start_window_report(stream, root, checkpoint, jobs.trigger(True), WINDOW_HOURS, "1 hour"))
+    closed = t.spark.read.parquet(f"{root}/closed").drop("batch")
+    late = t.spark.read.parquet(f"{root}/late").groupBy("partition_start").agg(F.count("*").alias("late_rows"))
+    both = closed.join(late, "partition_start", "full_outer")
+    return both.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("row_count", "late_rows")})
 
 
 def _late(t):

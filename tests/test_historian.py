@@ -85,3 +85,33 @@ def test_life_cycle(spark, folder):
     summary = site.run_snapshot(T0 + 9 * DAY, delivered=True)
     assert ("readings", len(kept), 57) in rows(summary)
     assert ("backup_uploaded_reading_id", "57") in rows(site.table("settings"))
+
+
+def test_the_selection_feed_holds_what_changed(spark, folder):
+    site = Historian(spark, folder("site"), "Plant")
+    site.upsert_plcs(spark.createDataFrame([("P", "opc.tcp://p", "None", 1)], "name string, endpoint_url string, security_policy string, seq long"))
+    edges = spark.createDataFrame([("P", "i=85", TAG + t, "Variable", t, None) for t in ("a", "b", "c")], schemas.ADDRESS_EDGES)
+    site.sync_discovery(edges, T0)
+    chosen = site.table("tags").filter(~F.col("tag_name").endswith(".c")).select("plc_id", "tag_id")
+    site.set_tags_enabled(site.table("plcs").select("plc_id"), chosen)
+    site.set_tags_enabled(site.table("plcs").select("plc_id"), chosen)  # nothing new
+    site.publish_selection()
+    feed = spark.read.parquet(f"{site.root}/feeds/selection")
+    assert rows(feed, "tag_id", "live", "version") == [(1, True, 1), (2, True, 1), (3, False, 2), (3, True, 1)]
+
+    source, start = folder("feed"), dt.datetime.fromtimestamp(T0 / 1000, dt.timezone.utc).replace(tzinfo=None)
+    def notify(*parts):
+        spark.createDataFrame([("P", TAG + t, start, start, 0, "Double", None, 1.0, None, n) for t, n in parts], schemas.RAW_NOTIFICATIONS).write.mode("append").parquet(source)
+
+    notify(("a", 1), ("c", 2))
+    query = site.start_ingest(inputs.notification_stream(spark, source), folder("checkpoint"), seconds=0.0, buckets=2)
+    try:
+        query.processAllAvailable()
+        other = site.table("tags").filter(F.col("tag_name").endswith(".c")).select("plc_id", "tag_id")
+        site.set_tags_enabled(site.table("plcs").select("plc_id"), other)
+        query.processAllAvailable()
+        notify(("a", 3), ("c", 4))
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert rows(site.readings(), "id") == [(1,), (4,)]

@@ -57,6 +57,22 @@ def tag_selection(tags: DataFrame) -> DataFrame:
     )
 
 
+def selection(tags: DataFrame, plcs: DataFrame, version: int = 0) -> DataFrame:
+    """Every tag as a stream has to know it: controller and node, whether its readings are wanted, its deadband."""
+    plc_names = plcs.select("plc_id", F.col("name").alias("plc_name"))
+    named = lookup_join(tags, plc_names, ["plc_id"], salt_on="tag_id")
+    return named.select("plc_name", "node_id", "tag_id", is_live().alias("live"), "deadband_override", F.lit(version).cast("long").alias("version"))
+
+
+def selection_changes(current: DataFrame, published: DataFrame) -> DataFrame:
+    """The rows of a selection that say something else than the newest published row of their node."""
+    newest = latest_by_key(published, ["plc_name", "node_id"], "version")
+    columns = ["tag_id", "live", "deadband_override"]
+    known = newest.select("plc_name", "node_id", F.struct(*columns).alias("known"))
+    joined = current.join(known, ["plc_name", "node_id"], "left")
+    return joined.filter(~F.col("known").eqNullSafe(F.struct(*columns))).select(*current.columns)
+
+
 def resolve_notifications(raw: DataFrame, tags: DataFrame, plcs: DataFrame) -> DataFrame:
     """Attach the tag id to raw notifications; those of unknown or deselected tags drop out."""
     plc_names = plcs.select("plc_id", F.col("name").alias("plc_name"))

@@ -1,7 +1,7 @@
 """One folder that holds a fleet's history, and the jobs a user runs on it.
 
-Layout: ``readings`` by date, ``tables/<name>/version=N`` for the state tables, ``partitions`` for
-exported windows, ``csv`` for rolling CSV files, ``windows-csv`` and ``snapshots`` for one-off copies.
+Layout: ``readings`` by date, ``tables/<name>/version=N`` for the state tables, ``feeds/selection`` for the changes of
+the tags that streams follow, ``partitions`` for exported windows, ``csv`` for rolling CSV files, ``windows-csv`` and ``snapshots`` for one-off copies.
 Every job reads the newest complete version of what it needs and writes the next one; the last fifty
 versions of a table are kept.
 """
@@ -43,6 +43,8 @@ class Historian:
         folder = f"{self.root}/tables/{name}"
         version = state.update(self.spark, folder, TABLES[name], change)
         state.drop_old_versions(self.spark, folder, keep=50)
+        if name == "tags":
+            self.publish_selection()
         return version
 
     def save(self, name: str, table: DataFrame) -> int:
@@ -84,17 +86,36 @@ class Historian:
 
     # Ingest
 
+    def publish_selection(self) -> None:
+        """Append what changed in the selection to the feed that running streams read.
+
+        Compared is with what the feed says itself, so a change that a run failed to publish comes with the next one.
+        """
+        feed = f"{self.root}/feeds/selection"
+        version = max(state.versions(self.spark, f"{self.root}/tables/tags"), default=0)
+        published = self.spark.createDataFrame([], schemas.SELECTION)
+        if state.exists(self.spark, feed):
+            published = self.spark.read.schema(schemas.SELECTION).parquet(feed)
+        changed = registry.selection_changes(registry.selection(*self._dims(), version), published).persist()
+        if not changed.isEmpty():
+            changed.coalesce(1).write.mode("append").parquet(feed)
+        changed.unpersist()
+
     def start_ingest(
         self, raw: DataFrame, checkpoint: str, default_deadband: float = 0.0, exempt_boolean: bool = False, once: bool = False,
         **options: object,
     ) -> StreamingQuery:
-        """Store a stream of notifications, with the tags as they are selected now, and record the tags' types.
+        """Store a stream of notifications of selected tags, and record the tags' types.
 
+        A change of the selection, or of a tag's deadband, reaches the running stream with its next micro-batch.
         ``options`` are those of ``jobs.start_ingest``: rows_per_task, buckets, seconds.
         """
+        self.publish_selection()
+        feed = f"{self.root}/feeds/selection"
+        changes = inputs.selection_stream(self.spark, feed) if state.exists(self.spark, feed) else None
         return jobs.start_ingest(
             raw, *self._dims(), f"{self.root}/readings", checkpoint, default_deadband, exempt_boolean, once,
-            on_types=self._record_types, **options,
+            on_types=self._record_types, changes=changes, **options,
         )
 
     def _record_types(self, typed: DataFrame) -> None:

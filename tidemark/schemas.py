@@ -57,6 +57,11 @@ CONNECTION_EVENTS = _table(
     ("seq", _L, False), ("plc_name", _S, False), ("kind", _S, False), ("endpoint_url", _S, True),
     ("error", _S, True), ("at", _TS, False),
 )
+# What a stream has to know of a node; ``version`` orders the changes of one node.
+SELECTION = _table(
+    ("plc_name", _S, False), ("node_id", _S, False), ("tag_id", _I, False), ("live", _B, False),
+    ("deadband_override", _D, True), ("version", _L, False),
+)
 UPLOAD_OUTCOMES = _table(("file_name", _S, False), ("outcome", _S, False), ("at", _S, True))
 
 _PLC_ENTRY = _table(("Name", _S, True), ("EndpointUrl", _S, True), ("SecurityPolicy", _S, True))

@@ -21,6 +21,11 @@ def notification_stream(spark: SparkSession, path: str, fmt: str = "parquet", fi
     return reader.load(path)
 
 
+def selection_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Changes of the tag selection as they are published to a folder."""
+    return spark.readStream.schema(schemas.SELECTION).parquet(path)
+
+
 def readings(spark: SparkSession, path: str) -> DataFrame:
     """The stored readings, partitioned by UTC date in ``dt``."""
     schema = T.StructType([*schemas.READINGS.fields, T.StructField("dt", T.DateType())])

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.times import HOUR_MS, utc_date, window_start
-from tidemark.operators.registry import NULL_TYPE, resolve_notifications
+from tidemark.operators import registry
+from tidemark.operators.registry import resolve_notifications
 from tidemark.plans.fleet import normalise
 from tidemark.sinks import state
 from tidemark.sources import inputs
-from tidemark.streaming.processors import BUCKETS, deadband_stream
+from tidemark.streaming.processors import BUCKETS, selected_stream
 
 ROWS_PER_TASK = 500_000
 
@@ -31,7 +32,7 @@ def start_ingest(
     raw: DataFrame, tags: DataFrame, plcs: DataFrame, path: str, checkpoint: str,
     default_deadband: float = 0.0, exempt_boolean: bool = False, once: bool = False,
     rows_per_task: int = ROWS_PER_TASK, buckets: int = BUCKETS, seconds: float = 1.0,
-    on_types: Callable[[DataFrame], None] | None = None,
+    on_types: Callable[[DataFrame], None] | None = None, changes: DataFrame | None = None,
 ) -> StreamingQuery:
     """Raw notifications to stored readings: tag lookup, normalising, deadband, Parquet by date.
 
@@ -41,12 +42,10 @@ def start_ingest(
     ask for, each file sorted by tag and time. ``on_types`` is handed
     tag_id, data_type and id of each batch that stored something.
 
-    The tags and controllers are copied below the checkpoint, so that the stream does not depend on
-    table versions that are removed while it runs.
+    The tags and controllers are the selection that a new checkpoint starts with; it goes into the stream's state. Later
+    selections come as a stream of ``changes`` (``schemas.SELECTION``) and take effect with the next micro-batch.
     """
-    tags, plcs = (_pinned(table, f"{checkpoint}-tables/{name}") for table, name in ((tags, "tags"), (plcs, "plcs")))
-    readings = resolved_stream(raw, tags, plcs).drop("plc_name", "node_id")
-    stored = deadband_stream(readings, tags, default_deadband, exempt_boolean, buckets)
+    stored = selected_stream(normalise(raw), registry.selection(tags, plcs), changes, default_deadband, exempt_boolean, buckets)
     may_repeat = [True]
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -70,11 +69,6 @@ def start_ingest(
     )
 
 
-def _pinned(table: DataFrame, path: str) -> DataFrame:
-    table.write.mode("overwrite").parquet(path)
-    return table.sparkSession.read.schema(table.schema).parquet(path)
-
-
 def _not_stored(rows: DataFrame, path: str) -> DataFrame:
     if not state.exists(rows.sparkSession, path):
         return rows
@@ -86,8 +80,8 @@ def _not_stored(rows: DataFrame, path: str) -> DataFrame:
 def closed_windows(readings: DataFrame, hours: int, lateness: str) -> DataFrame:
     """Row count and highest id per window, emitted once the watermark has passed its end.
 
-    Rows that come later than ``lateness`` behind the newest one are not counted; run ``start_late_report``
-    beside this with a cursor no later than the watermark, and it names them and their windows.
+    Rows that come later than ``lateness`` behind the newest one are not counted; ``figures.start_window_report``
+    counts the same windows and names those rows in the same stream.
     """
     return (
         readings.withColumn("ts", F.timestamp_millis("ts_utc")).withWatermark("ts", lateness)
@@ -104,43 +98,6 @@ def start_append(df: DataFrame, path: str, checkpoint: str, once: bool = False)
     )
 
 
-def start_current(df: DataFrame, root: str, key: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Keep a table with the current row per key of an updating aggregate.
-
-    Each micro-batch writes the version that carries its number: the version before it with the
-    changed keys replaced, so a repeated batch writes the same again. The table has one row per key
-    and a few versions are kept; ``state.read_latest`` reads it. ``root`` belongs to the checkpoint.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = [version for version in state.versions(spark, root) if version <= batch_id]
-        merged = batch = batch.persist()
-        if before:
-            old = state.read_version(spark, root, before[-1], batch.schema)
-            merged = old.join(batch.select(key), key, "left_anti").unionByName(batch)
-        state.write_version(merged, root, batch_id + 1)
-        batch.unpersist()
-        state.drop_old_versions(spark, root)
-
-    return (
-        df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-        .outputMode("update").trigger(**trigger(once)).start()
-    )
-
-
-def running_health(readings: DataFrame) -> DataFrame:
-    """Rows and last receive time per controller so far."""
-    return readings.groupBy("plc_name").agg(
-        F.count("*").alias("samples"), F.max("ts_received_utc").alias("last_sample_ms")
-    )
-
-
-def running_first_type(readings: DataFrame) -> DataFrame:
-    """The type of each tag's lowest-id reading that had a value."""
-    typed = readings.filter(F.col("data_type") != NULL_TYPE)
-    return typed.groupBy("tag_id").agg(F.min_by("data_type", "id").alias("data_type"))
-
-
 def start_late_report(
     readings: DataFrame, path: str, checkpoint: str, cursor, hours: int = 6, once: bool = False
 ) -> StreamingQuery:
