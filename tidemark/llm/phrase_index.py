@@ -29,6 +29,14 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.int32 if size == 4 else np.int64).ravel().astype(np.int64)
 
 
+def packed_text(text: bytes) -> bytes:
+    return len(text).to_bytes(8, "little") + pa.Codec("zstd").compress(text, asbytes=True)
+
+
+def unpacked_text(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 class Index:
     """The Burrows-Wheeler transform of a text of word ids, with positions in order of the ``depth`` words that follow.
 

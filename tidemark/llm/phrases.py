@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import batches as texts
 from tidemark.llm import phrase_index
 from tidemark.llm.batches import BATCH_BYTES, SpanHashes, _split, text_bytes
-from tidemark.llm.phrase_index import extensions, packed, thinned, unpacked
+from tidemark.llm.phrase_index import extensions, packed, packed_text, thinned, unpacked, unpacked_text
 from tidemark.operators.joins import lookup_join
 from tidemark.session import cut_lineage, release
 
@@ -102,13 +102,16 @@ def _shard(held: list[tuple], shard: int, n_buckets: int) -> pa.RecordBatch:
     n_words = len(words.dictionary)
     key, ids = np.unique(spoken.indices.to_numpy().astype(np.int64) * n_words + words.indices.to_numpy(), return_inverse=True)
     counts = np.bincount(ids, minlength=len(key))
+    number = np.empty(len(key), np.int64)
+    number[np.argsort(-counts, kind="stable")] = np.arange(1, len(key) + 1)  # common words get small numbers, which pack well
     lang, word = key // n_words, words.dictionary.take(pa.array(key % n_words))
     where = np.flatnonzero(fresh)
-    text = np.insert(ids + 1, where, 0)
+    text = np.insert(number[ids], where, 0)
     rows = [{"kind": TEXT, "shard": shard, "a": packed(thinned(text))}]
     for code, name in enumerate(spoken.dictionary.to_pylist()):
         mine = np.flatnonzero(lang == code)
         rows.append({"kind": TOTAL, "lang": name, "n": int(counts[mine].sum())})
+        mine = mine[pc.sort_indices(word.take(pa.array(mine))).to_numpy()]
         taken = word.take(pa.array(mine))
         raw, offsets = text_bytes(taken)
         bucket = (SpanHashes(raw).of(offsets[:-1], offsets[1:]) % np.uint64(n_buckets)).astype(np.int64)
@@ -116,8 +119,8 @@ def _shard(held: list[tuple], shard: int, n_buckets: int) -> pa.RecordBatch:
         cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
         for one in np.split(order, cuts[1:]):
             joined = "\n".join(taken.take(pa.array(one)).to_pylist()).encode()
-            rows.append({"kind": RUN, "shard": shard, "bucket": int(bucket[one[0]]), "lang": name, "a": joined,
-                         "b": packed(counts[mine[one]]), "c": packed(mine[one] + 1)})
+            rows.append({"kind": RUN, "shard": shard, "bucket": int(bucket[one[0]]), "lang": name, "a": packed_text(joined),
+                         "b": packed(counts[mine[one]]), "c": packed(number[mine[one]])})
     return _rows(rows)
 
 
@@ -134,7 +137,7 @@ def _sum_words(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
         frequent, out = 0, []
         for lang, runs in groupby(sorted(rows, key=lambda r: r["lang"]), key=lambda r: r["lang"]):
             runs = list(runs)
-            words = pa.chunked_array([pa.array(r["a"].decode().split("\n"), pa.large_string()) for r in runs]).combine_chunks().dictionary_encode()
+            words = pa.chunked_array([pa.array(unpacked_text(r["a"]).decode().split("\n"), pa.large_string()) for r in runs]).combine_chunks().dictionary_encode()
             ids, counts = words.indices.to_numpy().astype(np.int64), np.concatenate([unpacked(r["b"]) for r in runs])
             total = np.zeros(len(words.dictionary), np.int64)
             np.add.at(total, ids, counts)
@@ -175,6 +178,12 @@ def _sum_phrases(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.R
         yield _rows(out)
 
 
+def _places(among: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Where each value stands among others."""
+    order = np.argsort(among)
+    return order[np.searchsorted(among, values, sorter=order)]
+
+
 def _extend(batches: Iterator[pa.RecordBatch], length: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
     """From a shard's text and its frequent phrases of ``length`` words to runs of phrases one word longer.
 
@@ -189,14 +198,16 @@ def _extend(batches: Iterator[pa.RecordBatch], length: int, n_buckets: int) -> I
         order = np.argsort(gids)
         first, gids = first[order], gids[order]
         if length == 1:
+            order = np.argsort(first)  # the words keep the order of their numbers in the shard, common ones first
+            first, gids = first[order], gids[order]
             vocabulary, renamed = gids, np.zeros(int(text.max(initial=0)) + 1, np.int64)
             renamed[first] = np.arange(1, len(gids) + 1)
             text, phrases = thinned(renamed[text]), np.arange(1, len(gids) + 1)[:, None]
         else:
             vocabulary, before = unpacked(rows[0]["b"]), unpacked(rows[0]["c"])
             lines = unpacked(rows[0]["d"]).reshape(len(before), length - 1)
-            rest = lines[np.searchsorted(before, np.concatenate([unpacked(r["b"]) for r in lists])[order])]
-            phrases = np.concatenate([np.searchsorted(vocabulary, first)[:, None] + 1, rest], axis=1)
+            rest = lines[_places(before, np.concatenate([unpacked(r["b"]) for r in lists])[order])]
+            phrases = np.concatenate([_places(vocabulary, first)[:, None] + 1, rest], axis=1)
         word, line, counts, text = extensions(text, phrases)
         heads, tails = vocabulary[word - 1], gids[line]
         out = [{"kind": TEXT, "shard": shard, "a": packed(text), "b": packed(vocabulary), "c": packed(gids), "d": packed(phrases.ravel())}]
