@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import names, times
 from tidemark.operators import aggregates
 from tidemark.session import cut_lineage, shared_dir
+from tidemark.sinks import state
+from tidemark.sources import feeds
 
 AS_OF = "2024-01-31T00:00:00.000Z"
 AS_OF_MS = 1706659200000
@@ -131,6 +133,22 @@ class Tables:
             piece.coalesce(1).write.mode("append").parquet(path)
         return path
 
+    def site_feeds(self, sites: int = 2, pieces: int = 4) -> str:
+        """The raw notifications as numbered files of consecutive ids, the controllers dealt to sites."""
+        path = shared_dir(self.spark, "feeds")
+        raw = cut_lineage(self.raw_notifications())
+        top = raw.agg(F.max("seq")).first()[0] or 0
+        step = -(-top // pieces) or 1
+        number, site = F.floor((F.col("seq") - 1) / step).cast("int"), F.pmod(F.hash("plc_name"), F.lit(sites)).cast("int")
+        dealt = raw.withColumns({"site": site, "number": number}).repartitionById(sites * pieces, F.col("site") * pieces + F.col("number"))
+        dealt.write.partitionBy("site", "number").parquet(f"{path}/_written")
+        files = state._file_system(self.spark, path)
+        for found in files.globStatus(state._path(self.spark, f"{path}/_written/site=*/number=*/part-*")):
+            site, number = (found.getPath().toString().split(f"{name}=")[1].split("/")[0] for name in ("site", "number"))
+            files.mkdirs(state._path(self.spark, f"{path}/site{site}"))
+            files.rename(found.getPath(), state._path(self.spark, f"{path}/site{site}/{feeds.file_name(int(number))}"))
+        return path
+
     def disordered_files(self) -> str:
         """The raw notifications as four files by time, of which the second and the third have changed places."""
         path = shared_dir(self.spark, "disordered")

@@ -19,7 +19,7 @@ from tidemark.plans import retention as retention_plan
 from tidemark.session import configure, cut_lineage, shared_dir
 from tidemark.sinks import exports as writers
 from tidemark.sinks import state
-from tidemark.sources import inputs
+from tidemark.sources import feeds, inputs
 from tidemark.streaming import figures, jobs, processors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -655,8 +655,15 @@ def _paths(t, name):
 @query
 def stream_ingest(t):
     path, checkpoint = _paths(t, "ingested")
-    raw = inputs.notification_stream(t.spark, t.notification_files(), files_per_trigger=1)
-    _run(t, lambda: jobs.start_ingest(raw, t.tags(), t.plcs(), path, checkpoint, DEFAULT_DEADBAND, once=True))
+    raw = feeds.notification_feed(t.spark, t.site_feeds(), files_per_trigger=1)
+
+    def start():
+        stream = jobs.start_ingest(raw, t.tags(), t.plcs(), path, checkpoint, DEFAULT_DEADBAND, seconds=0.0)
+        stream.processAllAvailable()
+        stream.stop()
+        return stream
+
+    _run(t, start)
     return t.spark.read.parquet(path).drop("dt")
 
 
