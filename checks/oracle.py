@@ -492,6 +492,7 @@ _TEXTS: dict[str, str] = {
         GROUP BY 1 HAVING ts_utc // {W} * {W} + {W} <= (SELECT max(ts_utc) FROM live)""",
     "change_stream": _changed("(SELECT * EXCLUDE (plc_name) FROM live)"),
     "stream_health": "SELECT plc_name, count(*) AS samples, max(ts_received_utc) AS last_sample_ms FROM live GROUP BY 1",
+    "compact_stored": "SELECT * FROM readings",
     "stream_silent_plcs": f"""SELECT * FROM (WITH fed AS (SELECT * FROM live WHERE ts_utc < {DAY_0 + 20 * DAY} OR NOT starts_with(plc_name, 'I'))
       SELECT plc_name, count(*) AS samples, max(ts_utc) + {DAY} <= (SELECT max(ts_utc) FROM fed) - 3600000 AS silent FROM fed GROUP BY 1)""",
     "stream_window_report": f"""SELECT * FROM (WITH filed AS (

@@ -630,6 +630,16 @@ def queue_last_n(t):
     return sampling.keep_last(t.readings(), QUEUE_MS, QUEUE_SIZE)
 
 
+@query
+def compact_stored(t):
+    """The readings after the many files that they were stored in have been packed."""
+    path = shared_dir(t.spark, "packed")
+    pieces = t.readings().withColumn("dt", times.utc_date(F.col("ts_utc"))).repartition(8, "id")
+    pieces.write.partitionBy("dt").parquet(path)
+    retention_plan.compact_dataset(t.spark, path, AS_OF_MS)
+    return inputs.readings(t.spark, path).drop("dt")
+
+
 # Streams
 
 def _stream(t):

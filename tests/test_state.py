@@ -109,3 +109,52 @@ def test_prune_drops_whole_dates_and_unfinished_stages(spark, folder):
     assert retention.prune_dataset(spark, path, 48 * 3_600_000) == 47
     assert [r[0] for r in rows(inputs.readings(spark, path), "id")] == list(range(48, 60))
     assert [f.rpartition("/")[2] for f in sorted(glob.glob(f"{path}/dt=*"))] == ["dt=1970-01-03"] and not glob.glob(f"{path}-prune")
+
+
+def _many_files(spark, path, ids, files):
+    data = [(i, i % 3, i * 3_600_000, None, float(i), None, 0) for i in ids]
+    frame = spark.createDataFrame(data, schemas.READINGS).withColumn("dt", F.to_date(F.timestamp_millis("ts_utc")))
+    frame.repartition(files, "id").write.partitionBy("dt").mode("append").parquet(path)
+
+
+def test_small_files_of_closed_dates_become_few(spark, folder):
+    import glob
+
+    from tidemark.plans import retention
+    from tidemark.sources import inputs
+
+    path = folder("readings")
+    assert retention.compact_dataset(spark, path, 10**12) == (0, 0)
+    _many_files(spark, path, range(96), 60)  # four dates
+    count = lambda day: len(glob.glob(f"{path}/dt=1970-01-0{day}/*.parquet"))
+    open_date = count(4)
+    assert min(count(day) for day in (1, 2, 3)) > 10
+    before, after = retention.compact_dataset(spark, path, 72 * 3_600_000)
+    assert before > 30 and after <= 6 and sum(count(day) for day in (1, 2, 3)) == after and count(4) == open_date
+    stored = inputs.readings(spark, path)
+    assert rows(stored, "id", "tag_id", "value") == [(i, i % 3, float(i)) for i in range(96)]
+    first = spark.read.parquet(sorted(glob.glob(f"{path}/dt=1970-01-01/*.parquet"))[0])
+    found = [(r["tag_id"], r["ts_utc"]) for r in first.collect()]
+    assert found == sorted(found)
+    assert retention.compact_dataset(spark, path, 72 * 3_600_000) == (0, 0)  # nothing left to pack
+
+
+def test_a_compaction_goes_on_where_it_stopped(spark, folder, monkeypatch):
+    """Stopped after half of the moves and before the removals, while more rows of an old date come in."""
+    from tidemark.plans import retention
+    from tidemark.sources import inputs
+
+    path = folder("readings")
+    _many_files(spark, path, range(96), 40)
+    drop = state.drop_files
+    monkeypatch.setattr(state, "drop_files", lambda *_: (_ for _ in ()).throw(OSError("stopped")))
+    try:
+        retention.compact_dataset(spark, path, 10**12)
+        raise AssertionError("it did not stop")
+    except OSError:
+        pass
+    _many_files(spark, path, [200], 1)
+    monkeypatch.setattr(state, "drop_files", drop)
+    assert retention.prune_dataset(spark, path, 0) == 0  # any job on the dataset carries on first
+    assert [r[0] for r in rows(inputs.readings(spark, path), "id")] == [*range(96), 200]
+    assert not state.exists(spark, f"{path}-prune")

@@ -21,8 +21,19 @@ def retained(readings: DataFrame, cutoff_ms: int, watermark: int | None = None)
 
 
 def without_pruned(readings: DataFrame, pruned_ids: DataFrame) -> DataFrame:
-    """The complement when the pruned ids are a table of their own."""
-    return readings.join(pruned_ids.select("id"), "id", "left_anti")
+    """The complement when the pruned ids are a table of their own.
+
+    The ids travel as words of 64 neighbouring ids, one bit each: what is pruned are mostly runs of ids, so the words take a
+    fraction of the ids' room and are broadcast within the usual bound, which leaves the history where it is. Beyond the bound
+    both sides are shuffled by word and salt. A reading without an id is never pruned.
+    """
+    block, bit = F.shiftright("id", 6), (F.col("id").bitwiseAND(F.lit(63))).cast("int")
+    words = pruned_ids.select("id").filter("id IS NOT NULL").groupBy(block.alias("_block")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(id & 63 AS INT))")).alias("_word")
+    )
+    joined = lookup_join(readings.withColumn("_block", block), words, ["_block"], "left", salt_on="id")
+    listed = F.col("_word").isNotNull() & (F.getbit(F.col("_word"), bit) == 1)
+    return joined.filter(~F.coalesce(listed, F.lit(False))).select(*readings.columns)
 
 
 def retained_safely(readings: DataFrame, cutoff_ms: int, partitions: DataFrame) -> DataFrame:

@@ -182,6 +182,10 @@ class Historian:
             as_of_ms, days, upload_enabled,
         )
 
+    def run_compaction(self, before_ms: int, **options: object) -> tuple[int, int]:
+        """Pack the small files that ingest left for dates before ``before_ms``; how many there were, and became."""
+        return retention.compact_dataset(self.spark, f"{self.root}/readings", before_ms, **options)
+
     # Views
 
     def latest(self, n: int = 20) -> DataFrame:

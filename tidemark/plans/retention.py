@@ -1,67 +1,67 @@
-"""Pruning a stored reading dataset in place, one date at a time."""
+"""Pruning a stored reading dataset in place, file by file, and packing its small files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections import defaultdict
+
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import times
 from tidemark.operators import retention
-from tidemark.session import cut_lineage
-from tidemark.sinks import exports, state
+from tidemark.sinks import rewrite, state
 from tidemark.sources import inputs
 
+FILE_BYTES = 128 * 1024 * 1024
+
 
 def prune_dataset(spark: SparkSession, path: str, cutoff_ms: int, watermark: int | None = None) -> int:
     """Remove prunable readings from the dataset at ``path``; returns how many were removed.
 
-    Ingest may go on meanwhile, also for old dates: only files that this run has read are replaced. What
-    remains of the dates that lose rows is staged beside the dataset, then a journal of the files to remove
-    is written; from there on the run is bound to happen, and ``finish_prune`` can be repeated until it has.
-    Between its append and its removals a reader can meet a kept row twice.
+    Ingest may go on meanwhile, also for old dates: only files that hold prunable rows are replaced, by what remains of
+    them, and those without any other row just go. See ``sinks.rewrite`` for a run that stops.
     """
     if not state.exists(spark, path):
         return 0
     finish_prune(spark, path)
-    last_day = times.ms_to_date(cutoff_ms)
-    rows = inputs.readings(spark, path).filter(F.col("dt") <= F.lit(last_day))
     prunable = retention.is_prunable(cutoff_ms, watermark)
-    per_date = (
-        rows.groupBy("dt")
-        .agg(F.count_if(prunable).alias("pruned"), F.count_if(~prunable).alias("kept"))
-        .filter(F.col("pruned") > 0).collect()  # one row per date
-    )
-    if per_date:
-        touched = rows.filter(F.col("dt").isin([row["dt"] for row in per_date]))
-        files = cut_lineage(touched.select("dt", F.input_file_name().alias("file")).distinct())
-        exports.write_readings(_of_files(touched, files).filter(~prunable).drop("dt"), f"{path}-prune/kept", "overwrite")
-        files.write.parquet(f"{path}-prune/journal")
-        finish_prune(spark, path)
-    return sum(row["pruned"] for row in per_date)
+    rows = inputs.readings(spark, path).filter(F.col("dt") <= F.lit(times.ms_to_date(cutoff_ms)))
+    found = rewrite.input_files(rows, prunable).collect()  # a row per file that loses rows
+    if found:
+        mixed = [row["file"] for row in found if row["others"]]
+        kept = rewrite.read_files(spark, path, mixed).filter(~prunable) if mixed else None
+        rewrite.replace(spark, path, [row["file"] for row in found], kept)
+    return sum(row["matching"] for row in found)
 
 
-def _of_files(rows: DataFrame, files: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows that stand in the listed files, or with ``left_anti`` those that do not."""
-    return rows.withColumn("file", F.input_file_name()).join(files.select("file"), "file", how).drop("file")
+def finish_prune(spark: SparkSession, path: str) -> None:
+    """Carry on with a prune or a compaction that stopped."""
+    rewrite.finish(spark, path)
 
 
-def finish_prune(spark: SparkSession, path: str) -> None:
-    """Carry out the prune that a journal beside the dataset describes; without a complete one, clear what was staged.
+def compact_dataset(
+    spark: SparkSession, path: str, before_ms: int, file_bytes: int = FILE_BYTES, least: int = 4
+) -> tuple[int, int]:
+    """Pack the small files of dates that end by ``before_ms`` into sorted ones of about ``file_bytes``: files before and after.
 
-    Kept rows that the dataset already holds in other files are not appended again, so a repetition changes nothing.
+    Files of half that size or more stay as they are. A date with fewer than ``least`` small files, or whose small files would
+    not become fewer, is left alone. Rows that arrive meanwhile, also for these dates, are not touched.
     """
-    if not state.exists(spark, f"{path}-prune/journal/_SUCCESS"):
-        state.drop_folders(spark, [f"{path}-prune"])
-        return
-    files = spark.read.schema("dt date, file string").parquet(f"{path}-prune/journal")
-    days = [row[0] for row in files.select("dt").distinct().collect()]  # the dates of one prune
-    stored = _of_files(inputs.readings(spark, path).filter(F.col("dt").isin(days)), files, "left_anti").select("id")
-    kept = inputs.readings(spark, f"{path}-prune/kept") if state.exists(spark, f"{path}-prune/kept") else None
-    if kept is not None and not kept.isEmpty():
-        exports.append_arranged(kept.join(stored, "id", "left_anti"), path)
-    state.drop_files(spark, [row[0] for row in files.select("file").collect()])  # as many as the driver lists for the scan
-    state.drop_empty_folders(spark, [f"{path}/dt={day.isoformat()}" for day in days])
-    state.drop_folders(spark, [f"{path}-prune"])
+    if not state.exists(spark, path):
+        return 0, 0
+    finish_prune(spark, path)
+    small: dict[str, list[rewrite.StoredFile]] = defaultdict(list)
+    for file in rewrite.stored_files(spark, path):
+        if file.day < times.ms_to_date(before_ms).isoformat() and file.size < file_bytes / 2:
+            small[file.day].append(file)
+    bins = {day: -(-sum(f.size for f in files) // file_bytes) for day, files in small.items()}
+    chosen = {day: files for day, files in small.items() if len(files) >= max(2, least) and bins[day] < len(files)}
+    uris = [f.uri for files in chosen.values() for f in files]
+    if not uris:
+        return 0, 0
+    before = len(rewrite.stored_files(spark, path))
+    rewrite.replace(spark, path, uris, rewrite.read_files(spark, path, uris), sum(bins[day] for day in chosen))
+    return len(uris), len(uris) + len(rewrite.stored_files(spark, path)) - before
 
 
 def sweep_dataset(
