@@ -151,3 +151,43 @@ def test_snapshot_counts_the_copy(spark, store, folder):
     assert rows(summary) == [("plcs", 3, None), ("readings", 5, 5), ("settings", 0, None), ("tags", 2, None)]
     assert rows(after) == [("backup_uploaded_reading_id", "5")]
     assert rows(plans.snapshot_watermark(tables, folder("snapshot"), delivered=False)[1]) == []
+
+
+def test_slices_share_or_split_tasks():
+    spans = [("a", 10, 0, 99), ("b", 10, 5, 50), ("c", 95, 0, 94), ("d", 1, 7, 7), ("e", 39, 0, 10**12)]
+    dealt, tasks = exports.slices(spans, 20)
+    assert dealt == [("a", 0, 0, 100, 1), ("b", 0, 5, 46, 1), ("c", 1, 0, 19, 5), ("d", 6, 7, 1, 1), ("e", 7, 0, 5 * 10**11 + 1, 2)] and tasks == 9
+    assert exports.slices([], 20) == ([], 0)
+
+
+def test_a_job_scans_the_readings_twice(spark, folder):
+    """Every scan calls the counter once per row: once for the statistics, once for the files."""
+    tags = spark.createDataFrame([(t, 1 + t % 2, f"n{t}", f"t{t}", "Double", None, None, "", "", 1, 1) for t in range(6)], schemas.TAGS)
+    plcs = spark.createDataFrame([(1, "P1", "opc.tcp://p", "None"), (2, "P2", "opc.tcp://q", "None")], schemas.PLCS)
+    data = [(i, 0 if i < 300 else i % 6, i * 60_000, None, float(i), None, 0) for i in range(1, 601)]  # a hot tag
+    path = folder("readings")
+    exports.write_readings(spark.createDataFrame(data, schemas.READINGS), path)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def counted(_):
+        seen.add(1)
+        return True
+
+    readings = inputs.readings(spark, path).filter(counted(F.col("id")))
+    csv, windows = folder("csv"), folder("windows")
+    plans.window_csv(readings, tags, plcs, csv, "S", 0, 10**9).collect()
+    assert seen.value == 2 * 600
+    seen.value = 0
+    settings = spark.createDataFrame([("parquet_export_cursor", "60000")], schemas.SETTINGS)
+    none = spark.createDataFrame([], schemas.UPLOAD_OUTCOMES)
+    run = plans.partition_cycle(
+        inputs.readings(spark, path).filter("id > 0").filter(counted(F.col("id"))), tags, plcs, spark.createDataFrame([], schemas.PARTITIONS),
+        settings, none, windows, "S", 12 * HOUR, hours=2,
+    )
+    found = {r["partition_start"]: (r["row_count"], r["max_reading_id"]) for r in run.exported.collect()}
+    assert found == {h * HOUR: (min(600, 60 * h + 119) - max(1, 60 * h) + 1, min(600, 60 * h + 119)) for h in range(0, 12, 2)}
+    assert seen.value <= 2 * 600 + 1200  # the oldest reading is asked for where nothing lies before the cursor
+    for start in found:
+        stamps = [r[0] for f in sorted(glob.glob(f"{windows}/partition_start={start}/*.parquet")) for r in spark.read.parquet(f).select("ts_utc").collect()]
+        assert stamps == sorted(stamps) and len(stamps) == found[start][0]

@@ -21,8 +21,8 @@ def reading_bounds(readings: DataFrame) -> DataFrame:
     )
 
 
-def csv_stats(readings: DataFrame, tags: DataFrame, plcs: DataFrame) -> DataFrame:
-    """Per controller: rows, highest id, first and last time in id order.
+def csv_spans(readings: DataFrame, tags: DataFrame, plcs: DataFrame) -> DataFrame:
+    """Per controller: rows, lowest and highest id, first and last time in id order.
 
     Readings are reduced to one row per tag before they meet the tags, so the history is not shuffled.
     """
@@ -31,21 +31,33 @@ def csv_stats(readings: DataFrame, tags: DataFrame, plcs: DataFrame) -> DataFram
         F.min_by("ts_utc", "id").alias("_first"), F.max_by("ts_utc", "id").alias("_last"),
     )
     return lookup_join(per_tag, tag_lookup(tags, plcs), ["tag_id"]).groupBy("plc_id", "plc_name").agg(
-        F.sum("_n").alias("row_count"), F.max("_high").alias("max_reading_id"),
+        F.sum("_n").alias("row_count"), F.min("_low").alias("min_reading_id"), F.max("_high").alias("max_reading_id"),
         times.iso_utc(F.min_by("_first", "_low")).alias("period_start"),
         times.iso_utc(F.max_by("_last", "_high")).alias("period_end"),
     )
 
 
-def window_stats(readings: DataFrame, tags: DataFrame, plcs: DataFrame, size_ms: int) -> DataFrame:
-    """Per time window: rows and highest id of what an export of that window holds.
+def csv_stats(readings: DataFrame, tags: DataFrame, plcs: DataFrame) -> DataFrame:
+    """As ``csv_spans``, without the lowest id."""
+    return csv_spans(readings, tags, plcs).drop("min_reading_id")
+
+
+def window_spans(readings: DataFrame, tags: DataFrame, plcs: DataFrame, size_ms: int) -> DataFrame:
+    """Per time window: rows, lowest and highest id of what an export of that window holds.
 
     Readings are reduced to one row per tag and window before they meet the tags.
     """
     window = times.window_start(F.col("ts_utc"), size_ms).alias("partition_start")
-    per_tag = readings.groupBy("tag_id", window).agg(F.count("*").alias("_n"), F.max("id").alias("_high"))
+    per_tag = readings.groupBy("tag_id", window).agg(F.count("*").alias("_n"), F.min("id").alias("_low"), F.max("id").alias("_high"))
     known = lookup_join(per_tag, tag_lookup(tags, plcs).select("tag_id"), ["tag_id"], salt_on="partition_start")
-    return known.groupBy("partition_start").agg(F.sum("_n").alias("row_count"), F.max("_high").alias("max_reading_id"))
+    return known.groupBy("partition_start").agg(
+        F.sum("_n").alias("row_count"), F.min("_low").alias("min_reading_id"), F.max("_high").alias("max_reading_id")
+    )
+
+
+def window_stats(readings: DataFrame, tags: DataFrame, plcs: DataFrame, size_ms: int) -> DataFrame:
+    """As ``window_spans``, without the lowest id."""
+    return window_spans(readings, tags, plcs, size_ms).drop("min_reading_id")
 
 
 def run_totals(stats: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
 """The export jobs: closed Parquet windows, rolling CSV, CSV of a time window, full snapshot.
 
+A job scans the readings twice: three columns of them for the rows and ids per file, which give the manifest and the
+bounds of the writing tasks, then everything for the files. Both scans see the same files of the dataset.
+
 Uploading is done by whatever moves files. Its result is a table (file_name, outcome, at) that drives
 the manifests; a job takes that table, or a function that is given the pending files and returns it.
 """
@@ -70,10 +73,10 @@ def partition_cycle(
     span = elapsed_range(readings, settings, as_of_ms, size_ms)
     stats = None
     if span is not None:
-        rows = scans.range_readings(readings, tags, plcs, *span)
-        exports.write_windows(rows, path, size_ms)
         fresh = scans.in_range(readings, *span, closed=False)
-        stats = cut_lineage(aggregates.window_stats(fresh, tags, plcs, size_ms))
+        spans = cut_lineage(aggregates.window_spans(fresh, tags, plcs, size_ms))
+        exports.write_windows(scans.range_readings(readings, tags, plcs, *span), path, size_ms, spans)
+        stats = spans.drop("min_reading_id")
         records = manifests.partition_records(stats, site, max(1, hours))
         manifest = cut_lineage(manifests.record_partitions(manifest, records, as_of))
         settings = manifests.put_setting(settings, aggregates.EXPORT_CURSOR_KEY, span[1])
@@ -99,9 +102,9 @@ def rolling_csv(
     ``saved`` is handed the recorded state before anything is uploaded.
     """
     logged = joins.plcs_with_tags(plcs, tags)
-    exports.write_rolling_csv(scans.export_rows(readings, tags, logged), path)
-    stats = cut_lineage(aggregates.csv_stats(readings, tags, logged))
-    recorded = cut_lineage(manifests.record_exports(state, manifests.export_records(stats, site, path), as_of))
+    spans = cut_lineage(aggregates.csv_spans(readings, tags, logged))
+    exports.write_rolling_csv(scans.export_rows(readings, tags, logged), path, spans)
+    recorded = cut_lineage(manifests.record_exports(state, manifests.export_records(spans, site, path), as_of))
     if saved is not None:
         saved(recorded)
     sent = _outcomes_of(outcomes, manifests.pending_uploads(recorded))
@@ -119,11 +122,10 @@ def window_csv(
     if end_ms <= start_ms:
         raise ValueError(f"the window must end after {start_ms}, not at {end_ms}")
     logged = joins.plcs_with_tags(plcs, tags)
-    rows = scans.export_rows_in_range(readings, tags, logged, start_ms, end_ms)
-    exports.write_window_csv(rows, path)
-    stats = aggregates.csv_stats(scans.in_range(readings, start_ms, end_ms, closed=True), tags, logged)
+    spans = cut_lineage(aggregates.csv_spans(scans.in_range(readings, start_ms, end_ms, closed=True), tags, logged))
+    exports.write_window_csv(scans.export_rows_in_range(readings, tags, logged, start_ms, end_ms), path, spans)
     file_name = names.window_csv_file(F.lit(site), F.col("plc_name"), F.lit(start_ms), F.lit(end_ms))
-    return stats.withColumn("file_name", file_name)
+    return spans.drop("min_reading_id").withColumn("file_name", file_name)
 
 
 def snapshot(tables: dict[str, DataFrame], path: str) -> DataFrame:
