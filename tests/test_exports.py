@@ -191,3 +191,44 @@ def test_a_job_scans_the_readings_twice(spark, folder):
     for start in found:
         stamps = [r[0] for f in sorted(glob.glob(f"{windows}/partition_start={start}/*.parquet")) for r in spark.read.parquet(f).select("ts_utc").collect()]
         assert stamps == sorted(stamps) and len(stamps) == found[start][0]
+
+
+def _scanned(df):
+    """Rows that left the files, by the metrics of the plan that ran."""
+    df.collect()
+    todo, counts = [df._jdf.queryExecution().executedPlan()], {}
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        elif "Scan" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            metric = node.metrics().apply("numOutputRows")
+            counts[metric.id()] = metric.value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return sum(counts.values())
+
+
+def test_scans_leave_row_groups_unread(spark, folder):
+    plcs = spark.createDataFrame([(p, f"P{p}", "opc.tcp://p", "None") for p in range(10)], schemas.PLCS)
+    tags = spark.createDataFrame([(t, t // 10, f"n{t}", f"t{t}", "Double", None, None, "", "", 1, 1) for t in range(100)], schemas.TAGS)
+    data = spark.range(20_000).selectExpr(
+        "id", "cast(id % 100 AS int) AS tag_id", "id * 30000 AS ts_utc", "cast(NULL AS long) AS ts_received_utc",
+        "cast(id AS double) AS value", "cast(NULL AS string) AS value_text", "0 AS quality",
+    )
+    path = folder("readings")
+    by_tag = data.withColumn("dt", F.to_date(F.timestamp_millis("ts_utc"))).repartitionByRange(10, "tag_id").sortWithinPartitions("tag_id", "ts_utc")
+    by_tag.write.partitionBy("dt").parquet(path)
+    stored = inputs.readings(spark, path)
+    one = scans.export_rows(stored, tags, plcs, plc_id=3)
+    assert one.count() == 2000 and _scanned(scans.export_rows(stored, tags, plcs, plc_id=3)) < 20_000 / 4  # tags of two files a date
+    assert scans.export_rows(stored, tags, plcs, plc_id=99).count() == 0
+    newest = scans.latest_readings(stored, tags.filter("tag_id <> 99"), 5)
+    assert [r["id"] for r in newest.collect()] == [19_998, 19_997, 19_996, 19_995, 19_994]
+    assert _scanned(scans.latest_readings(stored, tags, 5)) < 20_000 / 3
+    late = data.filter("id < 2").withColumn("id", F.col("id") + 50_000).withColumn("dt", F.lit("1970-01-01").cast("date"))
+    late.write.partitionBy("dt").mode("append").parquet(path)  # the highest ids, on the oldest date
+    assert [r["id"] for r in scans.latest_readings(inputs.readings(spark, path), tags, 3).collect()] == [50_001, 50_000, 19_999]
+    assert scans.latest_readings(inputs.readings(spark, path), tags, 30_000).count() == 20_002

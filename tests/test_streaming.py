@@ -275,3 +275,20 @@ def test_keep_last_and_sampling(spark):
     assert plan.count("WindowGroupLimit") == 2  # once before the shuffle, once after
     latest = sampling.sample_latest(readings, 100)
     assert rows(latest.filter(F.col("tag_id") == 1), "interval_start", "id") == [(0, 8), (100, 18), (200, 28), (300, 30)]
+
+
+def test_sampling_keeps_no_rows_as_state(spark):
+    text = [(i, 1 + i % 2, i * 10, None, None if i % 3 else float(i), f"t{i}" if i % 3 else None, 0) for i in range(1, 31)]
+    readings = spark.createDataFrame(text, schemas.READINGS)
+    latest = sampling.sample_latest(readings, 100)
+    plan = latest._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    assert rows(latest.filter("tag_id = 1"), "id", "value", "value_text") == [(8, None, "t8"), (18, 18.0, None), (28, None, "t28"), (30, 30.0, None)]
+
+
+def test_a_large_queue_of_a_hot_interval_is_cut(spark):
+    readings = spark.range(200_000).selectExpr("id", "cast(id div 1000000 AS int) AS tag_id", "id AS ts_utc", "id AS ts_received_utc", "0D AS value", "'' AS value_text", "0 AS quality")
+    kept = sampling.keep_last(readings, 10**9, 5000)
+    assert kept.agg(F.count("*"), F.min("id")).first() == (5000, 195_000)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(tag_id") >= 2 and "_salt" in plan

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import times, values
 from tidemark.operators.joins import lookup_join, named_readings
 
+LISTED_TAGS = 1000
+
 
 def in_range(readings: DataFrame, start_ms: int, end_ms: int, closed: bool) -> DataFrame:
     """Readings between two instants; the end belongs to a closed range only.
@@ -27,13 +29,27 @@ def _of_plc(tags: DataFrame, plc_id: int | None) -> DataFrame:
     return tags if plc_id is None else tags.filter(F.col("plc_id") == plc_id)
 
 
+def of_tags(readings: DataFrame, tags: DataFrame) -> DataFrame:
+    """The readings of some tags, by a filter that reaches the files.
+
+    Stored files are sorted by tag, and tags of a controller are numbered together, so statistics leave most row groups
+    unread. A few tags are listed, of many the range is given and the join after this decides.
+    """
+    ids = [row[0] for row in tags.select("tag_id").limit(LISTED_TAGS + 1).collect()]
+    if len(ids) <= LISTED_TAGS:
+        return readings.filter(F.col("tag_id").isin(ids)) if ids else readings.filter(F.lit(False))
+    low, high = tags.agg(F.min("tag_id"), F.max("tag_id")).first()
+    return readings.filter(F.col("tag_id").between(low, high))
+
+
 def export_rows(readings: DataFrame, tags: DataFrame, plcs: DataFrame, plc_id: int | None = None) -> DataFrame:
     """Every reading of one controller (or of all), with the quality as a name.
 
     Restricting the tags before the join keeps the lookup small and leaves the reading scan as the
     only large input.
     """
-    rows = named_readings(readings, _of_plc(tags, plc_id), plcs)
+    tags = _of_plc(tags, plc_id)
+    rows = named_readings(readings if plc_id is None else of_tags(readings, tags), tags, plcs)
     return rows.select(
         "id", "ts_utc", "plc_name", "tag_name", "value", "value_text",
         values.quality_name(F.col("quality")).alias("quality"),
@@ -55,15 +71,33 @@ def range_readings(readings: DataFrame, tags: DataFrame, plcs: DataFrame, start_
 
 
 def latest_readings(readings: DataFrame, tags: DataFrame, n: int = 20) -> DataFrame:
-    """The newest ``n`` readings by id with their tag names; a per-task top-n, never a full sort."""
+    """The newest ``n`` readings by id with their tag names; a per-task top-n, never a full sort.
+
+    Of a stored dataset the newest dates are asked first: once they have ``n`` readings of known tags, the lowest of those ids
+    is a bound that statistics apply to the files of all other dates, of which few hold an id as high.
+    """
+    known = tags.select("tag_id", "tag_name")
+    if "dt" in readings.columns:
+        readings = readings.filter(F.col("id") >= _id_floor(readings, known.select("tag_id"), n))
     return (
-        lookup_join(readings.select("id", "tag_id", "ts_utc", "value", "quality"),
-                    tags.select("tag_id", "tag_name"), ["tag_id"], salt_on="id")
+        lookup_join(readings.select("id", "tag_id", "ts_utc", "value", "quality"), known, ["tag_id"], salt_on="id")
         .orderBy(F.desc("id")).limit(n)
         .select("id", "tag_name", times.seconds_text(F.col("ts_utc")).alias("ts"), "value", "quality")
     )
 
 
+def _id_floor(readings: DataFrame, known: DataFrame, n: int) -> int:
+    """An id that at least ``n`` readings of known tags reach, as low as the newest dates that hold so many make it; 0 if there are fewer."""
+    days = [row[0] for row in readings.select("dt").distinct().orderBy(F.desc("dt")).collect()]  # a row per stored date
+    found: list[int] = []
+    for day in days:
+        rows = lookup_join(readings.filter(F.col("dt") == F.lit(day)).select("id", "tag_id"), known, ["tag_id"], "left_semi", salt_on="id")
+        found += [row[0] for row in rows.orderBy(F.desc("id")).limit(n).select("id").collect()]
+        if len(found) >= n > 0:
+            return sorted(found, reverse=True)[n - 1]
+    return 0
+
+
 def csv_columns(rows: DataFrame) -> list[Column]:
     """The five text columns of an exported CSV row."""
     return [
