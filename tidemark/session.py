@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # a setting of Spark's
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every operator assumes.
@@ -65,10 +68,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The copy outlives the executors that made it, is compressed, and is read column by column.
     """
     path = shared_dir(df.sparkSession, "table")
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Jobs that write a table remove their shuffle files when they end, and not when the driver collects its garbage.
+
+    What reads the table later needs none of them.
+    """
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def release(df: DataFrame) -> None:
     """Delete the table that ``cut_lineage`` wrote for ``df``, once all that was made from it is written itself."""
     spark = df.sparkSession
