@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -18,7 +19,7 @@ from tidemark.llm import phrase_index
 from tidemark.llm.batches import BATCH_BYTES, SpanHashes, _split, text_bytes
 from tidemark.llm.phrase_index import extensions, packed, packed_text, thinned, unpacked, unpacked_text
 from tidemark.operators.joins import lookup_join
-from tidemark.session import cut_lineage, release
+from tidemark.session import cut_lineage, release, shared_dir, shuffles_removed
 
 for module in (sys.modules[__name__], phrase_index, texts):
     cloudpickle.register_pickle_by_value(module)
@@ -110,7 +111,7 @@ def _shard(held: list[tuple], shard: int, n_buckets: int) -> pa.RecordBatch:
     rows = [{"kind": TEXT, "shard": shard, "a": packed(thinned(text))}]
     for code, name in enumerate(spoken.dictionary.to_pylist()):
         mine = np.flatnonzero(lang == code)
-        rows.append({"kind": TOTAL, "lang": name, "n": int(counts[mine].sum())})
+        rows.append({"kind": TOTAL, "shard": shard, "lang": name, "n": int(counts[mine].sum())})
         mine = mine[pc.sort_indices(word.take(pa.array(mine))).to_numpy()]
         taken = word.take(pa.array(mine))
         raw, offsets = text_bytes(taken)
@@ -187,14 +188,12 @@ def _places(among: np.ndarray, values: np.ndarray) -> np.ndarray:
 def _extend(batches: Iterator[pa.RecordBatch], length: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
     """From a shard's text and its frequent phrases of ``length`` words to runs of phrases one word longer.
 
-    A text row holds word ids (a), the numbers of the words (b), and the frequent phrases of one word less by number (c) and
-    as lines of word ids (d). The text that is passed on holds only what the frequent phrases cover.
+    A row holds a shard's word ids (a), the numbers of the words (b), the frequent phrases of one word less by number (c) and
+    as lines of word ids (d), and the lists of what is frequent now. The text that is passed on holds only what the frequent phrases cover.
     """
-    for shard, rows in _grouped(batches, "shard"):
-        lists = [r for r in rows if r["kind"] == LIST]
-        if not lists or rows[0]["kind"] != TEXT:
-            continue
-        text, (first, gids) = unpacked(rows[0]["a"]), (np.concatenate([unpacked(r[c]) for r in lists]) for c in ("a", "c"))
+    for row in (row for batch in batches for row in batch.to_pylist()):
+        shard, lists = row["shard"], row["lists"]
+        text, (first, gids) = unpacked(row["a"]), (np.concatenate([unpacked(r[c]) for r in lists]) for c in ("a", "c"))
         order = np.argsort(gids)
         first, gids = first[order], gids[order]
         if length == 1:
@@ -204,8 +203,8 @@ def _extend(batches: Iterator[pa.RecordBatch], length: int, n_buckets: int) -> I
             renamed[first] = np.arange(1, len(gids) + 1)
             text, phrases = thinned(renamed[text]), np.arange(1, len(gids) + 1)[:, None]
         else:
-            vocabulary, before = unpacked(rows[0]["b"]), unpacked(rows[0]["c"])
-            lines = unpacked(rows[0]["d"]).reshape(len(before), length - 1)
+            vocabulary, before = unpacked(row["b"]), unpacked(row["c"])
+            lines = unpacked(row["d"]).reshape(len(before), length - 1)
             rest = lines[_places(before, np.concatenate([unpacked(r["b"]) for r in lists])[order])]
             phrases = np.concatenate([_places(vocabulary, first)[:, None] + 1, rest], axis=1)
         word, line, counts, text = extensions(text, phrases)
@@ -219,6 +218,19 @@ def _extend(batches: Iterator[pa.RecordBatch], length: int, n_buckets: int) -> I
         yield _rows(out)
 
 
+def _by_shard(rows: DataFrame, n_buckets: int) -> tuple[DataFrame, str]:
+    """A table that lies in buckets of shards, so that texts stay where they are when lists join them."""
+    name, path = f"phrases_{uuid.uuid4().hex}", shared_dir(rows.sparkSession, "table")
+    with shuffles_removed(rows.sparkSession):
+        rows.write.bucketBy(n_buckets, "shard").option("path", path).saveAsTable(name)
+    return rows.sparkSession.table(name), name
+
+
+def _drop(table: DataFrame, name: str) -> None:
+    release(table)
+    table.sparkSession.sql(f"DROP TABLE {name}")
+
+
 def phrase_counts(
     docs: DataFrame, longest: int = 5, least: int = 100, text_col: str = "text", lang_col: str = "lang",
     shard_words: int = SHARD_WORDS, bucket_bytes: int = BUCKET_BYTES,
@@ -234,7 +246,7 @@ def phrase_counts(
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
-    made = cut_lineage(rows.mapInArrow(lambda b: _tokenise(b, n_buckets, shard_words), FIELDS))
+    made, name = _by_shard(rows.mapInArrow(lambda b: _tokenise(b, n_buckets, shard_words), FIELDS), n_buckets)
     totals = cut_lineage(made.filter(F.col("kind") == TOTAL).groupBy("lang").agg(F.sum("n").alias("n")))
     tables: list[DataFrame] = []
     for length in range(1, longest + 1):
@@ -250,15 +262,14 @@ def phrase_counts(
             named = lookup_join(lookup_join(found.select("gid", "head", "tail", "f"), heads, ["head"], salt_on="gid"), tails, ["tail"], salt_on="gid")
             tables.append(cut_lineage(named.select("gid", "lang", F.concat_ws(" ", "word", "rest").alias("phrase"), "f")))
         if length < longest:
-            lists = summed.filter(F.col("kind") == LIST)
-            both = made.filter(F.col("kind") == TEXT).unionByName(lists)
-            dealt = both.repartition("shard").sortWithinPartitions("shard", "kind")
-            longer = cut_lineage(dealt.mapInArrow(lambda b, n=length: _extend(b, n, n_buckets), FIELDS))
-            release(made)
-            made = longer
+            lists = summed.filter(F.col("kind") == LIST).groupBy("shard").agg(F.collect_list(F.struct("a", "b", "c")).alias("lists"))
+            both = made.filter(F.col("kind") == TEXT).join(lists, "shard")
+            longer = _by_shard(both.mapInArrow(lambda b, n=length: _extend(b, n, n_buckets), FIELDS), n_buckets)
+            _drop(made, name)
+            made, name = longer
         if length > 1:
             release(summed)  # the words are still read from the first sum
-    release(made)
+    _drop(made, name)
     return tables, totals
 
 
