@@ -74,3 +74,28 @@ def test_ties_repeats_and_long_urls(spark):
 def test_entropy(spark):
     got = spark.createDataFrame([("",), ("aaaa",), ("abab",), ("abcd",)], "t string").select(entropy(F.col("t"))).collect()
     assert [round(r[0], 6) for r in got] == [0, 0, 1, 2]
+
+
+def test_a_rule_on_one_host_does_not_decide_the_path_of_others(spark):
+    """A blocked path of one host, among allowed ones of the same length: the same path elsewhere is not blocked for its letters."""
+    rows = [(i, f"http://one.example/{p}/{i % 90 + 10}") for i, p in enumerate(["aa", "bb", "cc", "dd"] * 50)]
+    rows += [(1000 + i, f"http://two.test/{p}/{i % 90 + 10}") for i, p in enumerate(["aa", "bb", "cc", "dd"] * 10)]
+    rules = [("one.example", "/", "allow"), ("one.example", "/aa/", "block")]
+    found = {r.page_id: r for r in run(spark, rows, rules).collect()}
+    assert all(found[i].verdict == ("block" if i % 4 == 0 else "allow") for i in range(200))
+    assert {found[1000 + i].verdict for i in range(40)} == {"allow"}
+
+
+def test_held_out_urls(spark):
+    """Quality on urls that were not learnt from, with a share of wrong labels among those that were."""
+    random.seed(11)
+
+    def make(bad):
+        name = "".join(random.choices("0123456789abc" if bad else "aeiourstlnd", k=random.randint(6, 12)))
+        return f"http://{name}.{random.choice(['net', 'org', 'biz' if bad else 'com'])}/{'x/' * random.randint(0, 5 if bad else 2)}{'?q=1' + '&r=2' * random.randint(0, 4) if bad or random.random() < 0.2 else ''}"
+
+    kinds = [random.random() < 0.4 for _ in range(1500)]
+    labelled = spark.createDataFrame([(make(k), int(k != (random.random() < 0.05))) for k in kinds[:1000]], "url string, label int")
+    found = run(spark, [(i, make(k)) for i, k in enumerate(kinds[1000:])], [], labelled=labelled).collect()
+    right = sum((r.verdict == "block") == kinds[1000 + r.page_id] for r in found)
+    assert right >= 0.9 * 500

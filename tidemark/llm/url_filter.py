@@ -11,6 +11,7 @@ from tidemark.operators.joins import lookup_join
 from tidemark.session import cut_lineage
 
 TRAIN_ROWS = 200_000
+FOLDS = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,14 +43,12 @@ def entropy(text: Column) -> Column:
 
 def lexical(url: Column, host: Column, path: Column, rest: Column) -> list[Column]:
     """Length, depth, digits, marks, parameters and entropy of a url and its parts."""
-    first = F.substring(path, 2, 3)
     return [
         F.log1p(F.length(url).cast("double")), F.length(host).cast("double"), F.length(path).cast("double"),
         _without(path, "/").cast("double"), _without(host, ".").cast("double"), _without(host, "-").cast("double"),
         _rate(_without(url, "0123456789"), url), _rate(_without(host, "0123456789"), host), _rate(_without(url, "-_%~@!$*"), url),
         F.when(rest.startswith("?"), _without(F.split(rest, "#")[0], "&") + 1).otherwise(0).cast("double"), _without(rest, "=").cast("double"),
         rest.contains("#").cast("double"), entropy(host), entropy(path), url.startswith("https").cast("double"),
-        (F.pmod(F.xxhash64(first), F.lit(64))).cast("double"),
     ]
 
 
@@ -73,10 +72,17 @@ def rule_verdicts(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def _suffix_statistics(pages: DataFrame) -> DataFrame:
-    """Per host suffix its pages and the smoothed share of blocked ones among those that are labelled."""
-    counted = pages.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad"), F.count("label").alias("known"))
-    rate = (F.coalesce("bad", F.lit(0.0)) + 1.0) / (F.col("known") + 2.0)
-    return counted.select("suffix", F.log1p(F.col("n").cast("double")).alias("often"), rate.alias("share"))
+    """Per host suffix its pages, and the blocked and labelled ones among them, also by fold."""
+    of = lambda fold, name: F.sum(F.when(F.col("fold") == fold, F.col(name))).alias(f"{name}{fold}")
+    known = pages.withColumns({"bad": F.coalesce("label", F.lit(0.0)), "known": F.col("label").isNotNull().cast("double")})
+    folds = [of(fold, name) for fold in range(FOLDS) for name in ("bad", "known")]
+    return known.groupBy("suffix").agg(F.log1p(F.count(F.lit(1)).cast("double")).alias("often"), F.sum("bad").alias("bad"), F.sum("known").alias("known"), *folds)
+
+
+def _share(fold: Column | None) -> Column:
+    """The smoothed share of blocked pages of a suffix; for a row to learn from, without the rows of its own fold."""
+    own = lambda name: F.lit(0.0) if fold is None else F.coalesce(*[F.when(fold == i, F.col(f"{name}{i}")) for i in range(FOLDS)], F.lit(0.0))
+    return (F.coalesce("bad", F.lit(0.0)) - own("bad") + 1.0) / (F.coalesce("known", F.lit(0.0)) - own("known") + 2.0)
 
 
 def judge_urls(
@@ -86,7 +92,7 @@ def judge_urls(
     """id, host, path, rule, verdict and the trees' chance of blocking (``blocked``) per row of ``pages``.
 
     The longest rule that fits decides. Where none fits, the verdict comes from boosted trees over lexical
-    features and statistics of the host's last two labels. They learn from ``labelled`` (url, label 1 for
+    features and statistics of the host's last two labels (a row to learn from does not count in its own). They learn from ``labelled`` (url, label 1 for
     block), by default from the pages that a rule decides, at most about ``train_rows`` of them, chosen by
     the hash of the url. Without labels of both kinds the trees allow, or block if that is all there is.
 
@@ -99,29 +105,30 @@ def judge_urls(
     found = rule_verdicts(parts.select("seq", "host", "path"), rules)
     judged = parts.join(found, "seq", "left")
     suffix = F.substring_index("host", ".", -2)
+    fold = F.pmod(F.xxhash64("url", F.lit(FOLDS)), F.lit(FOLDS))
     values = F.array(*lexical(F.col("url"), F.col("host"), F.col("path"), F.col("rest")))
-    judged = judged.withColumns({"suffix": suffix, "x": values, "label": (F.col("verdict") == "block").cast("double")}).drop("rest")
+    judged = judged.withColumns({"suffix": suffix, "x": values, "label": (F.col("verdict") == "block").cast("double"), "fold": fold}).drop("rest")
     judged = cut_lineage(judged)
     if labelled is None:
-        sample = judged.filter("label IS NOT NULL").select("url", "suffix", "x", "label")
-        seen = judged.select("suffix", "label")
+        sample = judged.filter("label IS NOT NULL").select("url", "suffix", "x", "label", "fold")
+        seen = judged.select("suffix", "label", "fold")
     else:
         own = labelled.select(F.coalesce(F.col("url"), F.lit("")).alias("url"), F.col("label").cast("double").alias("label"))
         own = own.withColumns({"host": host, "path": path, "rest": rest})
-        sample = cut_lineage(own.select("url", suffix.alias("suffix"), values.alias("x"), "label"))
-        seen = judged.select("suffix", F.lit(None).cast("double").alias("label")).unionByName(sample.select("suffix", "label"))
+        sample = cut_lineage(own.select("url", suffix.alias("suffix"), values.alias("x"), "label", fold.alias("fold")))
+        seen = judged.select("suffix", F.lit(None).cast("double").alias("label"), "fold").unionByName(sample.select("suffix", "label", "fold"))
     statistics = cut_lineage(_suffix_statistics(seen))
-    features = array_to_vector(F.concat("x", F.array("often", "share"))).alias("features")
+    features = lambda own: array_to_vector(F.concat("x", F.array(F.coalesce("often", F.lit(0.0)), _share(own)))).alias("features")
     total, bad = sample.agg(F.count("label"), F.sum("label")).first()
     if not total or not bad or bad == total:
         scored = judged.withColumn("blocked", F.lit(1.0 if total and bad == total else 0.0))
     else:
         bound = int(min(1.0, train_rows / total) * 1_000_000)
         train = sample.filter(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < bound)
-        train = cut_lineage(lookup_join(train, statistics, ["suffix"], salt_on="url").select(features, "label"))
+        train = cut_lineage(lookup_join(train, statistics, ["suffix"], salt_on="url").select(features(F.col("fold")), "label"))
         model = GBTClassifier(labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7).fit(train)
         joined = lookup_join(judged, statistics, ["suffix"], "left", salt_on="seq")
-        scored = model.transform(joined.select("id", "host", "path", "rule", "verdict", features))
+        scored = model.transform(joined.select("id", "host", "path", "rule", "verdict", features(None)))
         scored = scored.withColumn("blocked", vector_to_array("probability")[1])
     verdict = F.coalesce("verdict", F.when(F.col("blocked") >= 0.5, "block").otherwise("allow"))
     return scored.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "blocked")
