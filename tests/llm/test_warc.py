@@ -82,3 +82,20 @@ def test_base32(spark):
     texts = ["", "a", "é" * 50]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(base32_sha1(F.col("t"))).collect()
     assert [r[0] for r in got] == [payload(t)[1] for t in texts]
+
+
+def test_empty_ids_are_not_missing_ones(spark, folder):
+    pages = spark.createDataFrame([("", "u", "same"), (None, "u", "same"), ("b", "u", "same")], "page_id string, url string, html string")
+    captures = archive_round_trip(pages, folder("warc")).select("response.type").collect()
+    assert sorted(r[0] for r in captures) == ["response", "revisit", "revisit"]
+
+
+def test_repeated_pages_spread_over_files(spark, folder, monkeypatch):
+    from tidemark.llm import warc
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
+    pages = spark.range(2000).selectExpr("CAST(NULL AS long) AS page_id", "'http://a.org/' AS url", "repeat('x', 200) AS html")
+    path = folder("warc")
+    assert archive_round_trip(pages, path).groupBy("response.type").count().collect() and spark.read.format("binaryFile").load(path).count() >= 8
+    sizes = [r[0] for r in spark.read.format("binaryFile").load(path).select("length").collect()]
+    assert max(sizes) < 4 * sum(sizes) / len(sizes)

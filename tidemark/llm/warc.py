@@ -67,30 +67,29 @@ def write_warc(
     """Writes a request, a response or revisit, and a metadata record per page to gzip files below ``path``.
 
     Of pages whose payloads are equal and have at least ``min_bytes`` bytes, the one with the smallest id
-    is the response and the others are revisits of it; a null id is larger than any other, and of rows
-    equal in id and payload one is the response. Shorter payloads are all responses. Null payloads are
+    is the response and the others are revisits of it; a null id is larger than any other (and not the empty one), and of
+    rows equal in id and payload one is the response. Shorter payloads are all responses. Null payloads are
     empty, null urls are written as an empty target. Only digests are compared; the payloads move once,
-    to about ``FILE_BYTES`` per file. Lines in urls cannot break the headers: control characters go.
+    to about ``FILE_BYTES`` per file, whatever the ids. Lines in urls cannot break the headers: control characters go.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
-    page = pages.select(
-        F.col(id_col).alias("page_id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id_text"),
+    page = cut_lineage(pages.select(
+        F.col(id_col).alias("page_id"), F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("")).alias("id_text"),
         F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\x00-\x20\x7F]+", "").alias("url"),
         html.alias("html"), base32_sha1(html).alias("digest"), F.octet_length(html).cast("long").alias("n_bytes"),
-    )
-    members = cut_lineage(page.select("digest", "n_bytes", F.struct(F.col("page_id").isNull().alias("no_id"), "page_id").alias("me")))
+        F.monotonically_increasing_id().alias("seq"),
+    ))
+    members = page.select("digest", "n_bytes", F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "seq").alias("me"))
     files = max(1, -(-(members.agg(F.sum("n_bytes")).first()[0] or 0) // FILE_BYTES))
     first = tree_merge(members, ["digest", "n_bytes"], "me").select(
-        "digest", F.coalesce(F.col("me.page_id").cast("string"), F.lit("")).alias("id_text"),
-        F.col("first.page_id").alias("first_id"), (F.col("me") == F.col("first")).alias("is_first"),
-    ).distinct()
-    placed = page.repartition(files, "id_text", "digest").join(first, ["id_text", "digest"])
-    # the join has dealt the rows by these two columns already, so numbering repeats needs no other shuffle
-    placed = placed.selectExpr("*", "row_number() OVER (PARTITION BY id_text, digest ORDER BY url) AS copy")
+        F.col("me.seq").alias("seq"), F.col("first.page_id").alias("first_id"), (F.col("me.seq") == F.col("first.seq")).alias("is_first"),
+    )
+    # rows are dealt by their number, so repeated pages, or pages without an id, spread over all files
+    placed = page.repartition(files, "seq").join(first.hint("merge"), "seq")
     single = F.col("n_bytes") < min_bytes
-    placed = placed.withColumn("revisit", ~single & ~(F.col("is_first") & (F.col("copy") == 1)))
+    placed = placed.withColumn("revisit", ~single & ~F.col("is_first"))
     first_urn = _urn("response", F.col("digest"))
-    own_urn = _urn("capture", F.col("id_text"), F.col("digest"), F.col("copy").cast("string"))
+    own_urn = _urn("capture", F.col("id_text"), F.col("digest"), F.col("seq").cast("string"))
     placed = placed.withColumn("urn", F.when(single | F.col("revisit"), own_urn).otherwise(first_urn))
 
     common = [("WARC-Target-URI", F.col("url")), ("WARC-Date", F.lit(date))]
