@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm.digest_tree import normalised
 from tidemark.llm.mixing import GOLDEN, GOLDEN_HIGH, mix, mixed_documents, running_total, targets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -70,7 +71,7 @@ def test_against_simulation(spark):
     rows = [(i, "w " * random.choice([0, 1, 3, 40, 200]), random.choice(["a", "b", "b", "b", "é", "Z", None])) for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
     got = {r.doc_id: r for r in mix(df, blocks=64, block_words=16).collect()}
-    facts = df.select("doc_id", "source", F.pmod(F.xxhash64("doc_id", F.lit(0)), F.lit(1 << 30)).alias("place")).collect()
+    facts = df.select("doc_id", "source", F.pmod(F.xxhash64("doc_id", F.sha2(normalised(F.col("text")), 256), F.lit(0)), F.lit(1 << 30)).alias("place")).collect()
     source = {r.doc_id: r.source for r in facts}
     found = [{"id": r.doc_id, "source": r.source, "place": r.place, "size": got[r.doc_id]["size"]} for r in facts]
     assert {i: r.taken for i, r in got.items()} == simulate(found, 64, 16)
@@ -113,3 +114,12 @@ def test_part_of_a_document(spark):
     df = spark.createDataFrame([(1, "a b  c\nd e f g h", "s", 15)], "doc_id long, text string, source string, n_chars long")
     rows = sorted(mixed_documents(df, blocks=1000).collect(), key=lambda r: -r.n_chars)
     assert [(r.text, r.n_chars) for r in rows] == [("a b  c\nd e f g h", 15), ("a b c d", 7)]
+
+
+def test_rows_without_an_id_spread(spark):
+    """Texts of rows that all lack an id lie in many cells of the order."""
+    docs = spark.range(500).selectExpr("CAST(NULL AS long) AS doc_id", "concat('text ', id) AS text", "'s' AS source")
+    found = mix(docs, block_words=2, blocks=10_000)
+    assert found.count() == 500 and found.agg(F.sum("taken")).first()[0] > 0
+    places = docs.select(F.pmod(F.xxhash64("doc_id", F.sha2("text", 256), F.lit(0)), F.lit(1 << 30)).alias("place")).distinct()
+    assert places.count() > 490

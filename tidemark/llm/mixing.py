@@ -97,7 +97,7 @@ def mix(
 ) -> DataFrame:
     """One row per row of ``docs``: id, size, source_size, target, taken (words drawn), text_sha256.
 
-    The documents of a source, in a shuffled order that the ids and ``seed`` fix, form one stream of words,
+    The documents of a source, in a shuffled order that ids, texts and ``seed`` fix, form one stream of words,
     cut into equal blocks (``block_words`` words, fewer where a source would have under ``blocks`` blocks).
     The schedule deals slots to sources; a source's slot number r takes its block r modulo their number.
     A block is drawn at most ``most`` times. A document's ``taken`` adds up its parts of the drawn blocks.
@@ -108,9 +108,8 @@ def mix(
     text = F.col(text_col)
     facts = cut_lineage(docs.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"),
-        F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)).alias("place"),
         F.sha2(normalised(text), 256).alias("text_sha256"), F.monotonically_increasing_id().alias("seq"),
-    ).withColumn("source_key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))))
+    ).withColumn("place", F.pmod(F.xxhash64("id", "text_sha256", F.lit(seed)), F.lit(1 << 30))).withColumn("source_key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))))
     sizes = facts.groupBy("source_key", "source").agg(F.sum("size").alias("source_size"))
     per_block = F.greatest(F.lit(1), F.least(F.lit(block_words), F.ceil(F.col("source_size") / blocks))).cast("long")
     sources = targets(sizes, list(weights), share, most).withColumn("block", per_block)
