@@ -93,3 +93,9 @@ def test_very_long_value(spark):
     value = "aB3" * 40_000
     row = secret_spans(spark.createDataFrame([(1, "token=" + value)], "doc_id long, text string")).first()
     assert [(s.kind, s.start, s.end) for s in row.spans] == [("assign", 0, 120_006), ("guess", 6, 120_006)]
+
+
+def test_long_words_are_listed_whole():
+    word = "abracadabrahocuspocusx"
+    known = ranks([word])
+    assert known == {word: 1} and guess_cost(word, known) < 1 and guess_cost(word[:16] + "qqzzvv", known) > 10

@@ -59,7 +59,7 @@ def ranks(words: str | list[str]) -> dict[str, int]:
     """Words with their place, from 1; the first of equal words counts."""
     found: dict[str, int] = {}
     for word in words.split() if isinstance(words, str) else words:
-        found.setdefault(word.lower()[:LONGEST_WORD], len(found) + 1)
+        found.setdefault(word.lower(), len(found) + 1)
     return found
 
 
@@ -88,6 +88,7 @@ def guess_cost(value: str, known: dict[str, int]) -> float:
     """
     n = len(value)
     lower = value.lower()
+    longest = max(LONGEST_WORD, *map(len, known)) if known else 0
     spans: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: start and cost
     for pattern, cost in ((DATE, DATE_COST), (YEAR, YEAR_COST)):
         for m in pattern.finditer(value):
@@ -103,7 +104,7 @@ def guess_cost(value: str, known: dict[str, int]) -> float:
             spans[j].append((same, math.log10(36 * (j - same))))
         if j - walk >= 3:
             spans[j].append((walk, math.log10(94 * (j - walk))))
-        for i in range(max(0, j - LONGEST_WORD), j - 2):
+        for i in range(max(0, j - longest), j - 2):
             cost = _word_cost(value[i:j], known)
             if cost is not None:
                 spans[j].append((i, cost))
