@@ -115,3 +115,68 @@ def test_the_selection_feed_holds_what_changed(spark, folder):
     finally:
         query.stop()
     assert rows(site.readings(), "id") == [(1,), (4,)]
+
+
+def _filled(spark, folder, hours=40):
+    from tidemark.sinks import exports
+
+    site = Historian(spark, folder("site"), "Plant")
+    site.upsert_plcs(spark.createDataFrame([("P", "opc.tcp://p", "None", 1)], "name string, endpoint_url string, security_policy string, seq long"))
+    site.sync_discovery(spark.createDataFrame([("P", "i=85", TAG + "a", "Variable", "a", None)], schemas.ADDRESS_EDGES), T0)
+    data = [(n, 1, T0 + n * 3_600_000, None, float(n), None, 0) for n in range(1, hours)]
+    exports.write_readings(spark.createDataFrame(data, schemas.READINGS), f"{site.root}/readings")
+    return site
+
+
+def test_uploads_before_a_failure_stay_recorded(spark, folder):
+    site = _filled(spark, folder)
+
+    def half_way(pending):
+        for n, row in enumerate(pending.collect()):
+            if n == 2:
+                raise OSError("the line went down")
+            yield row["file_name"], "ok", None
+
+    with pytest.raises(OSError):
+        site.run_partition_cycle(half_way, T0 + 2 * DAY, hours=6)
+    manifest = site.table("parquet_partitions")
+    assert [r[0] for r in rows(manifest.filter("uploaded_at IS NOT NULL"), "partition_start")] == [T0, T0 + 6 * 3_600_000]
+    asked = []
+
+    def rest(pending):
+        for row in pending.collect():
+            asked.append(row["partition_start"])
+            yield row["file_name"], "ok", None
+
+    site.run_partition_cycle(rest, T0 + 2 * DAY, hours=6)
+    assert asked == [T0 + h * 3_600_000 for h in range(12, 40, 6)]
+    assert site.table("parquet_partitions").filter("uploaded_at IS NULL").count() == 0
+
+    def csv_fails(pending):
+        yield from ((row["file_name"], "ok", None) for row in pending.collect())
+        raise OSError("after the last file")
+
+    with pytest.raises(OSError):
+        site.run_rolling_csv(csv_fails, T0 + 2 * DAY)
+    assert rows(site.table("export_state"), "plc_id", "status", "uploaded_reading_id") == [(1, "Uploaded", 39)]
+
+
+def test_what_others_record_during_an_upload_stays(spark, folder):
+    """While files are being uploaded another job adds a window of its own and exports one of these again."""
+    site = _filled(spark, folder)
+    other = T0 - 30 * DAY
+
+    def slow(pending):
+        again = site.table("parquet_partitions").filter(F.col("partition_start") == T0).withColumn("exported_at", F.lit("2099-01-01T00:00:00.000Z"))
+        new = again.withColumn("partition_start", F.lit(other))
+        site.change("parquet_partitions", lambda now: now.filter(F.col("partition_start") != T0).unionByName(again).unionByName(new))
+        site.change("export_state", lambda now: now.unionByName(
+            spark.createDataFrame([(7, "f", "p", 5, 5, "x", 0, None, "Pending")], schemas.EXPORT_STATE)))
+        return pending.selectExpr("file_name", "'ok' AS outcome", "CAST(NULL AS string) AS at")
+
+    site.run_partition_cycle(slow, T0 + 2 * DAY, hours=6, keep=True)
+    manifest = {r["partition_start"]: r for r in site.table("parquet_partitions").collect()}
+    assert other in manifest and manifest[T0]["exported_at"].startswith("2099") and manifest[T0]["uploaded_at"] is None
+    assert manifest[T0 + 6 * 3_600_000]["uploaded_at"] is not None
+    site.run_rolling_csv(lambda pending: pending.selectExpr("file_name", "'ok' AS outcome", "CAST(NULL AS string) AS at"), T0 + 2 * DAY)
+    assert rows(site.table("export_state"), "plc_id") == [(1,), (7,)]

@@ -185,6 +185,20 @@ def apply_export_outcomes(state: DataFrame, outcomes: DataFrame, as_of: str) ->
     )
 
 
+# Merging
+
+def merge_changed(current: DataFrame, before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """``current`` with the rows that a job changed from ``before`` to ``after``.
+
+    What others wrote meanwhile stays, also to the same key if it was exported later than the job's own row.
+    """
+    rest = [c for c in after.columns if c != key]
+    known = before.select(key, F.struct(*rest).alias("_known"))
+    changed = after.join(known, key, "left").filter(~F.col("_known").eqNullSafe(F.struct(*rest))).drop("_known")
+    mine = inserted() | (touched() & (F.coalesce("n.exported_at", F.lit("")) >= F.coalesce("o.exported_at", F.lit(""))))
+    return upsert(current, changed, [key], {c: F.when(mine, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) for c in rest})
+
+
 # Settings
 
 def put_setting(settings: DataFrame, key: str, value: int) -> DataFrame:

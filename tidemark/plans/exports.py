@@ -4,28 +4,38 @@ A job scans the readings twice: three columns of them for the rows and ids per f
 bounds of the writing tasks, then everything for the files. Both scans see the same files of the dataset.
 
 Uploading is done by whatever moves files. Its result is a table (file_name, outcome, at) that drives
-the manifests; a job takes that table, or a function that is given the pending files and returns it.
+the manifests; a job takes that table, or a function that is given the pending files and returns it. A function that
+yields one (file_name, outcome, at) after the other has each recorded before it goes on to the next file.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark import schemas
 from tidemark.functions import names, times
 from tidemark.operators import aggregates, joins, manifests, scans
 from tidemark.session import cut_lineage
 from tidemark.sinks import exports
 
+Outcomes = DataFrame | Callable[[DataFrame], DataFrame | Iterator[tuple]]
 
-Outcomes = DataFrame | Callable[[DataFrame], DataFrame]
 
-
-def _outcomes_of(outcomes: Outcomes, pending: DataFrame) -> DataFrame:
-    return outcomes if isinstance(outcomes, DataFrame) else outcomes(pending)
+def _outcomes_of(outcomes: Outcomes, pending: DataFrame, sent: Callable[[DataFrame], None] | None) -> DataFrame:
+    """All outcomes as a table; those that come one by one are handed to ``sent`` as they come."""
+    given = outcomes if isinstance(outcomes, DataFrame) else outcomes(pending)
+    if isinstance(given, DataFrame):
+        return given
+    spark, rows = pending.sparkSession, []
+    for row in given:  # a row per uploaded file
+        rows.append(tuple(row))
+        if sent is not None:
+            sent(spark.createDataFrame(rows[-1:], schemas.UPLOAD_OUTCOMES))
+    return spark.createDataFrame(rows, schemas.UPLOAD_OUTCOMES)
 
 
 @dataclass
@@ -61,13 +71,15 @@ def partition_cycle(
     readings: DataFrame, tags: DataFrame, plcs: DataFrame, manifest: DataFrame, settings: DataFrame,
     outcomes: Outcomes, path: str, site: str, as_of_ms: int, hours: int = 6, keep: bool = False,
     retention_days: int = 90, recorded: Callable[[DataFrame, int], None] | None = None,
+    sent: Callable[[DataFrame], None] | None = None,
 ) -> CycleResult:
     """Export every closed window in one pass, then record what the uploads achieved.
 
     The manifest changes only after the files are written, and the cursor with it, so a failed run
     is simply run again. Empty windows write nothing but the cursor passes them. ``recorded`` is handed
     the manifest and the cursor before anything is uploaded, so that an upload that fails loses neither.
-    Pending windows go to the uploader with the ``folder`` that holds their files.
+    Pending windows go to the uploader with the ``folder`` that holds their files. ``sent`` is handed each outcome of an
+    uploader that yields them.
     """
     size_ms, as_of = max(1, hours) * times.HOUR_MS, times.ms_to_iso(as_of_ms)
     span = elapsed_range(readings, settings, as_of_ms, size_ms)
@@ -83,8 +95,8 @@ def partition_cycle(
         if recorded is not None:
             recorded(manifest, span[1])
     folder = F.concat(F.lit(f"{path}/partition_start="), F.col("partition_start").cast("string"))
-    sent = _outcomes_of(outcomes, manifests.pending_partitions(manifest).withColumn("folder", folder))
-    manifest = manifests.apply_partition_outcomes(manifest, sent, as_of, keep)
+    results = _outcomes_of(outcomes, manifests.pending_partitions(manifest).withColumn("folder", folder), sent)
+    manifest = manifests.apply_partition_outcomes(manifest, results, as_of, keep)
     if keep:
         cutoff = times.retention_cutoff(as_of_ms, retention_days) if retention_days > 0 else None
         manifest = manifests.cleanup_kept(manifest, cutoff)
@@ -96,6 +108,7 @@ def partition_cycle(
 def rolling_csv(
     readings: DataFrame, tags: DataFrame, plcs: DataFrame, state: DataFrame, outcomes: Outcomes,
     path: str, site: str, as_of: str, saved: Callable[[DataFrame], None] | None = None,
+    sent: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """Rewrite every controller's CSV, record it, and apply the upload outcomes: the new state.
 
@@ -107,8 +120,8 @@ def rolling_csv(
     recorded = cut_lineage(manifests.record_exports(state, manifests.export_records(spans, site, path), as_of))
     if saved is not None:
         saved(recorded)
-    sent = _outcomes_of(outcomes, manifests.pending_uploads(recorded))
-    return manifests.apply_export_outcomes(recorded, sent, as_of)
+    results = _outcomes_of(outcomes, manifests.pending_uploads(recorded), sent)
+    return manifests.apply_export_outcomes(recorded, results, as_of)
 
 
 def window_csv(

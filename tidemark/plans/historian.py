@@ -133,24 +133,32 @@ class Historian:
     ) -> exports.CycleResult:
         """Export closed windows, have them uploaded, record both, and remove the files that are done with.
 
-        Manifest and cursor are saved before the uploader is called. Afterwards the uploads are saved, then
-        folders go, then they are marked as gone; a run that stops in between leaves nothing unrecorded.
+        Manifest and cursor are saved before the uploader is called. The outcomes of an uploader that yields them are saved
+        one by one, others when it returns; then folders go, then they are marked as gone. A run that stops in between leaves
+        nothing unrecorded. Only rows that the run changed are written, so what other jobs record meanwhile stays.
         """
-        path = f"{self.root}/partitions"
+        path, as_of = f"{self.root}/partitions", times.ms_to_iso(as_of_ms)
+        before = self.table("parquet_partitions")
+
+        def merge(manifest: DataFrame) -> None:
+            self.change("parquet_partitions", lambda now: manifests.merge_changed(now, before, manifest, "partition_start"))
 
         def recorded(manifest: DataFrame, cursor: int) -> None:
-            self.save("parquet_partitions", manifest)
+            merge(manifest)
             self.put_setting(aggregates.EXPORT_CURSOR_KEY, cursor)
 
+        def sent(outcome: DataFrame) -> None:
+            self.change("parquet_partitions", lambda now: manifests.apply_partition_outcomes(now, outcome, as_of, keep=True))
+
         run = exports.partition_cycle(
-            self.readings(), *self._dims(), self.table("parquet_partitions"), self.table("settings"), outcomes,
-            path, self.site, as_of_ms, hours, keep, retention_days, recorded,
+            self.readings(), *self._dims(), before, self.table("settings"), outcomes,
+            path, self.site, as_of_ms, hours, keep, retention_days, recorded, sent,
         )
         here = self.table("parquet_partitions").filter("local_deleted = 0").select("partition_start")
         gone = run.manifest.filter("local_deleted = 1").join(here, "partition_start", "left_semi")
         starts = sorted(row[0] for row in gone.select("partition_start").collect())  # the windows of one cycle
         still = F.when(F.col("partition_start").isin(starts), F.lit(0)).otherwise(F.col("local_deleted"))
-        self.save("parquet_partitions", run.manifest.withColumn("local_deleted", still))
+        merge(run.manifest.withColumn("local_deleted", still))
         if starts:
             state.drop_folders(self.spark, [f"{path}/partition_start={start}" for start in starts])
             marked = F.when(F.col("partition_start").isin(starts), F.lit(1)).otherwise(F.col("local_deleted"))
@@ -158,11 +166,17 @@ class Historian:
         return run
 
     def run_rolling_csv(self, outcomes: exports.Outcomes, as_of_ms: int) -> None:
-        new = exports.rolling_csv(
-            self.readings(), *self._dims(), self.table("export_state"), outcomes, f"{self.root}/csv", self.site,
-            times.ms_to_iso(as_of_ms), lambda recorded: self.save("export_state", recorded),
-        )
-        self.save("export_state", new)
+        as_of, before = times.ms_to_iso(as_of_ms), self.table("export_state")
+
+        def merge(after: DataFrame) -> None:
+            self.change("export_state", lambda now: manifests.merge_changed(now, before, after, "plc_id"))
+
+        def sent(outcome: DataFrame) -> None:
+            self.change("export_state", lambda now: manifests.apply_export_outcomes(now, outcome, as_of))
+
+        merge(exports.rolling_csv(
+            self.readings(), *self._dims(), before, outcomes, f"{self.root}/csv", self.site, as_of, merge, sent,
+        ))
 
     def run_window_csv(self, start_ms: int, end_ms: int) -> DataFrame:
         path = f"{self.root}/windows-csv/{start_ms}_{end_ms}"
