@@ -234,7 +234,7 @@ TABLES: dict[str, str] = {
         nullif(arg_max(coalesce(error, ''), seq) FILTER (kind = 'connected' OR error IS NOT NULL), '') AS last_error FROM since GROUP BY 1""",
     "plc_figures": f"""SELECT p.plc_id, p.name, {iso('s.last')} AS last_sample, coalesce(c.found, 0) AS discovered_tags,
         coalesce(c.logged, 0) AS monitored_tags FROM plcs p
-        LEFT JOIN (SELECT plc_id, max(ts_received_utc) AS last FROM named GROUP BY 1) s ON s.plc_id = p.plc_id
+        LEFT JOIN (SELECT t.plc_id, max(l.ts_received_utc) AS last FROM live l JOIN tags t ON t.tag_id = l.tag_id GROUP BY 1) s ON s.plc_id = p.plc_id
         LEFT JOIN (SELECT plc_id, count(*) FILTER (active = 1) AS found, count(*) FILTER (active = 1 AND enabled = 1) AS logged FROM tags GROUP BY 1) c
           ON c.plc_id = p.plc_id""",
     "small_windows": f"""SELECT ts_utc // 14400000 * 14400000 AS partition_start FROM named WHERE ts_utc >= {DAY_0 + 20 * DAY} GROUP BY 1""",
@@ -274,6 +274,9 @@ def _deadband(source: str, flag: str) -> str:
 
 _GATE = "value IS NOT NULL AND quality = 0 AND band IS NOT NULL"
 _LIVE_ROWS = "SELECT l.* EXCLUDE (plc_name), band FROM live l LEFT JOIN bands b ON b.tag_id = l.tag_id"
+_ACCEPTED = f"""source AS ({_LIVE_ROWS}), {gated_steps('source', _GATE)},
+    accepted AS (SELECT * FROM source WHERE NOT coalesce({_GATE}, false) OR id IN (SELECT id FROM steps WHERE kept))"""
+_WRITTEN = f"ts_utc < {END}"
 _STORED = "SELECT r.*, band FROM readings r LEFT JOIN bands b ON b.tag_id = r.tag_id"
 _COARSE = "(SELECT * REPLACE (floor(value / 20) * 20 AS value) FROM {})"
 
@@ -509,15 +512,15 @@ _TEXTS: dict[str, str] = {
     "late_windows": f"SELECT ts_utc // {W} * {W} AS partition_start, count(*) AS late_rows FROM readings WHERE {_HALF} GROUP BY 1",
     "stream_late_report": f"""SELECT id, tag_id, ts_utc, ts_utc // {W} * {W} AS partition_start FROM live WHERE ts_utc < {DAY_0 + 20 * DAY}""",
     "health_plcs": "SELECT * FROM plc_figures",
-    "health_summary": f"""SELECT 'a/b:c' AS site, count(*) AS readings_written, {iso('max(ts_received_utc)')} AS last_write,
-        greatest(0, (SELECT count(*) FROM raw) - count(*)) AS buffer_depth, (SELECT max(exported_at) FROM export_state) AS last_export,
-        (SELECT max(uploaded_at) FROM export_state) AS last_upload FROM readings""",
+    "health_summary": f"""{_ACCEPTED} SELECT 'a/b:c' AS site, count(*) FILTER ({_WRITTEN}) AS readings_written,
+        {iso(f'max(ts_received_utc) FILTER ({_WRITTEN})')} AS last_write, greatest(0, count(*) - count(*) FILTER ({_WRITTEN})) AS buffer_depth,
+        (SELECT max(exported_at) FROM export_state) AS last_export, (SELECT max(uploaded_at) FROM export_state) AS last_upload FROM accepted""",
     "write_totals": "SELECT count(*) AS readings_written, max(ts_received_utc) AS last_write_ms FROM readings",
     "connection_state": "SELECT * FROM connections",
     "health_snapshot": """SELECT c.*, f.last_sample, coalesce(f.discovered_tags, 0) AS discovered_tags, coalesce(f.monitored_tags, 0) AS monitored_tags
         FROM connections c LEFT JOIN plc_figures f ON f.name = c.plc_name""",
-    "backlog": f"""SELECT (SELECT count(*) FROM raw) AS accepted, count(*) AS written, greatest(0, (SELECT count(*) FROM raw) - count(*)) AS backlog
-        FROM readings WHERE ts_utc < {END}""",
+    "backlog": f"""{_ACCEPTED} SELECT count(*) AS accepted, count(*) FILTER ({_WRITTEN}) AS written,
+        greatest(0, count(*) - count(*) FILTER ({_WRITTEN})) AS backlog FROM accepted""",
     "discover_tags": "SELECT plc_name, node_id, tag_name FROM found",
     "discovery_sync": f"""SELECT
         coalesce(t.tag_id, (SELECT max(tag_id) FROM tags) + row_number() OVER (PARTITION BY t.tag_id IS NULL ORDER BY f.plc_id, f.node_id))::INT AS tag_id,

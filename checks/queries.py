@@ -769,19 +769,31 @@ def stream_late_report(t):
 
 # Health
 
+def _samples(t):
+    """Notifications of selected tags as they came in, before the deadband."""
+    return jobs.resolved_stream(t.raw_notifications(), t.tags(), t.plcs()).select("tag_id", "ts_received_utc")
+
+
+def _accepted(t):
+    """Readings that the deadband let pass, and those of them that a writer so far behind has stored."""
+    accepted = fleet.ingest(t.raw_notifications(), t.tags(), t.plcs(), DEFAULT_DEADBAND)
+    return accepted, accepted.filter(F.col("ts_utc") < RANGE_END_MS)
+
+
 @query
 def health_plcs(t):
-    return health.plc_health(*_three(t))
+    return health.plc_health(_samples(t), t.tags(), t.plcs())
 
 
 @query
 def health_summary(t):
-    return health.health_summary(t.readings(), t.raw_notifications(), t.export_state(), SITE)
+    accepted, written = _accepted(t)
+    return health.health_summary(written, accepted, t.export_state(), SITE)
 
 
 @query
 def health_snapshot(t):
-    return health.health_snapshot(t.connection_events(), *_three(t))
+    return health.health_snapshot(t.connection_events(), _samples(t), t.tags(), t.plcs())
 
 
 @query
@@ -796,8 +808,7 @@ def connection_state(t):
 
 @query
 def backlog(t):
-    written = t.readings().filter(F.col("ts_utc") < RANGE_END_MS)
-    return aggregates.backlog(t.raw_notifications(), written)
+    return aggregates.backlog(*_accepted(t))
 
 
 # Discovery
