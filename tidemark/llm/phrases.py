@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import uuid
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -20,6 +19,7 @@ from tidemark.llm.batches import BATCH_BYTES, SpanHashes, _split, text_bytes
 from tidemark.llm.phrase_index import extensions, packed, packed_text, thinned, unpacked, unpacked_text
 from tidemark.operators.joins import lookup_join
 from tidemark.session import cut_lineage, release, shared_dir, shuffles_removed
+from tidemark.sinks import state
 
 for module in (sys.modules[__name__], phrase_index, texts):
     cloudpickle.register_pickle_by_value(module)
@@ -27,6 +27,7 @@ for module in (sys.modules[__name__], phrase_index, texts):
 SHARD_WORDS = 1_200_000  # an index of so many words takes some 150 MB while it is used
 BUCKET_BYTES = 8 * 1024 * 1024  # of text, per task that sums
 UNKNOWN = "und"
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"  # a setting of Spark's
 TEXT, LIST, RUN, TOTAL, PHRASE = range(5)  # kinds of rows
 ROW = pa.schema([
     ("kind", pa.int32()), ("shard", pa.int64()), ("bucket", pa.int32()), ("lang", pa.string()), ("phrase", pa.string()), ("gid", pa.int64()),
@@ -188,11 +189,13 @@ def _places(among: np.ndarray, values: np.ndarray) -> np.ndarray:
 def _extend(batches: Iterator[pa.RecordBatch], length: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
     """From a shard's text and its frequent phrases of ``length`` words to runs of phrases one word longer.
 
-    A row holds a shard's word ids (a), the numbers of the words (b), the frequent phrases of one word less by number (c) and
-    as lines of word ids (d), and the lists of what is frequent now. The text that is passed on holds only what the frequent phrases cover.
+    A text row holds word ids (a), the numbers of the words (b), the frequent phrases of one word less by number (c) and
+    as lines of word ids (d); lists of what is frequent now follow it. The text that is passed on holds only what the frequent phrases cover.
     """
-    for row in (row for batch in batches for row in batch.to_pylist()):
-        shard, lists = row["shard"], row["lists"]
+    for shard, rows in _grouped(batches, "shard"):
+        row, lists = rows[0], rows[1:]
+        if not lists or row["kind"] != TEXT:  # nothing of the shard is frequent
+            continue
         text, (first, gids) = unpacked(row["a"]), (np.concatenate([unpacked(r[c]) for r in lists]) for c in ("a", "c"))
         order = np.argsort(gids)
         first, gids = first[order], gids[order]
@@ -218,17 +221,17 @@ def _extend(batches: Iterator[pa.RecordBatch], length: int, n_buckets: int) -> I
         yield _rows(out)
 
 
-def _by_shard(rows: DataFrame, n_buckets: int) -> tuple[DataFrame, str]:
-    """A table that lies in buckets of shards, so that texts stay where they are when lists join them."""
-    name, path = f"phrases_{uuid.uuid4().hex}", shared_dir(rows.sparkSession, "table")
-    with shuffles_removed(rows.sparkSession):
-        rows.write.bucketBy(n_buckets, "shard").option("path", path).saveAsTable(name)
-    return rows.sparkSession.table(name), name
-
-
-def _drop(table: DataFrame, name: str) -> None:
-    release(table)
-    table.sparkSession.sql(f"DROP TABLE {name}")
+def _by_kind(rows: DataFrame) -> tuple[DataFrame, str]:
+    """A written table with a folder per kind of row, so that runs can go once they are summed; its path."""
+    spark, path = rows.sparkSession, shared_dir(rows.sparkSession, "table")
+    before = spark.conf.get(WRITERS, "0")
+    spark.conf.set(WRITERS, "8")  # a task keeps a file per kind open instead of sorting its rows by kind
+    try:
+        with shuffles_removed(spark):
+            rows.write.partitionBy("kind").parquet(path)
+    finally:
+        spark.conf.set(WRITERS, before)
+    return spark.read.schema(rows.schema).parquet(path), path
 
 
 def phrase_counts(
@@ -246,13 +249,14 @@ def phrase_counts(
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
-    made, name = _by_shard(rows.mapInArrow(lambda b: _tokenise(b, n_buckets, shard_words), FIELDS), n_buckets)
+    made, path = _by_kind(rows.mapInArrow(lambda b: _tokenise(b, n_buckets, shard_words), FIELDS))
     totals = cut_lineage(made.filter(F.col("kind") == TOTAL).groupBy("lang").agg(F.sum("n").alias("n")))
     tables: list[DataFrame] = []
     for length in range(1, longest + 1):
         add = _sum_words if length == 1 else _sum_phrases
         runs = made.filter(F.col("kind") == RUN).repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket")
         summed = cut_lineage(runs.mapInArrow(lambda b, add=add: add(b, least), FIELDS))
+        state.drop_folders(spark, [f"{path}/kind={RUN}"])
         found = summed.filter(F.col("kind") == PHRASE).withColumnRenamed("n", "f")
         if length == 1:
             tables.append(found.select("gid", "lang", "phrase", "f"))
@@ -262,14 +266,15 @@ def phrase_counts(
             named = lookup_join(lookup_join(found.select("gid", "head", "tail", "f"), heads, ["head"], salt_on="gid"), tails, ["tail"], salt_on="gid")
             tables.append(cut_lineage(named.select("gid", "lang", F.concat_ws(" ", "word", "rest").alias("phrase"), "f")))
         if length < longest:
-            lists = summed.filter(F.col("kind") == LIST).groupBy("shard").agg(F.collect_list(F.struct("a", "b", "c")).alias("lists"))
-            both = made.filter(F.col("kind") == TEXT).join(lists, "shard")
-            longer = _by_shard(both.mapInArrow(lambda b, n=length: _extend(b, n, n_buckets), FIELDS), n_buckets)
-            _drop(made, name)
-            made, name = longer
+            lists = summed.filter(F.col("kind") == LIST)
+            both = spark.read.schema(made.schema).parquet(path).filter(F.col("kind") == TEXT).select(*lists.columns).unionByName(lists)
+            dealt = both.repartition("shard").sortWithinPartitions("shard", "kind")
+            longer, after = _by_kind(dealt.mapInArrow(lambda b, n=length: _extend(b, n, n_buckets), FIELDS))
+            state.drop_folders(spark, [path])
+            made, path = longer, after
         if length > 1:
             release(summed)  # the words are still read from the first sum
-    _drop(made, name)
+    state.drop_folders(spark, [path])
     return tables, totals
 
 
