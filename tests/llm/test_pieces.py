@@ -86,3 +86,21 @@ def test_other_models_are_refused(tmp_path):
     (tmp_path / "m.model").write_bytes(model.SerializeToString())
     with pytest.raises(ValueError):
         Vocabulary(str(tmp_path / "m.model"))
+
+
+def test_the_dictionary_does_not_fall_to_zero(spark):
+    """More words share the highest counts than the dictionary may hold."""
+    from tidemark.llm.pieces import frequent_words
+
+    docs = spark.range(3000).selectExpr("repeat('aa bb cc ', 50) AS text").unionAll(spark.sql("SELECT 'dd dd' AS text"))
+    assert {r.word for r in frequent_words(docs, "text", " ", 2).collect()} == {" aa", " bb"}
+    assert {r.word for r in frequent_words(docs, "text", " ", 100).collect()} >= {" aa", " bb", " cc", " dd"}
+    assert frequent_words(docs.limit(0), "text", " ", 2).count() == 0
+
+
+def test_decoding_odd_ids(spark):
+    vocabulary = Vocabulary(PIECES)
+    snow = vocabulary.merge(" \u2603")
+    rows = [(1, None), (2, []), (3, snow), (4, [int(vocabulary.byte_ids[0xE2])]), (5, vocabulary.merge(" a  b"))]
+    found = {r.n: r.text for r in decode(spark.createDataFrame(rows, "n int, ids array<int>"), vocabulary).collect()}
+    assert found[1] == found[2] == "" and found[3] == "\u2603" and "\ufffd" in found[4] and found[5] == "a  b"

@@ -23,10 +23,10 @@ BASE = 0x5851F42D4C957F2D  # odd, so that its powers have inverses modulo 2^64
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def map_texts(df: DataFrame, column: str, function: Callable[[pa.StringArray], list], fields: list[T.StructField]) -> DataFrame:
+def map_texts(df: DataFrame, column: str, function: Callable[[pa.StringArray], list], fields: list[T.StructField], batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """``df`` with the text ``column`` replaced by ``fields``; all other columns pass through untouched.
 
-    ``function`` takes a null-free text array of bounded size and returns one value list per field.
+    ``function`` takes a null-free text array of about ``batch_bytes`` and returns one value list per field.
     """
     others = [f for f in df.schema.fields if f.name != column]
     kinds = [to_arrow_type(f.dataType) for f in fields]
@@ -34,7 +34,7 @@ def map_texts(df: DataFrame, column: str, function: Callable[[pa.StringArray], l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _split(batch, column):
+            for part in _split(batch, column, batch_bytes):
                 texts = part.column(column)
                 if texts.null_count:
                     texts = texts.fill_null("")
@@ -44,12 +44,12 @@ def map_texts(df: DataFrame, column: str, function: Callable[[pa.StringArray], l
     return df.mapInArrow(run, T.StructType([*others, *fields]))
 
 
-def _split(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of about BATCH_BYTES of text, at least one row each."""
+def _split(batch: pa.RecordBatch, column: str, batch_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``batch_bytes`` of text, at least one row each."""
     lengths = np.asarray(pc.binary_length(batch.column(column)).fill_null(0))
     total, start = 0, 0
     for i, n in enumerate(lengths):
-        if total and total + n > BATCH_BYTES:
+        if total and total + n > batch_bytes:
             yield batch.slice(start, i - start)
             total, start = 0, i
         total += int(n)
@@ -59,7 +59,7 @@ def _split(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of an array of texts, and where each text begins (one more entry than texts)."""
-    wide = texts.type == pa.large_string()
+    wide = texts.type in (pa.large_string(), pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = texts.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)

@@ -22,7 +22,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SPACE_MARK = "▁"
 FOLD_CHARS = 61  # the cuts of a word are the bits of a long, below its sign
 DICTIONARY_WORDS = 100_000
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
+BATCH = 768 * 1024  # bytes of text encoded at a time: what the arrays of a worker take is some fifty times as much
+STEPS = 64
 FILTER_BITS = 20
 # Fixed values of the model format: the kinds of pieces and of models.
 NORMAL, USER_DEFINED, BYTE, BPE = 1, 4, 6, 2
@@ -159,17 +161,26 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, text_col: str, prefix: str, most: int) -> DataFrame:
-    """The words of all documents that occur most often: every word above the count that leaves at most ``most``."""
+    """The ``most`` words of all documents, or nearly as many, that occur most often.
+
+    Words are counted by steps of the logarithm of their counts, each about one percent wide, and whole steps are taken
+    from the top. Where the steps that fit hold fewer than half as many, the next step gives its most frequent words.
+    """
     counts = docs.select(F.explode(split_words(F.coalesce(F.col(text_col), F.lit("")), prefix)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    counts = cut_lineage(counts.filter((F.col("n") > 1) & (F.length("word") <= FOLD_CHARS)))
-    steps = counts.groupBy(F.least(F.col("n"), F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("words"))
-    total, bound = 0, 1 << 62
-    for n, some in sorted(map(tuple, steps.collect()), reverse=True):  # at most 100,000 counts
-        total += some
-        if total > most:
+    counts = counts.filter((F.col("n") > 1) & (F.length("word") <= FOLD_CHARS))
+    counts = cut_lineage(counts.withColumn("step", F.floor(F.log2("n") * STEPS).cast("int")))
+    steps = dict(map(tuple, counts.groupBy("step").agg(F.count(F.lit(1))).collect()))  # at most 64 * STEPS
+    total, bound = 0, max(steps, default=0) + 1
+    for step in sorted(steps, reverse=True):
+        if total + steps[step] > most:
             break
-        bound = n
-    return counts.filter(F.col("n") >= bound).select("word")
+        total, bound = total + steps[step], step
+    chosen = counts.filter(F.col("step") >= bound).select("word")
+    below = max((step for step in steps if step < bound), default=None)
+    if below is None or total * 2 >= most:
+        return chosen
+    more = counts.filter(F.col("step") == below).orderBy(F.desc("n"), "word").limit(most - total)
+    return chosen.unionByName(more.select("word"))
 
 
 class WordTable:
@@ -383,7 +394,7 @@ def encode(
         flat, bounds, same = shared.value.encode(texts)
         return [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32())), same]
 
-    return map_texts(docs, text_col, run, [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(round_trip, T.BooleanType())])
+    return map_texts(docs, text_col, run, [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(round_trip, T.BooleanType())], BATCH)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -392,10 +403,25 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: s
     others = [f for f in encoded.schema.fields if f.name != ids]
 
     def run(batches):
+        known = pa.array(pieces, pa.large_binary())
         for batch in batches:
-            rows = batch.column(ids).to_pylist()
-            texts = [b"".join(pieces[i] for i in row or ()).decode("utf-8", "replace").removeprefix(prefix) for row in rows]
-            columns = [batch.column(f.name) for f in others] + [pa.array(texts, pa.string())]
+            lists = batch.column(ids)
+            flat = known.take(lists.flatten())  # null lists have no members
+            bounds = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists).fill_null(0), dtype=np.int64))])
+            raw, edges = text_bytes(flat)
+            texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(edges[bounds].astype(np.int64)), pa.py_buffer(raw)])
+            columns = [batch.column(f.name) for f in others] + [_as_text(texts, prefix)]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in others] + [text])
 
     return encoded.mapInArrow(run, T.StructType([*others, T.StructField(text, T.StringType())]))
+
+
+def _as_text(raw: pa.LargeBinaryArray, prefix: str) -> pa.StringArray:
+    """Bytes as texts without the prefix; only rows that are no UTF-8 are decoded one by one."""
+    try:
+        texts = raw.cast(pa.large_string())
+    except pa.ArrowInvalid:
+        texts = pa.array([t.decode("utf-8", "replace") for t in raw.to_pylist()], pa.large_string())
+    if prefix:
+        texts = pc.if_else(pc.starts_with(texts, prefix), pc.utf8_slice_codeunits(texts, len(prefix)), texts)
+    return texts.cast(pa.string())
