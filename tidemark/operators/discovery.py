@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import names
-from tidemark.operators.joins import lookup_join, measured_bytes
+from tidemark.operators.joins import BROADCAST_BYTES, BROADCAST_SETTING, lookup_join, measured_bytes
 from tidemark.operators.registry import passes_tag_filter
 from tidemark.session import cut_lineage, shared_dir
 
@@ -17,7 +17,7 @@ OBJECTS_FOLDER = "i=85"
 SERVER = "i=2253"
 MAX_DEPTH = 30
 
-LEVELS_PER_JOB = 4
+LEVELS_PER_JOB = 8
 
 
 def browsable(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,9 @@ def reachable(edges: DataFrame, root: str = OBJECTS_FOLDER, max_depth: int = MAX
 
     Breadth first over all controllers together, a few levels per job. Within a job a level is one join of the
     level before with the references to nodes that have children; what was reached is reduced to the
-    smallest depth and anti-joined with the nodes already seen, which removes cycles and second parents.
+    smallest depth and anti-joined with the nodes already seen, which removes cycles and second parents. A level never holds
+    more than the nodes that have children: where those fit the bound for a broadcast, the references stay where they are and
+    only what they lead to is shuffled.
     Jobs write folders of one table in the shared folder, so the plan stays the same size and a lost
     executor costs one job at most. The Server object is never expanded.
     """
@@ -38,8 +40,10 @@ def reachable(edges: DataFrame, root: str = OBJECTS_FOLDER, max_depth: int = MAX
     links = cut_lineage(
         browsable(edges).filter(F.col("child") != SERVER).select("plc_name", "parent", "child")
     )
-    parents = links.select("plc_name", F.col("parent").alias("child")).distinct()
+    parents = cut_lineage(links.select("plc_name", F.col("parent").alias("child")).distinct())
     inner = cut_lineage(lookup_join(links, parents, ["plc_name", "child"], "left_semi", salt_on="parent"))
+    bound = int(spark.conf.get(BROADCAST_SETTING, str(BROADCAST_BYTES)))
+    near = F.broadcast if measured_bytes(parents) <= bound else lambda df: df  # a level, and all that was seen, are among the parents
     table = shared_dir(spark, "levels")
     layout = "plc_name string, node string, depth int"
     found = links.filter(F.col("parent") == root).select("plc_name", F.lit(root).alias("node"), F.lit(0).alias("depth")).distinct()
@@ -48,20 +52,16 @@ def reachable(edges: DataFrame, root: str = OBJECTS_FOLDER, max_depth: int = MAX
         found.write.parquet(f"{table}/to={depth}")
         level = spark.read.schema(layout).parquet(f"{table}/to={depth}").filter(F.col("depth") == depth).drop("depth")
         seen = spark.read.schema(layout).parquet(table).select("plc_name", "node", "depth")
-        size = measured_bytes(level)
-        if size == 0 or depth >= max_depth:
+        if depth >= max_depth or level.isEmpty():
             return seen
         levels = []
         for n in range(depth + 1, min(depth + LEVELS_PER_JOB, max_depth) + 1):
             level = level.withColumnRenamed("node", "parent")
-            if levels:
-                step = inner.join(level, ["plc_name", "parent"], "left_semi")
-            else:
-                step = lookup_join(inner, level, ["plc_name", "parent"], "left_semi", salt_on="child", dim_bytes=size)
+            step = inner.join(near(level), ["plc_name", "parent"], "left_semi")
             level = step.select("plc_name", F.col("child").alias("node")).distinct()
             levels.append(level.withColumn("depth", F.lit(n)))
         reached = reduce(DataFrame.unionByName, levels).groupBy("plc_name", "node").agg(F.min("depth").alias("depth"))
-        found = reached.join(seen.select("plc_name", "node"), ["plc_name", "node"], "left_anti")
+        found = reached.join(near(seen.select("plc_name", "node")), ["plc_name", "node"], "left_anti")
         depth += len(levels)
 
 
