@@ -776,7 +776,7 @@ def _samples(t):
 
 def _accepted(t):
     """Readings that the deadband let pass, and those of them that a writer so far behind has stored."""
-    accepted = fleet.ingest(t.raw_notifications(), t.tags(), t.plcs(), DEFAULT_DEADBAND)
+    accepted = cut_lineage(fleet.ingest(t.raw_notifications(), t.tags(), t.plcs(), DEFAULT_DEADBAND))
     return accepted, accepted.filter(F.col("ts_utc") < RANGE_END_MS)
 
 

@@ -67,8 +67,9 @@ def deadband(
     """
     columns = readings.columns
     banded = lookup_join(readings, effective_deadbands(tags, default), ["tag_id"], "left", salt_on="id")
-    passing = banded.filter(~is_gated(exempt)).select(*columns)
-    gated = banded.filter(is_gated(exempt))
+    banded = cut_lineage(banded.withColumn("gated", is_gated(exempt)))  # read several times below
+    passing = banded.filter(~F.col("gated")).select(*columns)
+    gated = banded.filter("gated").drop("gated")
     hot = hot_keys(gated.select("tag_id", "id"), "tag_id", "id", target)
     sharded = with_shard(gated, "tag_id", "id", hot)
     if baseline is not None:

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 64 * 1024 * 1024
 BROADCAST_SETTING = "tidemark.broadcastBytes"  # a session may raise or lower the bound
 SALTS = 32
+BINS = 1 << 14  # keys are counted by their hash
+HOT_SHARE = 512  # a bin with more than this fraction of the rows is spread; at most so many bins are
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -38,19 +40,34 @@ def lookup_join(
     """Join ``facts`` to ``dim``, whose keys are unique, keeping ``facts`` on the left.
 
     ``dim`` is measured first. Within the bound it is broadcast, so ``facts`` is not shuffled at
-    all. Beyond it both sides are shuffled on the key plus a salt taken from ``salt_on`` (a column
-    that varies within a key), so that one key holding a third of the facts is spread over many tasks.
-    ``dim_bytes`` is the size when the caller has just measured it.
+    all. Beyond it both sides are shuffled on the key, and hot keys are spread by a salt taken from ``salt_on``
+    (a column that varies within a key), so that one key holding a third of the facts lies in many tasks. Only
+    the rows of ``dim`` that hot keys can meet are repeated, once per salt. Streams are not counted: there the
+    trigger bounds what a key puts into a task. ``dim_bytes`` is the size when the caller has just measured it.
     """
     if dim_bytes is None:
         dim_bytes = measured_bytes(dim)
     if dim_bytes <= int(facts.sparkSession.conf.get(BROADCAST_SETTING, str(BROADCAST_BYTES))):
         return facts.join(F.broadcast(dim), on, how)
-    if salt_on is None:
+    hot = [] if salt_on is None or facts.isStreaming else hot_bins(facts, on)
+    if not hot:
         return facts.join(dim, on, how)
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(SALTS)).cast("int"))
-    spread = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(spread, [*on, "_salt"], how).drop("_salt")
+    salt = F.when(_bin(facts, on).isin(hot), F.pmod(F.xxhash64(salt_on), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    salts = F.when(_bin(facts, on).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = dim.withColumn("_salt", F.explode(salts))
+    return facts.withColumn("_salt", salt).join(spread, [*on, "_salt"], how).drop("_salt")
+
+
+def _bin(facts: DataFrame, on: list[str]) -> Column:
+    """The bin of a row's key, on either side: keys have the types that they have in ``facts``."""
+    return F.pmod(F.xxhash64(*[F.col(c).try_cast(facts.schema[c].dataType) for c in on]), F.lit(BINS)).cast("int")
+
+
+def hot_bins(facts: DataFrame, on: list[str]) -> list[int]:
+    """The bins that hold more than one part in ``HOT_SHARE`` of all rows; a bin's count is all that is moved."""
+    counts = facts.groupBy(_bin(facts, on).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()  # BINS rows at most
+    whole = sum(row.n for row in counts)
+    return sorted(row.bin for row in counts if row.n * HOT_SHARE > whole)
 
 
 def tag_lookup(tags: DataFrame, plcs: DataFrame) -> DataFrame:
