@@ -24,6 +24,7 @@ WINDOW_HOURS = 6
 WINDOW_MS = WINDOW_HOURS * 3_600_000
 SEEN_AT = "2024-01-01T00:00:00.000Z"
 SITE = "a/b:c"
+FILE_ROWS = 500_000
 
 
 def _choose(*pairs, default) -> Column:
@@ -122,16 +123,24 @@ class Tables:
             (F.col("event_id") + 1).alias("seq"),
         )
 
-    def notification_files(self, pieces: int = 4) -> str:
-        """The raw notifications as several files of consecutive ids, in a folder a stream can read."""
+    def _in_turn(self, path: str, pieces: list[DataFrame], rows: int) -> int:
+        """Write the pieces one after the other, each as the same number of files, about FILE_ROWS rows a file; return that number."""
+        width = max(1, -(-rows // FILE_ROWS))
+        files = state._file_system(self.spark, path)
+        for n, piece in enumerate(pieces, 1):
+            (piece.repartition(width, "seq") if width > 1 else piece.coalesce(1)).write.mode("append").parquet(path)
+            while width > 1 and len(files.globStatus(state._path(self.spark, f"{path}/part-*"))) < n * width:
+                piece.limit(0).coalesce(1).write.mode("append").parquet(path)  # a trigger takes whole pieces
+        return width
+
+    def notification_files(self, pieces: int = 4) -> tuple[str, int]:
+        """The raw notifications as several pieces of consecutive ids, in a folder a stream can read, and the files of a piece."""
         path = shared_dir(self.spark, "notifications")
         raw = cut_lineage(self.raw_notifications())
         top = raw.agg(F.max("seq")).first()[0] or 0
         step = -(-top // pieces) or 1
-        for n in range(pieces):
-            piece = raw.filter((F.col("seq") > n * step) & (F.col("seq") <= (n + 1) * step))
-            piece.coalesce(1).write.mode("append").parquet(path)
-        return path
+        parts = [raw.filter((F.col("seq") > n * step) & (F.col("seq") <= (n + 1) * step)) for n in range(pieces)]
+        return path, self._in_turn(path, parts, step)
 
     def site_feeds(self, sites: int = 2, pieces: int = 4) -> str:
         """The raw notifications as numbered files of consecutive ids, the controllers dealt to sites."""
@@ -149,15 +158,13 @@ class Tables:
             files.rename(found.getPath(), state._path(self.spark, f"{path}/site{site}/{feeds.file_name(int(number))}"))
         return path
 
-    def disordered_files(self) -> str:
-        """The raw notifications as four files by time, of which the second and the third have changed places."""
+    def disordered_files(self) -> tuple[str, int]:
+        """The raw notifications as four pieces by time, of which the second and the third have changed places, and the files of a piece."""
         path = shared_dir(self.spark, "disordered")
         raw = cut_lineage(self.raw_notifications())
         day = (times.epoch_ms(times.event_time(F.col("source_ts"), F.col("received_ts"))) - FIRST_WINDOW_MS) / 86_400_000
-        for first, last in ((0, 10), (16, 21), (10, 16), (21, 1000)):
-            piece = raw.filter((day >= first) & (day < last))
-            piece.coalesce(1).write.mode("append").parquet(path)
-        return path
+        parts = [raw.filter((day >= first) & (day < last)) for first, last in ((0, 10), (16, 21), (10, 16), (21, 1000))]
+        return path, self._in_turn(path, parts, raw.count() // len(parts))
 
     @_planned_once
     def partitions(self) -> DataFrame:

@@ -643,7 +643,8 @@ def compact_stored(t):
 # Streams
 
 def _stream(t):
-    raw = inputs.notification_stream(t.spark, t.notification_files(), files_per_trigger=1)
+    path, files = t.notification_files()
+    raw = inputs.notification_stream(t.spark, path, files_per_trigger=files)
     return jobs.resolved_stream(raw, t.tags(), t.plcs())
 
 
@@ -731,7 +732,8 @@ def stream_first_type(t):
 def stream_window_report(t):
     """Files out of time order: how many rows of each window were counted when it closed, and how many came too late."""
     root, checkpoint = _paths(t, "windows")
-    raw = inputs.notification_stream(t.spark, t.disordered_files(), files_per_trigger=1)
+    path, files = t.disordered_files()
+    raw = inputs.notification_stream(t.spark, path, files_per_trigger=files)
     stream = jobs.resolved_stream(raw, t.tags(), t.plcs())
     _run(t, lambda: figures.start_window_report(stream, root, checkpoint, jobs.trigger(True), WINDOW_HOURS, "1 hour"))
     closed = t.spark.read.parquet(f"{root}/closed").drop("batch")
