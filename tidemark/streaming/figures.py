@@ -8,7 +8,7 @@ spread over many tasks; each bucket has a part of the figure, and parts are brou
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -126,6 +126,30 @@ def current_health(spark: SparkSession, root: str) -> DataFrame:
 
 # Types
 
+HELD_TAGS = 500_000
+
+
+def _firsts(parts: list[pd.DataFrame]) -> pd.DataFrame:
+    """The row of the lowest id of every tag."""
+    return pd.concat(parts, ignore_index=True).sort_values(["tag_id", "id"], ignore_index=True).drop_duplicates("tag_id")
+
+
+def _firsts_of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Before the shuffle a task's rows are brought to one per tag, or to a few where it has very many tags."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(_firsts([batch]))
+        n += len(held[-1])
+        if n > HELD_TAGS:
+            held = [_firsts(held)]
+            n = len(held[0])
+            if n > HELD_TAGS // 2:
+                yield held[0]
+                held, n = [], 0
+    if held:
+        yield _firsts(held)
+
+
 class FirstTypeProcessor(StatefulProcessor):
     """The type of each tag's lowest id; what has not been asked for in a while may be forgotten."""
 
@@ -136,7 +160,7 @@ class FirstTypeProcessor(StatefulProcessor):
         self.first = handle.getMapState("first", "tag_id int", "id long, data_type string", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["tag_id", "id"], ignore_index=True).drop_duplicates("tag_id")
+        pdf = _firsts(list(rows))
         out = []
         for tag, kind, reading in zip(pdf["tag_id"].tolist(), pdf["data_type"], pdf["id"].tolist(), strict=True):
             before = self.first.getValue((tag,))
@@ -153,10 +177,11 @@ def type_changes(readings: DataFrame, ttl_ms: int | None = None, buckets: int =
     """tag_id, data_type, id of each reading that is the first known of its tag to have a value.
 
     With ``ttl_ms`` a tag's state is dropped that long after it was written; the tag is then named again, with a higher
-    id, which changes nothing in the table.
+    id, which changes nothing in the table. A task sends one row per tag on, so a tag needs no salt however many rows it has.
     """
     rows = readings.filter(F.col("data_type") != NULL_TYPE).select(F.col("tag_id").cast("int").alias("tag_id"), "data_type", "id")
-    bucket = F.pmod(F.hash("tag_id") + F.pmod(F.hash("id"), F.lit(SALTS)), F.lit(buckets))
+    rows = rows.mapInPandas(_firsts_of_task, rows.schema)
+    bucket = F.pmod(F.hash("tag_id"), F.lit(buckets))
     return _stateful(rows, bucket, FirstTypeProcessor(ttl_ms), TYPES, "ProcessingTime" if ttl_ms else "None")
 
 
