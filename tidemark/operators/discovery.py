@@ -36,10 +36,15 @@ def reachable(edges: DataFrame, root: str = OBJECTS_FOLDER, max_depth: int = MAX
     Jobs write folders of one table in the shared folder, so the plan stays the same size and a lost
     executor costs one job at most. The Server object is never expanded.
     """
-    spark = edges.sparkSession
-    links = cut_lineage(
-        browsable(edges).filter(F.col("child") != SERVER).select("plc_name", "parent", "child")
-    )
+    return _walk(cut_lineage(_followed(edges)), root, max_depth)
+
+
+def _followed(edges: DataFrame) -> DataFrame:
+    return browsable(edges).filter(F.col("child") != SERVER).select("plc_name", "parent", "child")
+
+
+def _walk(links: DataFrame, root: str, max_depth: int) -> DataFrame:
+    spark = links.sparkSession
     parents = cut_lineage(links.select("plc_name", F.col("parent").alias("child")).distinct())
     inner = cut_lineage(lookup_join(links, parents, ["plc_name", "child"], "left_semi", salt_on="parent"))
     bound = int(spark.conf.get(BROADCAST_SETTING, str(BROADCAST_BYTES)))
@@ -73,9 +78,10 @@ def discover_tags(
 
     A variable counts as soon as its parent is read, so it may lie one level below the last node
     that is expanded. If it is reached under several names the first in code-point order is taken: edges carry
-    no order in which they were met.
+    no order in which they were met. The references are written down once, as the walk and the variables both read them.
     """
-    expanded = reachable(edges, max_depth=max_depth).select("plc_name", F.col("node").alias("parent"))
+    edges = cut_lineage(browsable(edges).select("plc_name", "parent", "child", "node_class", "display_name", "browse_name"))
+    expanded = _walk(_followed(edges), OBJECTS_FOLDER, max_depth).select("plc_name", F.col("node").alias("parent"))
     variables = edges.filter(
         (F.col("node_class") == "Variable")
         & passes_tag_filter(F.col("child"), namespaces, tokens, exclude_namespace_zero)

@@ -51,7 +51,7 @@ def discovery_sync(
     numbered = cut_lineage(
         ordered.select("plc_id", "node_id", "tag_name", F.monotonically_increasing_id().alias("seq"))
     )
-    scanned = lookup_join(edges.select("plc_name").distinct(), ids, ["plc_name"]).select("plc_id")
+    scanned = cut_lineage(lookup_join(edges.select("plc_name").distinct(), ids, ["plc_name"]).select("plc_id"))
     return registry.sync_tags(tags, numbered, scanned, as_of)
 
 
