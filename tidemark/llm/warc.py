@@ -78,7 +78,7 @@ def write_warc(
         F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\x00-\x20\x7F]+", "").alias("url"),
         html.alias("html"), base32_sha1(html).alias("digest"), F.octet_length(html).cast("long").alias("n_bytes"),
         F.monotonically_increasing_id().alias("seq"),
-    ))
+    ), "zstd")
     members = page.select("digest", "n_bytes", F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "seq").alias("me"))
     files = max(1, -(-(members.agg(F.sum("n_bytes")).first()[0] or 0) // FILE_BYTES))
     first = tree_merge(members, ["digest", "n_bytes"], "me").select(

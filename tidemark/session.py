@@ -62,14 +62,15 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return os.path.join(shared_root(spark), f"{purpose}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return a plan that reads it back.
 
-    The copy outlives the executors that made it, is compressed, and is read column by column.
+    The copy outlives the executors that made it, is compressed, and is read column by column. Tables of whole
+    texts are smaller with ``compression`` "zstd" than as the session compresses.
     """
     path = shared_dir(df.sparkSession, "table")
     with shuffles_removed(df.sparkSession):
-        df.write.parquet(path)
+        (df.write if compression is None else df.write.option("compression", compression)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
