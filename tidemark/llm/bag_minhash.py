@@ -24,8 +24,8 @@ ROWS_PER_BAND = 4
 COMMON = 2  # bands that a pair has to share, whatever the size of its buckets
 BANDS = 30  # so that pairs at 0.8 share two bands but for a chance of 3e-6
 SLACK = 4.0  # a first bound on time leaves a register empty with a chance of about exp(-SLACK) each
-SKETCH = 512  # registers, of two bits each
-PIVOT_ROUNDS = 3
+SKETCH = 1024  # registers, of two bits each: what passes at 0.8 is nearer than 0.71
+PIVOT_ROUNDS = 2
 PAIRS_PER_ROW = 32  # a comparison of two sketches is a few dozen machine operations
 
 
@@ -152,41 +152,42 @@ def _signed(df: DataFrame, width: int, bands: int) -> DataFrame:
 
 
 def sketches(texts: pa.StringArray, width: int) -> list[np.ndarray]:
-    """Two bits of each of SKETCH registers per text, 32 registers to a long."""
+    """Two bits of each of SKETCH registers per text: longs of 64 first bits, and then as many of the second bits."""
     n = len(texts)
     times = signatures(*shingle_counts(texts, width), n, SKETCH).astype(np.float32)
-    bits = (mixed(times.view(np.uint32).astype(np.uint64) + GOLDEN) & np.uint64(3)).reshape(n, SKETCH // 32, 32)
-    return list(np.bitwise_or.reduce(bits << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=2).view(np.int64))
+    codes = mixed(times.view(np.uint32).astype(np.uint64) + GOLDEN).reshape(n, SKETCH // 64, 64)
+    place = np.arange(64, dtype=np.uint64)
+    planes = [np.bitwise_or.reduce(((codes >> np.uint64(bit)) & np.uint64(1)) << place, axis=2) for bit in (0, 1)]
+    return list(np.concatenate(planes, axis=1).view(np.int64))
 
 
-def _alike(a: str, b: str, similarity: float) -> Column:
+def _drawn(sketch: str) -> list[Column]:
+    return [F.col(sketch)[i] for i in range(SKETCH // 32)]
+
+
+def _alike(a: list[Column], b: list[Column], similarity: float) -> Column:
     """By their sketches a pair may reach ``similarity``: 5.5 deviations away it surely does not.
 
     Two bits of a register agree with a chance of s + (1 - s) / 4 at similarity s.
     """
     agree = similarity + (1 - similarity) / 4
     most = math.ceil(SKETCH * (1 - agree) + 5.5 * math.sqrt(SKETCH * agree * (1 - agree)))
-    low = F.lit(0x5555555555555555).cast("long")
-
-    def unlike(x: Column, y: Column) -> Column:
-        bits = x.bitwiseXOR(y)
-        return F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(low))
-
-    return sum((unlike(F.col(a)[i], F.col(b)[i]) for i in range(SKETCH // 32)), F.lit(0)) <= most
+    differs = [x.bitwiseXOR(y) for x, y in zip(a, b, strict=True)]
+    half = len(differs) // 2
+    return sum((F.bit_count(x.bitwiseOR(y)) for x, y in zip(differs[:half], differs[half:], strict=True)), F.lit(0)) <= most
 
 
 def _weights_fit(similarity: float) -> Column:
     return F.least("a.weight", "b.weight") >= F.greatest("a.weight", "b.weight") * F.lit(similarity)
 
 
-def _first_shared(bands: int) -> Column:
+def _first_shared() -> Column:
     """The pair meets in the first band whose key both have; later ones would only find it again.
 
     Of an earlier bucket that both stood in, one of them left it as its pivot, having met the other; or all its members are
     connected; or it was cut, and both stand together in the piece that this band names as well.
     """
-    shared = [F.when(F.col("a.short")[i] == F.col("b.short")[i], F.lit(i)) for i in range(bands)]
-    return F.coalesce(*shared) == F.col("a.band")
+    return ~F.arrays_overlap("a.earlier", "b.earlier")
 
 
 def _shared_enough(a: str, b: str) -> Column:
@@ -212,14 +213,41 @@ def _named(live: DataFrame, labels: DataFrame | None) -> DataFrame:
     return held.select("node", "weight", F.coalesce("label", "node").alias("label"), F.explode("held").alias("at")).select("node", "weight", "label", "at.*")
 
 
+def _open_buckets(named: DataFrame) -> DataFrame:
+    """Buckets whose members are not all connected: their members (n) and the pairs that are not."""
+    groups = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    open_ = groups.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    return open_.filter("n * n > same").withColumn("pairs", (F.col("n") * F.col("n") - F.col("same")) / 2)
+
+
+def _cut(named: DataFrame, open_: DataFrame, nodes: DataFrame, left: float) -> DataFrame | None:
+    """Entries with each large bucket replaced by its intersections with its members' other buckets; None if that is no gain.
+
+    A pair that shares k bands meets in up to k * (k - 1) / 2 pieces. Where most pairs share many bands, as between the near
+    copies of one text, the pieces hold more pairs than the ``left`` ones of the whole buckets.
+    """
+    heavy = F.col("pairs") > PAIRS_PER_ROW * F.col("n")
+    split = named.join(open_.filter(heavy).select("bucket"), "bucket").join(nodes.select("node", F.explode("bands").alias("other")), "node")
+    split = split.filter("other <> bucket").withColumn("bucket", F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")))
+    split = split.drop("other").withColumn("band", F.lit(None).cast("int")).dropDuplicates(["bucket", "node"])
+    rest = named.join(open_.filter(~heavy).select("bucket"), "bucket")
+    after = _open_buckets(rest.unionByName(split)).agg(F.sum("pairs")).first()[0] or 0
+    if 2 * after > left:
+        return None
+    crowded = split.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    return cut_lineage(rest.unionByName(split.join(crowded, "bucket")).drop("label"))
+
+
 def _links(nodes: DataFrame, details_of, similarity: float, bands: int) -> DataFrame | None:
     """node and label for every node that has a link, labels equal within a connected group.
 
     Buckets are compared in rounds. In a round one member of each bucket, the pivot, meets all others that
-    it is not yet connected with; then it leaves the bucket. A bucket whose remaining members are all
+    it is not yet connected with; then it leaves the bucket. The pivot is the member that shares most buckets with most
+    others: the middle of a group of near copies, which links most of it at once. A bucket whose remaining members are all
     connected is finished. When few pairs are left, all that are not connected meet. A pair counts only if it
     shares ``COMMON`` bands, wherever it meets, so buckets that stay large (many texts that share a lot but not
-    enough) can be cut by the keys of the other bands first, which loses no pair and adds none. Entries hold a node, its
+    enough) can be cut by the keys of the other bands first, which loses no pair and adds none; where that gives no fewer
+    pairs, the buckets stay whole. Entries hold a node, its
     weight and a bucket; sketches, band keys and sets come to the pairs. A round's tables go once the next one's are written.
     """
     entries = nodes.select("node", "weight", F.posexplode("bands").alias("band", "bucket"))
@@ -227,48 +255,47 @@ def _links(nodes: DataFrame, details_of, similarity: float, bands: int) -> DataF
     live = cut_lineage(entries.join(crowded, "bucket"))
     details = cut_lineage(details_of(live.select("node").distinct()))
     sets, drawn = details.select("node", "set"), details.select("node", "sketch", "short")
-    labels = None
+    labels, whole_buckets = None, False
     turn = 0
     while True:
         named = _named(live, labels)
-        groups = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-        open_ = groups.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        open_ = cut_lineage(open_.filter("n * n > same").withColumn("pairs", (F.col("n") * F.col("n") - F.col("same")) / 2))
+        open_ = cut_lineage(_open_buckets(named))
         left, rows = open_.agg(F.sum("pairs"), F.sum("n")).first()
         if not left:
             break
         if turn == PIVOT_ROUNDS and left > PAIRS_PER_ROW * rows:
-            large = open_.filter(F.col("pairs") > PAIRS_PER_ROW * F.col("n")).select("bucket")
-            split = named.join(large, "bucket").drop("label").join(nodes.select("node", F.explode("bands").alias("other")), "node")
-            split = split.filter("other <> bucket").withColumn("bucket", F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other"))).drop("other")
-            split = split.withColumn("band", F.lit(None).cast("int"))
-            crowded = split.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-            rest = named.join(open_.filter(F.col("pairs") <= PAIRS_PER_ROW * F.col("n")).select("bucket"), "bucket").drop("label")
-            cut = cut_lineage(rest.unionByName(split.join(crowded, "bucket").dropDuplicates(["bucket", "node"])))
-            release(live)
-            live, turn = cut, turn + 1
-            continue
-        named = cut_lineage(named.join(open_.select("bucket"), "bucket"))
+            turn += 1
+            cut = _cut(named, open_, nodes, left)
+            if cut is not None:
+                release(live)
+                live = cut
+                continue
+            whole_buckets = True
+        named = cut_lineage(named.join(open_.select("bucket", F.col("n").alias("size")), "bucket"))
         release(open_)
         release(live)
-        last = left <= PAIRS_PER_ROW * rows or turn > 2 * PIVOT_ROUNDS
+        last = whole_buckets or left <= PAIRS_PER_ROW * rows or turn > 2 * PIVOT_ROUNDS
         if last:
-            whole = cut_lineage(named.join(drawn, "node"))
+            earlier = F.when(F.col("band").isNotNull(), F.transform(F.slice("short", 1, F.col("band")), lambda key, i: F.struct(i, key)))
+            planes = [f"plane_{i}" for i in range(SKETCH // 32)]
+            whole = named.join(drawn, "node").withColumn("earlier", earlier)
+            whole = cut_lineage(whole.select("node", "weight", "label", "bucket", "short", "earlier", *(c.alias(p) for c, p in zip(_drawn("sketch"), planes, strict=True))))
             a, b = whole.alias("a"), whole.alias("b")
+            alike = _alike([F.col(f"a.{p}") for p in planes], [F.col(f"b.{p}") for p in planes], similarity)
             met = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label"))
-                         & _weights_fit(similarity) & _alike("a.sketch", "b.sketch", similarity) & (F.col("a.band").isNull() | _first_shared(bands))
-                         & _shared_enough("a.short", "b.short"))
+                         & _weights_fit(similarity) & alike & F.coalesce(_first_shared(), F.lit(True)) & _shared_enough("a.short", "b.short"))
             met = cut_lineage(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
             release(whole)
         else:
-            pivot = F.min_by(F.struct("node", "weight", "label"), F.struct(F.xxhash64("node", F.lit(turn)), "node"))
-            pivots = cut_lineage(named.groupBy("bucket").agg(pivot.alias("p")).select("bucket", "p.*"))
+            company = named.groupBy("node").agg(F.sum("size").alias("company"))
+            pivot = F.max_by(F.struct("node", "weight", "label"), F.struct("company", F.xxhash64("node"), "node"))
+            pivots = cut_lineage(named.join(company, "node").groupBy("bucket").agg(pivot.alias("p")).select("bucket", "p.*"))
             a, b = named.alias("a"), pivots.alias("b")
             met = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.label") != F.col("b.label")) & _weights_fit(similarity))
             met = met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
             for side in ("a", "b"):
                 met = met.join(drawn.select(F.col("node").alias(side), F.struct("sketch", "short").alias(f"of_{side}")), side)
-            met = met.filter(_alike("of_a.sketch", "of_b.sketch", similarity) & _shared_enough("of_a.short", "of_b.short"))
+            met = met.filter(_alike(_drawn("of_a.sketch"), _drawn("of_b.sketch"), similarity) & _shared_enough("of_a.short", "of_b.short"))
             met = cut_lineage(met.select("a", "b"))
         found = cut_lineage(_verified(met, sets, similarity))
         if not found.isEmpty():
@@ -280,7 +307,7 @@ def _links(nodes: DataFrame, details_of, similarity: float, bands: int) -> DataF
         if last:
             release(named)
             break
-        live = cut_lineage(named.drop("label").join(pivots.select("bucket", "node"), ["bucket", "node"], "left_anti"))
+        live = cut_lineage(named.drop("label", "size").join(pivots.select("bucket", "node"), ["bucket", "node"], "left_anti"))
         release(named)
         release(pivots)
         turn += 1
