@@ -168,3 +168,37 @@ def test_odd_rows(odd_docs, no_docs):
     assert left.schema.simpleString() == odd_docs.schema.simpleString()
     assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "3", "4", "5", "6", "7", "8", "9", "None"]
     assert near_duplicates(no_docs).count() == 0 and drop_near_duplicates(no_docs).count() == 0
+
+
+def near_copies(n: int, seed: int) -> list[tuple[int, str]]:
+    """Copies of one text with none to many words changed: many share bands, nearer ones are links."""
+    rng = random.Random(seed)
+    whole = " ".join(f"w{i}" for i in range(150))
+    return [(i, edited(whole, i % 9, rng)) for i in range(n)]
+
+
+def test_pivots_link_a_group_from_its_middle(spark, monkeypatch):
+    """What the first pivots leave to compare pair by pair is far less than the group's pairs."""
+    rows = near_copies(120, 21)
+    verified, real = [], bag_minhash._verified
+    monkeypatch.setattr(bag_minhash, "PAIRS_PER_ROW", 1)
+    monkeypatch.setattr(bag_minhash, "_verified", lambda pairs, *rest: verified.append(pairs.count()) or real(pairs, *rest))
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.group_id for r in found} == brute(rows)
+    assert sum(verified) < 120 * 12
+
+
+def test_buckets_stay_whole_where_a_cut_gives_no_fewer_pairs(spark, monkeypatch):
+    cuts, real = [], bag_minhash._cut
+    monkeypatch.setattr(bag_minhash, "_cut", lambda *args: cuts.append(real(*args)) or cuts[-1])
+    monkeypatch.setattr(bag_minhash, "PIVOT_ROUNDS", 0)
+    monkeypatch.setattr(bag_minhash, "PAIRS_PER_ROW", 0)
+    rows = near_copies(60, 22)
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.group_id for r in found} == brute(rows)
+    rng = random.Random(23)
+    core = " ".join(f"c{i}" for i in range(60))
+    rows = [(i, edited(core + " " + " ".join(f"o{i}x{k}" for k in range(60)), 1, rng)) for i in range(60)]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.group_id for r in found} == brute(rows)
+    assert [cut is None for cut in cuts] == [True, False]
